@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, sharding, simhash, substring
-from .common import read_table
+from . import chat, decontam, lines, packing, quality, secrets, sharding, simhash, substring, warc
+from .common import read_table, stored
 
 #: Where the public vocabulary files are; only their path is used.
 VOCABULARY = "word_bpe_49k.json"
@@ -31,13 +31,40 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = lines.line_report(read_table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read_table(spark, sf_dir, "pages"), revisit_bytes=1000)
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(F.expr(secrets.listed("base")), 256).alias("base_sha256"), F.expr(secrets.listed("spans")).alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema))
+    return chat.read_back(stored(chat.format_trees(chat.linear_tree(turns)), "formatted"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_simhash, op6_kd_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_simhash, op4_line_templates, op5_warc, op6_kd_sharding, op7_secrets, op8_quality, op9_chat, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
