@@ -14,8 +14,10 @@ by one, so repeated and null ids are separate documents. Further columns are ign
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks_by_size, ship_by_value
+from .common import LOWER, byte_texts, chunks_by_size, ship_by_value
 
 #: Word pieces that one worker remembers the ids of.
 REMEMBERED = 1 << 19
@@ -32,10 +34,29 @@ CHUNK_BYTES = 1 << 21
 CLASSES = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024, 2048)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes | None) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Token ids of texts, found word by word.
 
-    The vocabulary's splitting never joins what white space separates, so words are encoded once and remembered.
+    The vocabulary's splitting never joins what white space separates, so each word is encoded once and remembered.
+    It lower-cases and splits at changes between letters, digits and signs, so a run of letters is one unit of the merges.
     """
 
     def __init__(self, vocabulary: str, end_id: int) -> None:
@@ -45,43 +66,68 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.first = [0]
+        self.numbers = _Numbers()
+        self.numbers[None] = 0  # the end of a document
+        self.first, self.flat, self.used = np.array([0, 1], dtype=np.int32), np.zeros(1 << 20, dtype=np.uint32), 1
+        self.flat[0] = self.end_id
+
+    def units(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words; plain letters, with a full stop or comma or without, go to the merges at once, all else through the whole tokenizer."""
+        merge, out, rest = self.tokenizer.model.tokenize, [], []
+        signs = {c: [t.id for t in merge(c.decode())] for c in (b".", b",")}
+        for word in words:
+            text = word.decode()
+            if word.isalpha() and word.islower():
+                out.append([t.id for t in merge(text)])
+            elif (sign := signs.get(word[-1:])) and word[:-1].isalpha() and word.islower():
+                out.append([t.id for t in merge(text[:-1])] + sign)
+            elif _one_unit(text):
+                out.append([t.id for t in merge(text.lower().encode().decode("latin-1").translate(_BYTE_LETTERS))])
+            else:
+                rest.append((len(out), text))
+                out.append([])
+        for (k, _), e in zip(rest, self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
     def learn(self, fresh: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        for word, e in zip(fresh, got, strict=True):
-            ids = e.ids
-            at = self.first[-1]
-            while at + len(ids) > len(self.flat):
-                self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-            self.flat[at : at + len(ids)] = ids
-            self.first.append(at + len(ids))
-            self.words[word] = len(self.words)
+        lists = self.units(fresh)
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=total)
+        self.first = np.r_[self.first, (self.used + np.cumsum(sizes)).astype(np.int32)]
+        self.used += total
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and how many each text has."""
-        split = [t.split() for t in texts]
-        fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.words]
-        if len(self.words) + len(fresh) > REMEMBERED:
+        if len(self.numbers) > REMEMBERED:
             self.forget()
-            fresh = list(dict.fromkeys(w for words in split for w in words))
-        self.learn(fresh)
-        first = np.array(self.first)
-        n_words = np.array([len(words) for words in split], dtype=np.int64)
-        index = np.fromiter((self.words[w] for words in split for w in words), dtype=np.int64, count=int(n_words.sum()))
-        sizes = first[index + 1] - first[index]
-        ends_of_words = np.r_[0, np.cumsum(sizes)]
-        stops = np.cumsum(n_words)
-        doc_sizes = ends_of_words[stops] - ends_of_words[stops - n_words] + 1
-        # an end id after each document moves what follows by one
-        shift = np.repeat(np.arange(len(texts)), n_words)
-        out = np.full(int(doc_sizes.sum()), self.end_id, dtype=np.uint32)
-        total = int(sizes.sum())
-        within = np.arange(total) - np.repeat(ends_of_words[:-1], sizes)
-        out[np.repeat(ends_of_words[:-1] + shift, sizes) + within] = self.flat[np.repeat(first[index], sizes) + within]
-        return out, doc_sizes
+        known = len(self.numbers)
+        words: list[bytes | None] = []
+        n_words = []
+        for t in texts:
+            # the vocabulary lower-cases, but for its special tokens, whose text in capitals is ordinary
+            own = (t if b"<|" in t else t.translate(LOWER)).split()
+            own.append(None)
+            words += own
+            n_words.append(len(own))
+        index = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words))
+        if len(self.numbers) > known:
+            self.learn(list(islice(self.numbers, known, None)))
+        start = self.first[index]
+        sizes = self.first[index + 1] - start
+        stops = np.cumsum(sizes, dtype=np.int32)
+        take = np.repeat(start - (stops - sizes), sizes)
+        take += np.arange(len(take), dtype=np.int32)
+        per_doc = np.add.reduceat(sizes.astype(np.int64), np.cumsum([0, *n_words[:-1]])) if texts else np.zeros(0, dtype=np.int64)
+        return self.flat[take], per_doc
+
+
+def _one_unit(word: str) -> bool:
+    """Letters of the Latin blocks, which stay single letters when lower-cased and composed."""
+    return word.isalpha() and max(word) < "\u0250" and word.lower().isalpha()
 
 
 class HarmonicBins:
@@ -145,6 +191,7 @@ def _pack(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, end_id)
+        gc.disable()  # words and ids form no cycles, and there are many
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 40)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or b"" for t in byte_texts(batch.column(1))]
@@ -153,6 +200,7 @@ def _pack(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
                 stops = np.cumsum(sizes).tolist()
                 yield rows(r for i, stop, size in zip(ids[a:z], stops, sizes.tolist(), strict=True) for r in bins.add(i, tokens[stop - size : stop]))
         yield rows(bins.finish())
+        gc.enable()
 
     return run
 
