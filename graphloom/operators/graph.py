@@ -176,6 +176,7 @@ def induced(nodes: DataFrame, edges: DataFrame, n: int, pinned: str | None = Non
     if pinned is not None:
         kept = kept.unionByName(nodes.where(F.col("id") == pinned)).dropDuplicates(["id"])
     ends = kept.select("id")
-    return kept, edges.join(ends.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ends.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+    inside = edges.join(ends.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ends.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+    return kept, inside.select(*edges.columns)
 
 
