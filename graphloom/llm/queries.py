@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, lines, packing, quality, secrets, sharding, simhash, substring, warc
 from .common import read_table, stored
+from .oracle import ORACLE_SQL  # noqa: F401
 
 #: Where the public vocabulary files are; only their path is used.
 VOCABULARY = "word_bpe_49k.json"
@@ -19,7 +20,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(read_table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+    return substring.remove_repeats(read_table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(read_table(spark, sf_dir, "pages"), revisit_bytes=1000)
+    found = warc.archive(read_table(spark, sf_dir, "pages"), revisit_bytes=1000)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +65,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    found = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_simhash, op4_line_templates, op5_warc, op6_kd_sharding, op7_secrets, op8_quality, op9_chat, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
