@@ -214,3 +214,9 @@ def test_favourites_stream(spark, tmp_path):
     source = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
     streams.stream_favourites(source).writeStream.format("memory").queryName("favourites").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.user_id for r in spark.table("favourites").collect()) == ["u", "w"]
+
+
+def test_catalog_ids_do_not_change(spark):
+    items = spark.createDataFrame([("Geisha", "Arabica"), ("SL28", "Arabica"), ("geisha ", "arabica"), (" ", "x")], "name string, species string").coalesce(1)
+    out = [rows(jobs.load_catalog(items, jobs.NAMESPACE, "variety"), "id", "name") for _ in range(2)]
+    assert out[0] == out[1] and sorted(n for _, n in out[0]) == ["SL28", "geisha "]
