@@ -90,6 +90,9 @@ def kd_assign(df: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
             hit = (F.col("node") == n) & (F.col(s["by"]) == s["path"])
             inside = hit if inside is None else inside | hit
         _descend(df.where(inside), ties)
+        for s in ties.values():  # the row that holds the median goes where it brings the sides nearer to their goals
+            if 2 * s["goal"] >= s["inside"]:
+                s["path"] += 1
         base = 2 * max([*split, *fixed, *pending]) + 1
         case, pending = None, {}
         for k, (n, (first, count)) in enumerate(sorted(split.items())):
