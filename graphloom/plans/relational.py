@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -331,5 +329,6 @@ def _(t: Tables) -> DataFrame:
 
 @query("u5_merge_edges", "SELECT src_id, dst_id, edge_type FROM (SELECT l_partkey AS src_id, l_suppkey AS dst_id, 'made_by' AS edge_type FROM lineitem WHERE l_quantity > 25 UNION SELECT l_partkey, l_suppkey, 'made_by' FROM lineitem WHERE l_discount > 0.05)")
 def _(t: Tables) -> DataFrame:
-    edges = partial(lambda cond: t.lineitem.where(cond).select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.lit("made_by").alias("edge_type")))
-    return j.merge_edges(edges("l_quantity > 25"), edges("l_discount > 0.05"))
+    edges = t.lineitem.select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.lit("made_by").alias("edge_type"), "l_quantity", "l_discount")
+    large, cheap = edges.where("l_quantity > 25"), edges.where("l_discount > 0.05")
+    return j.merge_edges(*(df.drop("l_quantity", "l_discount") for df in (large, cheap)))
