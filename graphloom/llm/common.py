@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +10,11 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: ASCII bytes that separate words: space and tab to carriage return, which is
-#: also what bytes.split() without an argument splits at.
+from ..functions.scratch import materialised as stored  # noqa: F401
+from ..functions.scratch import scratch_dir  # noqa: F401
+
+#: A-Z in lower case, all other bytes as they are. Words are what bytes.split() gives: it splits at
+#: space and tab to carriage return, no more.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -22,28 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Without that setting a local folder serves a local master, as in tests; on a
-    cluster it is an error, as executors do not see each other's disks.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = os.path.join(tempfile.gettempdir(), "graphloom-scratch")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch space and read it back: lineage is cut, and a lost executor costs nothing before it."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
