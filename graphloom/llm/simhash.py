@@ -30,6 +30,8 @@ from .common import LOWER, byte_texts, chunks_by_size, mix64, ship_by_value, sto
 
 CHUNK_BYTES = 1 << 21
 GROUP = 1024
+#: Ids of duplicates (8 bytes each) that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -199,8 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The document of smallest id of every group, and all without an id, with all their columns; of rows that repeat an id one stays."""
     found = stored(near_duplicates(docs, id_col, text_col, **options).select("doc_id", "component_id"), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "duplicates")
+    # few enough ids are sent to the texts; more meet them in a shuffle
+    small = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if small else gone, id_col, "left_anti").select(*docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pytest
 import xxhash
+from graphloom.llm import simhash
 from graphloom.llm.common import mix64, read_table
 from graphloom.llm.queries import vocabulary_path
 from graphloom.llm.simhash import keep_first
@@ -69,7 +71,9 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tiny):
             assert out.columns == docs.columns and out.count() <= df.count(), name
 
 
-def test_keep_first(spark):
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_keep_first(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", limit)
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(1, text), (2, text), (3, text.replace("w150 ", "x ")), (4, "other words " * 5), (4, "other words " * 5), (None, text), (None, text), (5, text[::-1])]
     df = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, node string")
