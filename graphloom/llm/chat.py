@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -88,28 +89,27 @@ def chosen_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     known = nodes.select("key", F.col("node").alias("parent"), F.lit(True).alias("known"))
     base = nodes.join(known, ["key", "parent"], "left").select("key", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score")
     base = stored(base, "replies")
-    # up: the ancestor 2^k turns above; steps and total: turns and score from the node to just below it
+    # up: the ancestor 2^k turns above; steps and total: turns and score from the node to just below it; top: the last node so far
     state = base.select("key", "node", "up", F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"), F.col("node").alias("top"))
-    jumps = [base.select("key", "node", "up").where("up is not null")]
-    rounds = max(1, base.count().bit_length())
-    for _ in range(min(rounds, max_rounds)):
-        above = state.select("key", F.col("node").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("total").alias("gain"), F.col("top").alias("above"))
-        state = stored(
-            state.join(above, ["key", "up"], "left").select("key", "node", F.col("far").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"), F.coalesce("above", "top").alias("top")),
-            "pointers",
-        )
-        pointing = state.where("up is not null").select("key", "node", "up")
-        if pointing.isEmpty():
+    ended, active = [state.where("up is null")], state.where("up is not null")
+    jumps = [active.select("key", "node", "up")]
+    for _ in range(min(max(1, base.count().bit_length()), max_rounds)):
+        if active.isEmpty():
             break
-        jumps.append(pointing)
+        # only nodes that have not reached their root go on
+        above = reduce(DataFrame.unionByName, ended, active).select("key", F.col("node").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("total").alias("gain"), F.col("top").alias("above"))
+        moved = active.join(above, ["key", "up"]).select("key", "node", F.col("far").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("gain")).alias("total"), F.col("above").alias("top"))
+        moved = stored(moved, "pointers")
+        ended, active = [*ended, moved.where("up is null")], moved.where("up is not null")
+        jumps.append(active.select("key", "node", "up"))
     parents = base.where("up is not null").select("key", F.col("up").alias("node")).distinct()
-    leaves = state.where("up is null").join(parents, ["key", "node"], "left_anti")
+    leaves = reduce(DataFrame.unionByName, ended).join(parents, ["key", "node"], "left_anti")
     best = leaves.groupBy("key", F.col("top").alias("root")).agg(F.max(F.struct(F.col("total") / F.col("steps"), "steps", (-F.col("node")).alias("node"))).alias("best"))
-    path = best.select("key", "root", (-F.col("best.node")).alias("node"), F.col("best.steps").alias("depth"))
+    pieces = [stored(best.select("key", "root", (-F.col("best.node")).alias("node"), F.col("best.steps").alias("depth")), "leaves")]
     for k in range(len(jumps) - 1, -1, -1):
-        higher = path.join(jumps[k], ["key", "node"]).select("key", "root", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        path = stored(path.unionByName(higher), "paths")
-    return path
+        found = reduce(DataFrame.unionByName, pieces)
+        pieces.append(stored(found.join(jumps[k], ["key", "node"]).select("key", "root", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")), "paths"))
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def _key(column: str):
