@@ -152,7 +152,7 @@ def _(t: Tables) -> DataFrame:
     return found.select("entity_type", "id", F.round("score", 6).alias("score"))
 
 
-@query("r3_similar", OVERLAP_SQL + f", {VEC_SQL}, z AS (SELECT vec_id, v FROM e WHERE vec_id < 100 AND vec_id % 9 <> 0), n AS (SELECT a.vec_id AS seed, b.vec_id AS peer, {COS_SQL} AS c FROM z a, z b WHERE a.vec_id <> b.vec_id), n50 AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(c, 9) DESC, peer) <= 50), t AS (SELECT seed, peer, sum(shared) AS shared FROM u GROUP BY seed, peer), m AS (SELECT seed, peer, coalesce(c, 0) AS c, coalesce(shared, 0) AS shared FROM n50 FULL JOIN t USING (seed, peer)), s AS (SELECT seed, peer, round(c + 0.5 * CASE WHEN max(shared) OVER (PARTITION BY seed) > 0 THEN shared / max(shared) OVER (PARTITION BY seed) ELSE 0 END, 6) AS score FROM m), k AS (SELECT * FROM s WHERE peer % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, peer) <= 10) SELECT seed, peer AS id, score FROM k")
+@query("r3_similar", OVERLAP_SQL + f", {VEC_SQL}, z AS (SELECT vec_id, v FROM e JOIN supplier ON s_suppkey = vec_id WHERE vec_id % 9 <> 0), n AS (SELECT a.vec_id AS seed, b.vec_id AS peer, {COS_SQL} AS c FROM z a, z b WHERE a.vec_id <> b.vec_id), n50 AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(c, 9) DESC, peer) <= 50), t AS (SELECT seed, peer, sum(shared) AS shared FROM u GROUP BY seed, peer), m AS (SELECT seed, peer, coalesce(c, 0) AS c, coalesce(shared, 0) AS shared FROM n50 FULL JOIN t USING (seed, peer)), s AS (SELECT seed, peer, round(c + 0.5 * CASE WHEN max(shared) OVER (PARTITION BY seed) > 0 THEN shared / max(shared) OVER (PARTITION BY seed) ELSE 0 END, 6) AS score FROM m), k AS (SELECT * FROM s WHERE peer % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, peer) <= 10) SELECT seed, peer AS id, score FROM k")
 def _(t: Tables) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"))
     items = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label")).join(vectors, "id", "left")
@@ -193,7 +193,7 @@ def _(t: Tables) -> DataFrame:
     return merge.fill_locations(sites, curated, shops).select(F.col("id").alias("page_id"), "location", "status")
 
 
-@query("e5_fill_currency", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'SET' WHEN p_size % 3 = 0 THEN NULL WHEN s_nationkey = 1 THEN 'AAA' WHEN s_nationkey = 2 THEN 'BBB' END AS currency FROM part JOIN supplier ON s_suppkey = p_partkey % 100")
+@query("e5_fill_currency", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'SET' WHEN p_size % 3 = 0 THEN NULL WHEN s_nationkey = 1 THEN 'AAA' WHEN s_nationkey = 2 THEN 'BBB' END AS currency FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 100")
 def _(t: Tables) -> DataFrame:
     products = t.part.select("p_partkey", (F.col("p_partkey") % 100).alias("roaster_id"), F.when((F.col("p_size") % 3 != 0) | (F.col("p_size") % 4 == 0), F.col("p_retailprice")).alias("price"), F.when(F.col("p_size") % 4 == 0, "SET").alias("currency"))
     roasters = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(", "), "n_name").alias("location"))
@@ -224,7 +224,7 @@ def _(t: Tables) -> DataFrame:
     return merge.work_list(t.customer.select("c_custkey"), log, "c_custkey", ["purchase", "signup"], 500)
 
 
-LOG_SQL = "l AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'note' END AS action, CAST(json_extract(props, '$.k') AS BIGINT) AS entity_id, value FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) < 90)"
+LOG_SQL = "l AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'note' END AS action, CAST(json_extract(props, '$.k') AS BIGINT) AS entity_id, value FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 90))"
 
 
 def activity_log(t: Tables) -> tuple[DataFrame, DataFrame]:
