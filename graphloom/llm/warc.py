@@ -194,7 +194,9 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     part = F.when(coarse.isin(crowded), fine).otherwise(-1) if crowded else F.lit(-1)
     # one row per bin of the two histograms, so the broadcast side has a bound
     placed = everything.withColumn("bin", coarse).withColumn("part", part.cast("long")).join(F.broadcast(bins), ["bin", "part"], "left").drop("bin", "part").withColumn("shard", F.coalesce("shard", F.lit(-1)))
-    placed = placed.repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "digest", "html")
+    # a task for each shard; rows without an id have one of their own
+    shards = 2 + max((shard for _, _, shard in cuts), default=0)
+    placed = placed.repartitionById(shards, F.col("shard") + 1).sortWithinPartitions("shard", "page_id", "kind", "url", "digest", "html")
     manifest = placed.mapInArrow(_write(uri, file_bytes), "file string, records long, bytes long, sha256 string")
     manifest.write.mode("overwrite").parquet(f"{uri}/_manifest")
     return spark.read.schema(manifest.schema).parquet(f"{uri}/_manifest")
@@ -254,7 +256,8 @@ def read_warc(spark: SparkSession, uri: str, with_payload: bool = True) -> DataF
     """The page records of all files in the manifest below ``uri``; payload digests of responses are verified."""
     manifest = spark.read.schema("file string, records long, bytes long, sha256 string").parquet(f"{uri}/_manifest")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string" + ", payload binary" * with_payload
-    return manifest.repartition("file").mapInArrow(_read(uri, with_payload), schema)
+    # as many tasks as files: their sizes are bounded, while the rows that name them are too small to be dealt out by size
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(_read(uri, with_payload), schema)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
