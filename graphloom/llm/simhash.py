@@ -200,7 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The document of smallest id of every group, and all without an id, with all their columns; of rows that repeat an id one stays."""
-    found = stored(near_duplicates(docs, id_col, text_col, **options).select("doc_id", "component_id"), "groups")
+    return first_of_groups(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``keep_first`` by given groups (doc_id, component_id)."""
+    found = stored(groups.select("doc_id", "component_id"), "groups")
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "duplicates")
     # few enough ids are sent to the texts; more meet them in a shuffle
     small = gone.count() <= BROADCAST_IDS
