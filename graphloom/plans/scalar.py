@@ -90,6 +90,15 @@ def _(t: Tables) -> DataFrame:
     return plain.select("doc_id", F.md5(keys.fold_name("text")).alias("k"))
 
 
+WHOLE_FOLD_SQL = FOLD_SQL.replace("lower(text)", r"lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'))")
+
+
+@query("f12_fold_name_all", f"SELECT doc_id, md5({WHOLE_FOLD_SQL}) AS k FROM documents")
+def _(t: Tables) -> DataFrame:
+    # the SQL of f12_fold_name is of plain texts only; this is the whole job
+    return t.documents.select("doc_id", F.md5(keys.fold_name("text")).alias("k"))
+
+
 @query("f14_host_in", f"SELECT page_id, {HOST_SQL} = 'ththre.example.com' AS exact, regexp_matches({HOST_SQL}, '(^|\\.)example\\.(com|org)$') AS below FROM pages")
 def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", merge.host_in("url", ["ththre.example.com"]).alias("exact"), merge.host_in("url", ["example.com", "example.org"], suffix=True).alias("below"))
