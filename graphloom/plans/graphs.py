@@ -60,6 +60,24 @@ def _(t: Tables) -> DataFrame:
     return g.traverse(seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=None, max_edges=None)[1]
 
 
+ALL_SEEDS_SQL = "SELECT 'n' || n_nationkey AS seed FROM nation"
+
+
+def all_seeds(t: Tables) -> DataFrame:
+    return t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("seed"))
+
+
+@query("g2_traverse_all", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, w AS (SELECT seed, seed AS node, 0 AS depth FROM ({ALL_SEEDS_SQL}) UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 2) SELECT seed, node AS id, min(depth) AS depth FROM w GROUP BY seed, node")
+def _(t: Tables) -> DataFrame:
+    nodes, _, _ = g.traverse(all_seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=None, max_edges=None)
+    return nodes.select("seed", "id", "depth")
+
+
+@query("g2_traverse_edges_all", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, w AS (SELECT seed, seed AS node, 0 AS depth FROM ({ALL_SEEDS_SQL}) UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 1) SELECT DISTINCT seed, src_id, dst_id, edge_type FROM w JOIN e ON w.node = e.src_id OR w.node = e.dst_id")
+def _(t: Tables) -> DataFrame:
+    return g.traverse(all_seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=None, max_edges=None)[1]
+
+
 @query("g3_shortest_path", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, q AS (SELECT 'p' || p_partkey AS s, 'p' || (p_partkey + 1) AS z FROM part WHERE p_partkey % 40 = 0 UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier WHERE s_suppkey < 3), w AS (SELECT s, s AS node, 0 AS depth FROM q UNION SELECT w.s, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 4), d AS (SELECT s, node, min(depth) AS weight FROM w GROUP BY s, node) SELECT q.s AS \"start\", q.z AS \"end\", weight FROM q JOIN d ON d.s = q.s AND d.node = q.z")
 def _(t: Tables) -> DataFrame:
     part = lambda k: F.concat(F.lit("p"), (F.col("p_partkey") + k).cast("string"))
@@ -142,6 +160,14 @@ def _(t: Tables) -> DataFrame:
     return search.text_search([("part", parts), ("supplier", suppliers), ("document", docs)], "Ring", 30)
 
 
+@query("r1_text_search_all", "WITH u AS (SELECT 0 AS o, 'part' AS entity_type, CAST(p_partkey AS VARCHAR) AS id, p_name AS label FROM part WHERE contains(p_name, 'ring') OR contains(lower(p_type), 'ring') UNION ALL SELECT 1, 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE contains(lower(s_name), 'ring') UNION ALL SELECT 2, 'document', CAST(doc_id AS VARCHAR), substr(text, 1, 30) FROM documents WHERE (contains(lower(substr(text, 1, 30)), 'ring') OR contains(lower(text), 'ring'))), k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY length(label), CAST(id AS BIGINT)) AS r FROM u) SELECT entity_type, id, label FROM k WHERE r <= 10 ORDER BY o, r LIMIT 30")
+def _(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("label"), F.col("text").alias("description"))
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("description"))
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.lit("").alias("description"))
+    return search.text_search([("part", parts), ("supplier", suppliers), ("document", docs)], "Ring", 30)
+
+
 QUERY_VECTOR = [((k * 37) % 11 - 5) / 5 for k in range(64)]
 
 
