@@ -195,9 +195,44 @@ def test_packing(spark, tiny):
             at += length
         assert at == total and at <= 2048 and at & (at - 1) == 0
     assert sum(sum(x[1] for x in s) == 2048 for s in sequences.values()) > 0.9 * sum(map(len, ids.values())) / 2048 - 8
+    # documents that fit a sequence stay whole, but for those that fill what others leave
+    fit = [i for i in ids if len(ids[i]) <= 2048]
+    assert sum(len(pieces[i]) > 1 for i in fit) < 0.1 * len(fit)
     assert packing.pack(frame(spark, docs).limit(0), queries.vocabulary_path()).count() == 0
 
 
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_harmonic_bins(with_ids):
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 9, int(n)).astype(np.uint32) for n in np.r_[rng.integers(1, 90, 400), rng.integers(1, 1500, 150), 5000, 2048, 1, 4096]]
+    bins = packing.HarmonicBins(2048, 7 << 40, with_ids)
+    sent, most = [], 0
+    for i, ids in enumerate(docs):
+        bins.add(i, ids)
+        assert all(len(held) < k and all(2048 // (k + 1) < len(p.ids) <= 2048 // k for p in held) for k, held in bins.open.items())
+        most = max(most, len(bins.waiting))
+        sent.append(bins.sent())
+    for _ in bins.finish():
+        sent.append(bins.sent())
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert most <= packing.WAITING and sum(r["length"] for r in rows) == sum(map(len, docs))
+    for i, ids in enumerate(docs):
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == [0, *np.cumsum([r["length"] for r in own])[:-1]]
+        if with_ids:
+            assert [x for r in own for x in r["ids"]] == ids.tolist()
+    assert all(r["sequence_length"].bit_count() == 1 for r in rows)
+
+
+def test_encoder_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 50_000)
+    encoder, whole = packing.Encoder(queries.vocabulary_path(), 1), packing.Encoder(queries.vocabulary_path(), 1)
+    for k in range(60):
+        text = " ".join(f"word{k * 100 + i}x" for i in range(150)).encode()
+        assert encoder.encode([text])[0].tolist() == whole.tokenizer.encode(text.decode(), add_special_tokens=False).ids + [1]
+        assert encoder.held < 120_000
+
+
 def test_sharding(spark, tiny):
     docs = documents(spark, tiny) + [(7000 + i, "hot text " * 40) for i in range(150)] + [(None, None), (None, "a"), (9000, None)]
     got = sharding.kd_shards(frame(spark, docs), 8).collect()
