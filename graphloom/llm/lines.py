@@ -1,21 +1,26 @@
 """Line deduplication with a log-template tree, in DataFrame operations only.
 
-The tree has a fixed depth: a line descends by its number of tokens and then by its leading tokens; tokens with
-digits or an at sign are variable fields from the start. The lines of a leaf are generalised together: a place at which
-they differ becomes a variable field. If enough places stay fixed the leaf is one template; otherwise each line of the
-leaf is a template of its own.
-
-A template recurs across documents if it stands in ``min_contexts`` different surroundings, a surrounding being the
-leaves of the lines before and after, and these are at least ``min_spread`` of its occurrences. So boilerplate is found,
-while copies and near copies of one document, which mostly repeat its surroundings too, are left to document-level
-deduplication. All lines of recurring templates are dropped.
-
-Nulls, ties and odd rows: a null text has no lines and stays null. Lines of fewer than ``min_tokens`` tokens are never
-dropped. Rows that repeat both id and text behave alike; a null id is a value like others. Further columns pass through ``clean``.
+The tree has a fixed depth: a line descends by its number of tokens and then by its leading tokens; tokens with digits or an at
+sign are variable fields from the start. Of a leaf's lines the most frequent token of each place makes up its template. A
+line belongs to it if ``min_fixed`` per cent of its fixed tokens agree, the other places being variable fields; a line that does
+not is a template of its own. A leaf of many kinds of lines thus loses none of them, however large it grows.
+
+A template recurs if documents of ``min_docs`` different families have it, and these are ``min_share`` per cent of the different
+texts that have it. A family is a text with its copies and near copies, so copies of one document do not make its lines
+recur; they are left to document-level deduplication. Two texts are of one family if they agree in two of four passages:
+the five words from the first occurrence of the long word that comes first in one of four random orders. All lines
+of recurring templates are dropped, short ones and those inside a block of them too.
+
+Nulls, ties and odd rows: a null text has no lines and stays null. Lines without a fixed token, as of numbers alone, are never
+dropped. Of tokens that are equally frequent the greatest stands for its place. Rows that repeat an id and text behave
+alike, and a null id is a value like others. A text of any length is taken whole. An empty table gives no rows. Further columns pass
+through ``clean``.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,43 +29,53 @@ from .common import stored
 SPACE = r"[\\x20\\x09-\\x0D]"
 #: Stands for a variable field.
 FIELD = "<*>"
+#: Letters of a long word, orders of long words, and words of a passage.
+LONG, ORDERS, PASSAGE = 6, 4, 5
 
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """A row per line with tokens: key, its place i, number of tokens n, leaf, masked line and context."""
+    """Per document (key, text): key, links (what it shares with the others of its family) and lines: place i, leaf, masked line and number of fixed tokens."""
     tokens = f"filter(split(line, '{SPACE}+'), t -> t <> '')"
     masked = f"if(line rlike '[0-9@]', transform({tokens}, t -> if(t rlike '[0-9@]', '{FIELD}', t)), {tokens})"
-    row = f"struct(i, size(t) as n, xxhash64(size(t), slice(t, 1, {depth})) as leaf, concat_ws(' ', t) as masked)"
-    parsed = f"filter(transform(split(text, '\\n'), (line, i) -> element_at(transform(array({masked}), t -> {row}), 1)), x -> x.n > 0)"
-    near = "if(k > 0, get(l, k - 1).leaf, 0L), if(k + 1 < size(l), get(l, k + 1).leaf, 0L)"
-    placed = f"element_at(transform(array({parsed}), l -> transform(l, (x, k) -> struct(x.*, xxhash64({near}) as context))), 1)"
-    placed = placed.replace("x.*", "x.i, x.n, x.leaf, x.masked")
-    return docs.select("key", F.explode(F.expr(placed)).alias("x")).select("key", "x.*")
-
-
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 3, min_contexts: int = 10, min_spread: float = 0.3, min_fixed: float = 0.6) -> DataFrame:
+    row = f"struct(i, unhex(md5(concat_ws(' ', size(t), slice(t, 1, {depth})))) as leaf, concat_ws(' ', t) as masked, size(array_remove(t, '{FIELD}')) as fixed)"
+    parsed = f"filter(transform(split(text, '\\n'), (line, i) -> element_at(transform(array({masked}), t -> {row}), 1)), x -> x.fixed > 0)"
+    hashed = docs.select("key", "text", F.split("text", f"{SPACE}+".replace("\\\\", "\\")).alias("t"))
+    hashed = hashed.select("key", "text", "t", F.expr(f"transform(array_distinct(filter(t, w -> length(w) >= {LONG})), w -> concat(md5(w), w))").alias("w"))
+    first = [F.expr(f"array_min(transform(w, x -> substr(x, {8 * k + 1})))").alias(f"w{k}") for k in range(ORDERS)]
+    passage = [F.expr(f"xxhash64(array_join(slice(t, cast(array_position(t, substr(w{k}, {33 - 8 * k})) as int), {PASSAGE}), ' '))").alias(f"p{k}") for k in range(ORDERS)]
+    placed = hashed.select("key", "text", "t", *first).select("key", "text", *(F.when(F.col(f"w{k}").isNotNull(), p).alias(f"p{k}") for k, p in enumerate(passage)))
+    links = F.array(*(F.xxhash64(F.lit(f"{a} {b}"), f"p{a}", f"p{b}") for a, b in combinations(range(ORDERS), 2)))
+    return placed.select("key", F.when(F.col("p0").isNotNull(), links).alias("links"), F.expr(parsed).alias("lines"))
+
+
+def families(parsed: DataFrame) -> DataFrame:
+    """hash and family of the texts that share a link with a text of smaller hash."""
+    each = parsed.where("links is not null").groupBy("key.hash").agg(F.first("links").alias("links")).select("hash", F.explode("links").alias("link"))
+    each = stored(each, "links")
+    # what is joined to is written first: Spark then knows its size, and broadcasts it or splits hot keys
+    shared = stored(each.groupBy("link").agg(F.min("hash").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared-links")
+    return each.join(shared, "link").groupBy("hash").agg(F.min("least").alias("family")).where("family < hash")
+
+
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 10, min_share: int = 5, min_fixed: int = 60) -> DataFrame:
     """key (id and text hash of a document) and dropped: the places of its lines that belong to recurring templates."""
-    lines = stored(parsed_lines(_keyed(docs, id_col, text_col), depth).where(F.col("n") >= min_tokens), "lines")
+    parsed = stored(parsed_lines(docs.select(_key(id_col, text_col), F.col(text_col).alias("text")), depth), "lines")
+    lines = parsed.select("key", F.explode("lines").alias("x")).select("key", "x.*")
 
-    def spread(df: DataFrame, by: str) -> DataFrame:
-        seen = df.groupBy(by, "context").count().groupBy(by).agg(F.count("*").alias("contexts"), F.sum("count").alias("lines"))
-        return seen.where(F.col("contexts") >= min_contexts)
-
-    # a template's lines share a leaf, so only leaves with enough surroundings need a closer look
-    # what lines are joined to is written first: Spark then knows its size, and broadcasts it or splits hot leaves
-    hot = stored(spread(lines, "leaf").select("leaf"), "hot-leaves")
+    # a template's lines share a leaf, so only leaves with enough lines need a closer look
+    hot = stored(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "hot-leaves")
     lines = stored(lines.join(hot, "leaf", "left_semi"), "hot-lines")
-    places = lines.groupBy("leaf", "masked").agg(F.first("n").alias("n")).select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    fixed = places.groupBy("leaf", "n", "place").agg(F.min("token").alias("a"), F.max("token").alias("z"))
-    general = fixed.groupBy("leaf").agg((F.count_if(F.col("a") == F.col("z")) >= min_fixed * F.first("n")).alias("general"))
-    lines = lines.join(stored(general, "templates"), "leaf").select("key", "i", "context", F.when(F.col("general"), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "masked")).alias("template"))
-    recurring = spread(lines, "template").where(F.col("contexts") >= min_spread * F.col("lines")).select("template")
-    recurring = stored(recurring, "recurring")
-    return lines.join(recurring, "template", "left_semi").groupBy("key").agg(F.collect_set("i").alias("dropped"))
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(_key(id_col, text_col), F.col(text_col).alias("text"))
+    places = lines.groupBy("leaf", "masked").count().select("leaf", "count", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    seen = places.groupBy("leaf", "place", "token").agg(F.sum("count").alias("n"))
+    usual = seen.groupBy("leaf", "place").agg(F.max(F.struct(F.when(F.col("token") != FIELD, F.col("n")).otherwise(0).alias("n"), F.when(F.col("token") != FIELD, F.col("token")).otherwise("").alias("token"))).getField("token").alias("token"))
+    usual = stored(usual.groupBy("leaf").agg(F.expr("transform(array_sort(collect_list(struct(place, token))), x -> x.token)").alias("usual")), "templates")
+    agree = F.size(F.filter(F.zip_with(F.split("masked", " "), "usual", lambda x, y: x == y), lambda same: same))
+    general = 100 * agree >= min_fixed * F.col("fixed")
+    lines = lines.join(usual, "leaf").select("key", "i", F.when(general, F.col("leaf")).otherwise(F.expr("unhex(md5(concat(hex(leaf), masked)))")).alias("template"))
+    texts = lines.select("template", "key.hash").distinct().join(stored(families(parsed), "families"), "hash", "left")
+    seen = texts.groupBy("template", F.coalesce("family", "hash").alias("family")).count().groupBy("template").agg(F.count("*").alias("families"), F.sum("count").alias("texts"))
+    recurring = seen.where((F.col("families") >= min_docs) & (100 * F.col("families") >= min_share * F.col("texts"))).select("template")
+    return lines.join(stored(recurring, "recurring"), "template", "left_semi").groupBy("key").agg(F.collect_set("i").alias("dropped"))
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
@@ -72,7 +87,7 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFram
 
 
 def _key(id_col: str, text_col: str) -> Column:
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key")
+    return F.struct(F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("hash")).alias("key")
 
 
 def _text(text_col: str) -> Column:

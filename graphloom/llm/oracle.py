@@ -23,22 +23,26 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 """
 
 OP4 = rf"""
-WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-line AS (SELECT doc_id, i, l[i] AS s, list_filter(regexp_split_to_array(l[i], '{SPACES}'), lambda x: x <> '') AS t FROM raw, unnest(range(1, len(l) + 1)) r(i)),
-parsed AS (SELECT doc_id, i, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END) AS t FROM line WHERE len(t) > 0),
-leafed AS (SELECT doc_id, i, n, t, n || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS masked FROM parsed),
-placed AS (SELECT *, coalesce(lag(leaf) OVER w, '0') || chr(10) || coalesce(lead(leaf) OVER w, '0') AS context FROM leafed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-lines AS (SELECT * FROM placed WHERE n >= 3),
-hot AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT context) >= 10),
+WITH raw AS (SELECT doc_id, md5(text) AS h, string_split(text, chr(10)) AS l, regexp_split_to_array(text, '{SPACES}') AS t FROM documents),
+line AS (SELECT doc_id, h, i, l[i] AS s, list_filter(regexp_split_to_array(l[i], '{SPACES}'), lambda x: x <> '') AS t FROM raw, unnest(range(1, len(l) + 1)) r(i)),
+parsed AS (SELECT doc_id, h, i, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END) AS t FROM line WHERE len(t) > 0),
+lines AS (SELECT doc_id, h, i, n, t, n || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS masked, len(list_filter(t, lambda x: x <> '<*>')) AS fixed FROM parsed WHERE fixed > 0),
+hot AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(*) >= 10),
 near AS (SELECT * FROM lines JOIN hot USING (leaf)),
-token AS (SELECT leaf, n, p, t[p] AS x FROM near, unnest(range(1, n + 1)) r(p)),
-fixed AS (SELECT leaf, n, p, min(x) = max(x) AS same FROM token GROUP BY leaf, n, p),
-general AS (SELECT leaf, count(*) FILTER (same) >= 0.6 * min(n) AS g FROM fixed GROUP BY leaf),
-named AS (SELECT doc_id, i, context, CASE WHEN g THEN leaf ELSE leaf || chr(10) || masked END AS template FROM near JOIN general USING (leaf)),
-again AS (SELECT template FROM named GROUP BY template HAVING count(DISTINCT context) >= 10 AND count(DISTINCT context) >= 0.3 * count(*)),
+token AS (SELECT doc_id, i, leaf, p, t[p] AS x FROM near, unnest(range(1, n + 1)) r(p) WHERE t[p] <> '<*>'),
+often AS (SELECT leaf, p, x, count(*) AS c FROM token GROUP BY leaf, p, x),
+usual AS (SELECT leaf, p, x FROM often QUALIFY row_number() OVER (PARTITION BY leaf, p ORDER BY c DESC, x DESC) = 1),
+agree AS (SELECT doc_id, i, count(*) AS m FROM token JOIN usual USING (leaf, p, x) GROUP BY doc_id, i),
+named AS (SELECT doc_id, h, i, CASE WHEN 100 * m >= 60 * fixed THEN leaf ELSE leaf || chr(10) || masked END AS template FROM near LEFT JOIN agree USING (doc_id, i)),
+long AS (SELECT h, t, list_transform(list_filter(t, lambda x: length(x) >= 6), lambda x: md5(x) || x) AS w FROM (SELECT h, any_value(t) AS t FROM raw WHERE h IS NOT NULL GROUP BY h)),
+first AS (SELECT h, t, k, substr(list_min(list_transform(w, lambda x: substr(x, 8 * k + 1))), 33 - 8 * k) AS x FROM long, unnest(range(4)) r(k) WHERE len(w) > 0),
+passage AS (SELECT h, k, array_to_string(t[list_position(t, x):list_position(t, x) + 4], ' ') AS x FROM first),
+pair AS (SELECT a.h, a.k AS j, b.k, a.x, b.x AS y FROM passage a JOIN passage b ON a.h = b.h AND a.k < b.k),
+family AS (SELECT h, min(least) AS f FROM pair JOIN (SELECT j, k, x, y, min(h) AS least FROM pair GROUP BY j, k, x, y) USING (j, k, x, y) GROUP BY h),
+again AS (SELECT template FROM named LEFT JOIN family USING (h) GROUP BY template HAVING count(DISTINCT coalesce(f, h)) >= 10 AND 100 * count(DISTINCT coalesce(f, h)) >= 5 * count(DISTINCT h)),
 gone AS (SELECT doc_id, i FROM named JOIN again USING (template)),
 kept AS (SELECT line.doc_id, count(gone.i) AS n_dropped, string_agg(s, chr(10) ORDER BY line.i) FILTER (WHERE gone.i IS NULL) AS t FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i GROUP BY line.doc_id)
-SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN l IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256 FROM raw LEFT JOIN kept USING (doc_id)
+SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN l IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256 FROM raw LEFT JOIN kept USING (doc_id)
 """
 
 OP5 = """
