@@ -30,22 +30,28 @@ SPACE = r"[\\x20\\x09-\\x0D]"
 #: Stands for a variable field.
 FIELD = "<*>"
 #: Letters of a long word, orders of long words, and words of a passage.
-LONG, ORDERS, PASSAGE = 6, 4, 5
+LONG, ORDERS, PASSAGE = 8, 4, 5
+
+
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with a name for ``value``, which is so evaluated once and not copied between operators."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
     """Per document (key, text): key, links (what it shares with the others of its family) and lines: place i, leaf, masked line and number of fixed tokens."""
-    tokens = f"filter(split(line, '{SPACE}+'), t -> t <> '')"
-    masked = f"if(line rlike '[0-9@]', transform({tokens}, t -> if(t rlike '[0-9@]', '{FIELD}', t)), {tokens})"
+    tokens = f"transform(l, x -> filter(split(x, '{SPACE}+'), t -> t <> ''))"
+    # the texts of a family agree in passages; the md5 sum of a long word gives its places in the orders
+    marked = f"transform(array_distinct(filter(t, x -> length(x) >= {LONG})), x -> concat(md5(x), x))"
+    first = [f"array_min(transform(w, x -> substr(x, {8 * k + 1})))" if k else "array_min(w)" for k in range(ORDERS)]
+    passage = [f"xxhash64(array_join(slice(t, cast(array_position(t, substr({x}, {33 - 8 * k})) as int), {PASSAGE}), ' '))" for k, x in enumerate(first)]
+    pairs = ", ".join(f"xxhash64('{a} {b}', p[{a}], p[{b}])" for a, b in combinations(range(ORDERS), 2))
+    links = _bound("t", "flatten(tokens)", _bound("w", marked, f"if(size(w) > 0, {_bound('p', f'array({", ".join(passage)})', f'array({pairs})')}, null)"))
+    masked = f"if(get(l, i) rlike '[0-9@]', transform(x, t -> if(t rlike '[0-9@]', '{FIELD}', t)), x)"
     row = f"struct(i, unhex(md5(concat_ws(' ', size(t), slice(t, 1, {depth})))) as leaf, concat_ws(' ', t) as masked, size(array_remove(t, '{FIELD}')) as fixed)"
-    parsed = f"filter(transform(split(text, '\\n'), (line, i) -> element_at(transform(array({masked}), t -> {row}), 1)), x -> x.fixed > 0)"
-    hashed = docs.select("key", "text", F.split("text", f"{SPACE}+".replace("\\\\", "\\")).alias("t"))
-    hashed = hashed.select("key", "text", "t", F.expr(f"transform(array_distinct(filter(t, w -> length(w) >= {LONG})), w -> concat(md5(w), w))").alias("w"))
-    first = [F.expr(f"array_min(transform(w, x -> substr(x, {8 * k + 1})))").alias(f"w{k}") for k in range(ORDERS)]
-    passage = [F.expr(f"xxhash64(array_join(slice(t, cast(array_position(t, substr(w{k}, {33 - 8 * k})) as int), {PASSAGE}), ' '))").alias(f"p{k}") for k in range(ORDERS)]
-    placed = hashed.select("key", "text", "t", *first).select("key", "text", *(F.when(F.col(f"w{k}").isNotNull(), p).alias(f"p{k}") for k, p in enumerate(passage)))
-    links = F.array(*(F.xxhash64(F.lit(f"{a} {b}"), f"p{a}", f"p{b}") for a, b in combinations(range(ORDERS), 2)))
-    return placed.select("key", F.when(F.col("p0").isNotNull(), links).alias("links"), F.expr(parsed).alias("lines"))
+    parsed = f"filter(transform(tokens, (x, i) -> {_bound('t', masked, row)}), x -> x.fixed > 0)"
+    both = _bound("l", "split(text, '\\n')", _bound("tokens", tokens, f"struct({links} as links, {parsed} as lines)"))
+    return docs.where("text is not null").select("key", F.expr(both).alias("x")).select("key", "x.*")
 
 
 def families(parsed: DataFrame) -> DataFrame:
@@ -79,11 +85,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
-    """row, lines and kept, the places of the lines that stay, of every document."""
+    """row (all columns) and dropped, the places of the lines that go, of every document."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key(id_col, text_col))
     found = recurring_lines(docs, id_col, text_col, **options)
-    joined = rows.join(found, rows["key"].eqNullSafe(found["key"]), "left").select("row", F.split(F.col("row").getField(text_col), "\\n").alias("lines"), "dropped")
-    return joined.select("row", "lines", F.when(F.col("dropped").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))).alias("kept"))
+    return rows.join(found, rows["key"].eqNullSafe(found["key"]), "left").select("row", "dropped")
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -91,14 +96,18 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def _text(text_col: str) -> Column:
-    kept = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
-    return F.when(F.col("kept").isNull(), F.col("row").getField(text_col)).otherwise(kept)
+    """What is left of the text. The lines are bound to a name, or they would be split anew for each that stays."""
+    kept = "transform(array_except(sequence(0, size(l) - 1), dropped), i -> get(l, i))"
+    left = F.expr(f"array_join(element_at(transform(array(split(row.`{text_col}`, '\\n')), l -> {kept}), 1), '\n')")
+    return F.when(F.col("dropped").isNull(), F.col("row").getField(text_col)).otherwise(left)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_lines, n_dropped and text (what is left) of every document."""
-    n = F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(F.size("lines").cast("long"))
-    return _cut(docs, id_col, text_col, options).select(F.col("row").getField(id_col).alias("doc_id"), n.alias("n_lines"), F.when(F.col("kept").isNull(), F.lit(0).cast("long")).otherwise(n - F.size("kept")).alias("n_dropped"), _text(text_col).alias("text"))
+    text = F.col("row").getField(text_col)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)
+    n_dropped = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
+    return _cut(docs, id_col, text_col, options).select(F.col("row").getField(id_col).alias("doc_id"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), _text(text_col).alias("text"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -106,4 +115,4 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     cut = _cut(docs, id_col, text_col, options)
     text = _text(text_col)
     columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return cut.where(F.col("kept").isNull() | text.rlike("[^\\x20\\x09-\\x0D]")).select(*columns)
+    return cut.where(F.col("dropped").isNull() | text.rlike("[^\\x20\\x09-\\x0D]")).select(*columns)

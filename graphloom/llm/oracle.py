@@ -23,7 +23,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 """
 
 OP4 = rf"""
-WITH raw AS (SELECT doc_id, md5(text) AS h, string_split(text, chr(10)) AS l, regexp_split_to_array(text, '{SPACES}') AS t FROM documents),
+WITH raw AS (SELECT doc_id, md5(text) AS h, string_split(text, chr(10)) AS l, {WORDS} AS t FROM documents),
 line AS (SELECT doc_id, h, i, l[i] AS s, list_filter(regexp_split_to_array(l[i], '{SPACES}'), lambda x: x <> '') AS t FROM raw, unnest(range(1, len(l) + 1)) r(i)),
 parsed AS (SELECT doc_id, h, i, len(t) AS n, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END) AS t FROM line WHERE len(t) > 0),
 lines AS (SELECT doc_id, h, i, n, t, n || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS masked, len(list_filter(t, lambda x: x <> '<*>')) AS fixed FROM parsed WHERE fixed > 0),
@@ -34,7 +34,7 @@ often AS (SELECT leaf, p, x, count(*) AS c FROM token GROUP BY leaf, p, x),
 usual AS (SELECT leaf, p, x FROM often QUALIFY row_number() OVER (PARTITION BY leaf, p ORDER BY c DESC, x DESC) = 1),
 agree AS (SELECT doc_id, i, count(*) AS m FROM token JOIN usual USING (leaf, p, x) GROUP BY doc_id, i),
 named AS (SELECT doc_id, h, i, CASE WHEN 100 * m >= 60 * fixed THEN leaf ELSE leaf || chr(10) || masked END AS template FROM near LEFT JOIN agree USING (doc_id, i)),
-long AS (SELECT h, t, list_transform(list_filter(t, lambda x: length(x) >= 6), lambda x: md5(x) || x) AS w FROM (SELECT h, any_value(t) AS t FROM raw WHERE h IS NOT NULL GROUP BY h)),
+long AS (SELECT h, t, list_transform(list_filter(t, lambda x: length(x) >= 8), lambda x: md5(x) || x) AS w FROM (SELECT h, any_value(t) AS t FROM raw WHERE h IS NOT NULL GROUP BY h)),
 first AS (SELECT h, t, k, substr(list_min(list_transform(w, lambda x: substr(x, 8 * k + 1))), 33 - 8 * k) AS x FROM long, unnest(range(4)) r(k) WHERE len(w) > 0),
 passage AS (SELECT h, k, array_to_string(t[list_position(t, x):list_position(t, x) + 4], ' ') AS x FROM first),
 pair AS (SELECT a.h, a.k AS j, b.k, a.x, b.x AS y FROM passage a JOIN passage b ON a.h = b.h AND a.k < b.k),

@@ -26,8 +26,8 @@ def frame(spark, rows):
 
 def family_links(text):
     """What a text shares with the texts of its family, by the rule of lines.families."""
-    t = re.split(r"[\x20\x09-\x0D]+", text)
-    long = {w for w in t if len(w) >= 6}
+    t = WORD.findall(text)
+    long = {w for w in t if len(w) >= 8}
     if not long:
         return []
     marked = [hashlib.md5(w.encode()).hexdigest() + w for w in long]
