@@ -5,30 +5,37 @@ match, so a shard keeps only its runs of benchmark words that are long enough, a
 suffixes by prefix doubling. Every test suffix is binary-searched by its first ``window`` words;
 the range found gives all occurrences, and occurrences that follow each other in both texts make
 up the longest verbatim match. No row is shuffled. The benchmark is the stated query set: it is
-taken in blocks of bounded size, each block being one more pass over the documents.
+taken in blocks of bounded size, which are written to the shared scratch space once and read in turn by every task,
+so the documents are read once and a task holds one block.
 
 Nulls, ties and odd rows: a null text or item has no words; an item without words matches nothing,
 and one without an id is left out. Rows of documents are judged one by one, so repeated ids and null
-ids give a row each. Items that share an id count once. Further columns pass through ``clean``.
+ids give a row each. Items that share an id count once. Of an item's matches of equal length the first is named. A text of
+any length is one part of a shard; however often a document and an item repeat one window, what is held grows with
+the item alone. An empty table gives no rows, an empty benchmark no hits. Further columns pass through ``clean``.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, chunks_by_size, ship_by_value
+from .common import byte_texts, chunks_by_size, scratch_dir, ship_by_value
 
-#: Bytes of benchmark text that one pass over the documents takes.
+#: Bytes of benchmark text that a task searches for at a time.
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents that make up one shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Letters and digits stay, A-Z in lower case; other ASCII separates words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -70,11 +77,14 @@ class TestSuffixes:
         self.window, self.vocabulary, self.items = window, {}, sorted({i for i, _ in items})
         number = {i: n for n, i in enumerate(self.items)}
         where = defaultdict(list)
+        owner, first = [], []  # of each place, the item and where its text starts; a place of no text parts the texts
         for item_id, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(text))
-            width = min(window, len(ids))
+            width, start = min(window, len(ids)), len(owner) + 1
             for p in range(len(ids) - width + 1 if ids else 0):
-                where[ids[p : p + width]].append((number[item_id], p))
+                where[ids[p : p + width]].append(start + p)
+            owner += [number[item_id]] * (len(ids) + 1)
+            first += [start] * (len(ids) + 1)
         windows = sorted(where)
         self.width = np.array([len(w) for w in windows], dtype=np.int64)
         self.shortest = int(self.width.min()) if windows else 0
@@ -83,8 +93,8 @@ class TestSuffixes:
             low[k, : len(w)] = high[k, : len(w)] = w
         self.low, self.high = _keys(low, window), _keys(high, window)
         self.first = np.r_[0, np.cumsum([len(where[w]) for w in windows])].astype(np.int64)
-        places = np.array([x for w in windows for x in where[w]], dtype=np.int64).reshape(-1, 2)
-        self.item, self.place = places[:, 0], places[:, 1]
+        self.places = np.array([x for w in windows for x in where[w]], dtype=np.int64)
+        self.owner, self.start = np.array([*owner, 0], dtype=np.int64), np.array([*first, 0], dtype=np.int64)
 
     def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows found in a shard's word ids (0: no benchmark word) and where they start."""
@@ -108,67 +118,99 @@ class TestSuffixes:
         return window, place[order[at]]
 
 
-def _pass(tests: TestSuffixes):
-    """Add one block's hits to the spans and matches that rows have so far."""
-
-    def shard(docs: list[list[bytes]]) -> list[tuple[list, list]]:
-        get = tests.vocabulary.get
-        sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-        first = np.cumsum(sizes) - sizes
-        ids = np.zeros(int(sizes.sum()), dtype=np.int64)
-        for f, d in zip(first.tolist(), docs, strict=True):
-            ids[f : f + len(d)] = np.fromiter(map(get, d, repeat(0)), dtype=np.int64, count=len(d))
-        out: list[tuple[list, list]] = [([], []) for _ in docs]
-        window, at = tests.occurrences(ids)
-        if not len(at):
-            return out
-        change = np.zeros(len(ids) + 1, dtype=np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + tests.width[window], -1)
-        edges = np.flatnonzero(np.diff(np.r_[False, np.cumsum(change)[:-1] > 0, False].astype(np.int8)))
-        for a, z, d in zip(edges[::2].tolist(), edges[1::2].tolist(), (np.searchsorted(first, edges[::2], "right") - 1).tolist(), strict=True):
-            out[d][0].append((a - int(first[d]), z - int(first[d])))
-        # each occurrence once for every item and place that has its window; then runs along both texts
-        many = tests.first[window + 1] - tests.first[window]
-        pick = np.arange(int(many.sum())) + np.repeat(tests.first[window] - (np.cumsum(many) - many), many)
-        item, shift, pos, width = tests.item[pick], np.repeat(at, many) - tests.place[pick], np.repeat(at, many), np.repeat(tests.width[window], many)
-        order = np.lexsort((pos, shift, item))
-        item, shift, pos, width = item[order], shift[order], pos[order], width[order]
-        cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (pos[1:] != pos[:-1] + 1)])
-        length = np.r_[cut[1:], len(pos)] - cut - 1 + width[cut]
-        item, pos, place = item[cut], pos[cut], (pos - shift)[cut]
-        doc = np.searchsorted(first, pos, "right") - 1
-        order = np.lexsort((pos, -length, item, doc))
-        seen = None
-        for k in order.tolist():
-            if (doc[k], item[k]) != seen:
-                seen = (doc[k], item[k])
-                out[doc[k]][1].append({"item_id": tests.items[item[k]], "length": int(length[k]), "doc_word": int(pos[k] - first[doc[k]]), "item_word": int(place[k])})
-        return out
-
-    def merged(spans: list[tuple[int, int]]) -> list[dict]:
-        out: list[list[int]] = []
-        for a, z in sorted(spans):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], z)
-            else:
-                out.append([a, z])
-        return [{"start": a, "stop": z} for a, z in out]
+class LongestMatches:
+    """The longest verbatim match of every document with every item of a block.
+
+    Windows found one word further on in both texts lengthen a run; only the runs that end at the word before are held, a
+    number for each place of the block.
+    """
+
+    def __init__(self, tests: TestSuffixes) -> None:
+        self.tests = tests
+        self.seen = np.full(len(tests.owner), -2, dtype=np.int64)  # where in the shard a place was last matched
+        self.run = np.zeros(len(tests.owner), dtype=np.int64)
+        self.best = np.zeros(len(tests.items), dtype=np.int64)
+
+    def find(self, at: np.ndarray, window: np.ndarray, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, dict]]:
+        """(document, match) for windows that start at rising words of the shard."""
+        t, best, words = self.tests, self.best, {}
+        last = None
+        for pos, w, d in zip(at.tolist(), window.tolist(), doc.tolist(), strict=True):
+            if d != last:
+                yield from self.done(last, words, first)
+                last, words = d, {}
+            place = t.places[t.first[w] : t.first[w + 1]]
+            run = np.where(self.seen[place - 1] == pos - 1, self.run[place - 1], 0) + 1
+            self.seen[place], self.run[place] = pos, run
+            item, length = t.owner[place], run + t.width[w] - 1
+            longer = np.flatnonzero(length > best[item])
+            if len(longer):
+                order = longer[np.lexsort((-place[longer], length[longer]))]  # of one item the last one stays
+                best[item[order]] = length[order]
+                for k in order.tolist():
+                    words[int(item[k])] = (pos - int(run[k]) + 1, int(place[k] - run[k] + 1 - t.start[place[k]]))
+        yield from self.done(last, words, first)
+
+    def done(self, doc: int | None, words: dict[int, tuple[int, int]], first: np.ndarray) -> Iterator[tuple[int, dict]]:
+        for item in sorted(words):
+            pos, place = words[item]
+            yield doc, {"item_id": self.tests.items[item], "length": int(self.best[item]), "doc_word": pos - int(first[doc]), "item_word": place}
+            self.best[item] = 0
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return [{"start": a, "stop": z} for a, z in out]
+
+
+def _search(tests: TestSuffixes, docs: list[list[bytes]], spans: list[list], matches: list[list]) -> None:
+    """Add what one block finds in one shard."""
+    get = tests.vocabulary.get
+    sizes = np.array([len(d) + 1 for d in docs], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    ids = np.zeros(int(sizes.sum()), dtype=np.int64)
+    for f, d in zip(first.tolist(), docs, strict=True):
+        ids[f : f + len(d)] = np.fromiter(map(get, d, repeat(0)), dtype=np.int64, count=len(d))
+    window, at = tests.occurrences(ids)
+    if not len(at):
+        return
+    change = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + tests.width[window], -1)
+    edges = np.flatnonzero(np.diff(np.r_[False, np.cumsum(change)[:-1] > 0, False].astype(np.int8)))
+    for a, z, d in zip(edges[::2].tolist(), edges[1::2].tolist(), (np.searchsorted(first, edges[::2], "right") - 1).tolist(), strict=True):
+        spans[d].append((a - int(first[d]), z - int(first[d])))
+    order = np.argsort(at, kind="stable")
+    at, window = at[order], window[order]
+    for d, match in LongestMatches(tests).find(at, window, np.searchsorted(first, at, "right") - 1, first):
+        matches[d].append(match)
+
+
+def _scan(uri: str, blocks: int):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    match = pa.list_(pa.struct([("item_id", pa.string()), ("length", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(uri)
+        held, tests = -1, None
         for batch in batches:
-            texts = byte_texts(batch.column("text"))
-            n_words, spans, matches = [], batch.column("spans").to_pylist(), batch.column("matches").to_pylist()
-            for a, z in chunks_by_size([len(t or b"") + 100 for t in texts], SHARD_BYTES):
-                docs = [split_words(t) for t in texts[a:z]]
-                n_words += [len(d) for d in docs]
-                for i, (more, found) in enumerate(shard(docs), a):
-                    if more:
-                        spans[i] = merged([(s["start"], s["stop"]) for s in spans[i]] + more)
-                        matches[i] = matches[i] + found
-            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            match = pa.list_(pa.struct([("item_id", pa.string()), ("length", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(matches, match)], names=["row", "text", "n_words", "spans", "matches"])
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for a, z in chunks_by_size([n + 100 for n in lengths], SHARD_BYTES):
+                part = batch.slice(a, z - a)
+                docs = [split_words(t) for t in byte_texts(part.column("text"))]
+                spans: list[list] = [[] for _ in docs]
+                matches: list[list] = [[] for _ in docs]
+                for b in range(blocks):
+                    if b != held:
+                        with store.open_input_stream(f"{path}/{b}") as f:
+                            held, tests = b, pickle.loads(f.read())
+                    _search(tests, docs, spans, matches)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(d) for d in docs], pa.int64()), pa.array([_merged(s) for s in spans], span), pa.array(matches, match)], names=["row", "n_words", "spans", "matches"])
 
     return run
 
@@ -178,11 +220,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast(_MATCHES).alias("matches"))
+    uri = scratch_dir(docs.sparkSession, "test-suffixes")
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path, recursive=True)
     for b in range(blocks):
-        block = [(r.item_id, (r.text or "").encode()) for r in items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {b}")).toLocalIterator()]
-        found = found.mapInArrow(_pass(TestSuffixes(block, window)), found.schema)
-    return found
+        block = [(r.item_id, (r.text or "").encode()) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {b}")).toLocalIterator()]
+        with store.open_output_stream(f"{path}/{b}") as f:
+            f.write(cloudpickle.dumps(TestSuffixes(block, window)))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    schema = docs.select(row, F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast(_MATCHES).alias("matches")).schema
+    return docs.select(row, F.col(text_col).alias("text")).mapInArrow(_scan(uri, blocks), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -168,6 +168,49 @@ def test_decontamination(spark, tiny, monkeypatch):
     assert not decontam.contamination(frame(spark, docs), bench.limit(0)).where("contaminated").count()
 
 
+def test_longest_matches_of_windows_that_repeat():
+    """Against a table of all pairs of places; what is held does not grow with their number."""
+    rng = np.random.default_rng(4)
+    items = [("a", b"x " * 14), ("b", b" ".join(b"uv"[i : i + 1] for i in rng.integers(0, 2, 60))), ("c", b"u v"), ("a", b"v " * 11)]
+    tests = decontam.TestSuffixes(items, 4)
+    docs = [[b"xuv"[i : i + 1] for i in rng.integers(0, 3, 80)] for _ in range(6)] + [[b"x"] * 40, [b"u", b"v"] * 20]
+    spans, matches = [[] for _ in docs], [[] for _ in docs]
+    decontam._search(tests, docs, spans, matches)
+    for d, own in zip(docs, matches):
+        want = {}
+        for name, text in items:
+            t = text.split()
+            run = {}
+            for p in range(len(d)):
+                fresh = {}
+                for q in range(len(t)):
+                    if d[p] == t[q]:
+                        n = fresh[q] = run.get(q - 1, 0) + 1
+                        if n >= min(4, len(t)) and n > want.get(name, (0,))[0]:
+                            want[name] = (n, p - n + 1)
+                run = fresh
+        assert {m["item_id"]: m["length"] for m in own} == {k: v[0] for k, v in want.items()}
+        for m in own:
+            assert any(d[m["doc_word"] :][: m["length"]] == t.split()[m["item_word"] :][: m["length"]] for k, t in items if k == m["item_id"])
+
+
+def test_decontamination_of_a_long_repeat_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from graphloom.llm import decontam
+tests = decontam.TestSuffixes([("a", b"same " * 2000)], 10)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+spans, matches = [[]], [[]]
+decontam._search(tests, [[b"same"] * 20000], spans, matches)
+assert matches[0][0]["length"] == 2000 and spans[0] == [(0, 20000)]
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
 def test_packing(spark, tiny):
     from tokenizers import Tokenizer
 
