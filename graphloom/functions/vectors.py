@@ -7,14 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import text
+from .scratch import scratch_dir
 
-#: Bytes of the smaller side that each pass of a similarity join sends to the tasks.
+#: Bytes of a block of the right side of a similarity join, and rows that are multiplied at a time.
 BLOCK_BYTES = 32 << 20
+LEFT_ROWS, RIGHT_ROWS = 1024, 4096
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -37,55 +41,81 @@ def centroid(df: DataFrame, group: str | list[str], vec: str, out: str = "centro
     return df.select(*keys).distinct().join(found, keys, "left")
 
 
-def _matches(ids: np.ndarray, matrix: np.ndarray, threshold: float | None, k: int | None, exclude_self: bool):
+def _unit_rows(ids: pa.ChunkedArray | pa.Array, vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of length one; vectors without a length become NaN."""
+    if isinstance(vectors, pa.ChunkedArray):
+        ids, vectors = ids.combine_chunks(), vectors.combine_chunks()
+    n = len(vectors)
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return ids.to_numpy(zero_copy_only=False), rows / np.where(norm > 0, norm, np.nan)
+
+
+def _matches(uri: str, blocks: list[int], threshold: float | None, k: int | None, exclude_self: bool):
+    """Left rows, LEFT_ROWS at a time, against every block in turn; the best k of a row so far are kept."""
+
+    def load(store: fs.FileSystem, path: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+        table = pq.read_table(f"{path}/block={block}", columns=["b_id", "v"], filesystem=store, partitioning=None)
+        return _unit_rows(table.column("b_id"), table.column("v"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(uri)
+        held: tuple = (None, None, None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                left = part.column(0).to_numpy(zero_copy_only=False)
-                if not len(left):
-                    continue
-                x = np.array(part.column(1).to_pylist(), dtype=np.float64)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                sims = (x / np.where(norm > 0, norm, np.nan)) @ matrix.T
-                if exclude_self:
-                    sims[left[:, None] == ids[None, :]] = np.nan
-                keep = ~np.isnan(sims) if threshold is None else sims >= threshold
-                if k is not None and sims.shape[1] > k:
-                    # rows with ties at the k-th place keep all of them; the final ranking decides
-                    filled = np.where(keep, sims, -np.inf)
-                    keep &= filled >= np.partition(filled, -k, axis=1)[:, -k][:, None] - 1e-12
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(left[i]), pa.array(ids[j]), pa.array(sims[i, j])], names=["a_id", "b_id", "similarity"])
+            for at in range(0, batch.num_rows, LEFT_ROWS):
+                part = batch.slice(at, LEFT_ROWS)
+                left, x = _unit_rows(part.column(0), part.column(1))
+                skips = part.column(2).to_pylist()
+                row, other, sim = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+                for block in blocks:
+                    if held[0] != block:
+                        held = (block, *load(store, path, block))
+                    _, ids, matrix = held
+                    for start in range(0, len(ids), RIGHT_ROWS):
+                        some = ids[start : start + RIGHT_ROWS]
+                        sims = x @ matrix[start : start + RIGHT_ROWS].T
+                        if exclude_self:
+                            sims[left[:, None] == some[None, :]] = np.nan
+                        for i, skip in enumerate(skips):
+                            if skip:
+                                sims[i, np.isin(some, skip)] = np.nan
+                        keep = ~np.isnan(sims) if threshold is None else sims >= threshold
+                        if k is not None and sims.shape[1] > k:
+                            # ties at the k-th place stay until the last ranking
+                            filled = np.where(keep, sims, -np.inf)
+                            keep &= filled >= np.partition(filled, -k, axis=1)[:, -k][:, None] - 1e-12
+                        i, j = np.nonzero(keep)
+                        row, other, sim = np.r_[row, i], np.r_[other, some[j]], np.r_[sim, sims[i, j]]
+                        if k is None and len(row) > RIGHT_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(left[row]), pa.array(other), pa.array(sim)], names=["a_id", "b_id", "similarity"])
+                            row, other, sim = row[:0], other[:0], sim[:0]
+                    if k is not None and len(row):
+                        order = np.lexsort((other, -np.round(sim, 9), row))
+                        row, other, sim = row[order], other[order], sim[order]
+                        place = np.arange(len(row)) - np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], np.arange(len(row)), 0))
+                        row, other, sim = row[place < k], other[place < k], sim[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(left[row]), pa.array(other), pa.array(sim)], names=["a_id", "b_id", "similarity"])
 
     return run
 
 
-def similarity_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str, threshold: float | None = None, k: int | None = None, exclude_self: bool = False) -> DataFrame:
-    """(a_id, b_id, similarity) of vectors of long ids with a cosine of ``threshold`` or more, at most ``k`` per ``a`` (and ties).
+def similarity_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, vec: str, threshold: float | None = None, k: int | None = None, exclude_self: bool = False, skip: str | None = None) -> DataFrame:
+    """(a_id, b_id, similarity) of vectors of long ids with a cosine of ``threshold`` or more, at most ``k`` per row of ``a``, ties by b_id.
 
-    ``b``, the smaller side, is taken in blocks of bounded bytes; each is one pass of block matrix products over ``a``. Nothing
-    but a block is ever on the driver. Null and zero vectors match nothing.
+    ``b`` is written to the shared scratch space in blocks of bounded bytes; ``a`` is read once, and each task takes the blocks in
+    turn and multiplies. Nothing of either side is on the driver but counts. ``skip`` is a column of ``a`` with ids that its row
+    must not meet. Null and zero vectors match nothing.
     """
-    from pyspark.sql import Window
-
-    left = a.where(F.col(vec).isNotNull()).select(F.col(a_id).cast("long").alias("a_id"), F.col(vec).alias("v"))
+    ids = F.col(skip).cast("array<long>") if skip else F.lit(None).cast("array<long>")
+    left = a.where(F.col(vec).isNotNull()).select(F.col(a_id).cast("long").alias("a_id"), F.col(vec).alias("v"), ids.alias("skip"))
     right = b.where(F.col(vec).isNotNull()).select(F.col(b_id).cast("long").alias("b_id"), F.col(vec).alias("v"))
     n, width = right.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * (width or 1) * 8 // BLOCK_BYTES))
-    out = None
-    for block in range(blocks):
-        rows = right.where(F.pmod(F.xxhash64("b_id"), F.lit(blocks)) == block).orderBy("b_id").collect()
-        ids = np.array([r.b_id for r in rows], dtype=np.int64)
-        matrix = np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(norm > 0, norm, np.nan)
-        part = left.mapInArrow(_matches(ids, matrix, threshold, k, exclude_self), "a_id long, b_id long, similarity double") if rows else left.sparkSession.createDataFrame([], "a_id long, b_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if k is not None:
-        rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc(F.round("similarity", 9)), "b_id"))
-        out = out.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
-    return out
+    uri = scratch_dir(a.sparkSession, "vectors")
+    cut = right.withColumn("block", F.pmod(F.xxhash64("b_id"), F.lit(blocks)).cast("int"))
+    (cut.repartition(blocks, "block") if blocks > 1 else cut).write.partitionBy("block").parquet(uri)
+    made = [r.block for r in a.sparkSession.read.schema("b_id long, block int").parquet(uri).select("block").distinct().orderBy("block").collect()] if n else []
+    return left.mapInArrow(_matches(uri, made, threshold, k, exclude_self), "a_id long, b_id long, similarity double")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import dedupe_key, location_city, location_country
 from ..functions.predicates import text_match
+from .joins import mirrored
 
 
 def count_children(parents: DataFrame, children: DataFrame, foreign: str, search: str | None = None, by_name: bool = False) -> DataFrame:
@@ -36,8 +37,12 @@ def overlap(edges: Mapping[str, Sequence[tuple[DataFrame, str, str]]], seeds: Da
         for df, self_col, nbr_col in tables:
             e = df.select(F.col(self_col).alias("peer"), F.col(nbr_col).alias("neighbour")).where("peer is not null and neighbour is not null").distinct()
             mine = e.withColumnRenamed("peer", "seed")
-            mine = mine if seeds is None else mine.join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
-            parts.append(mine.join(e, "neighbour").where("seed <> peer").groupBy("seed", "peer").agg(F.count("*").alias("shared")).withColumn("label", F.lit(label)))
+            if seeds is None:  # each pair is counted once and then mirrored
+                counts = mirrored(mine.join(e, "neighbour").where("seed < peer").groupBy("seed", "peer").agg(F.count("*").alias("shared")), "shared")
+            else:
+                mine = mine.join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
+                counts = mine.join(e, "neighbour").where("seed <> peer").groupBy("seed", "peer").agg(F.count("*").alias("shared"))
+            parts.append(counts.withColumn("label", F.lit(label)))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("seed", "peer", "label").agg(F.sum("shared").alias("shared"))
 
 

@@ -83,21 +83,26 @@ def adjacency(edges: DataFrame, vertices: DataFrame, types: Sequence[str] | None
     kept = edges if types is None else edges.where(F.col("edge_type").isin(list(types)))
     known = vertices.select("id").distinct()
     kept = kept.select("src_id", "dst_id", "edge_type").distinct().join(known.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(known.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
-    there = kept.select(F.col("src_id").alias("node"), F.col("dst_id").alias("other"), "src_id", "dst_id", "edge_type")
-    back = kept.select(F.col("dst_id").alias("node"), F.col("src_id").alias("other"), "src_id", "dst_id", "edge_type").where("node <> other")
-    return there.unionByName(back)
+    there = F.struct(F.col("src_id").alias("node"), F.col("dst_id").alias("other"))
+    back = F.struct(F.col("dst_id").alias("node"), F.col("src_id").alias("other"))
+    ends = F.when(F.col("src_id") == F.col("dst_id"), F.array(there)).otherwise(F.array(there, back))
+    return kept.select(F.inline(ends), "src_id", "dst_id", "edge_type")
 
 
 def reach(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
-    """(seed, node, depth) of all nodes within ``max_depth`` links (node, other) of each seed (seed)."""
+    """(seed, node, depth) of all nodes within ``max_depth`` links (node, other) of each seed (seed).
+
+    Links go both ways, so what is next to a level is in that level, the one before or the next: a step is compared with
+    the last two levels alone.
+    """
     visited = materialised(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), "reach")
-    frontier = visited
+    frontier = recent = visited
     for depth in range(1, max_depth + 1):
         step = frontier.select("seed", "node").join(links.select("node", "other"), "node").select("seed", F.col("other").alias("node")).distinct()
-        frontier = materialised(step.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        fresh = materialised(step.join(recent.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if depth < max_depth and fresh.isEmpty():
             break
-        visited = visited.unionByName(frontier)
+        visited, recent, frontier = visited.unionByName(fresh), frontier.unionByName(fresh), fresh
     return visited
 
 
@@ -107,7 +112,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, max_depth:
     Nodes are all within max_depth; edges all that touch a node nearer than that. Over a budget the first in order of depth and id stay.
     """
     links = materialised(adjacency(edges, vertices, types), "adjacency")
-    found = reach(seeds, links.select("node", "other").distinct(), max_depth)
+    found = reach(seeds, materialised(links.select("node", "other").distinct(), "links"), max_depth)
     touched = found.where(F.col("depth") < max_depth).join(links, "node").groupBy("seed", "src_id", "dst_id", "edge_type").agg(F.min("depth").alias("depth"))
     cut = seeds.select("seed").distinct().withColumn("truncated", F.lit(False))
     if max_nodes is not None:
@@ -128,38 +133,51 @@ def traverse(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, max_depth:
     return nodes, touched.select("seed", "src_id", "dst_id", "edge_type"), cut
 
 
-def shortest_path(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, max_depth: int = 6, types: Sequence[str] | None = None) -> DataFrame:
+def shortest_path(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, max_depth: int = 6, types: Sequence[str] | None = None, max_visited: int | None = None) -> DataFrame:
     """(start, end, path, weight) of pairs (start, end) that are joined by at most ``max_depth`` edges.
 
-    Both ends grow level by level, for all pairs at once, until they meet; of equal paths the one through lesser ids wins.
+    Both ends grow level by level, for all pairs at once, the side with fewer nodes first, until they meet; of equal paths the one
+    through lesser ids wins. Only the newest levels are compared: all nearer meetings have been seen. With ``max_visited`` a pair whose
+    two sides hold more nodes than that is given up: it has a row with a null path and ``truncated`` true.
     """
     known = vertices.select("id").distinct()
     pairs = pairs.select("start", "end").distinct().join(known.withColumnRenamed("id", "start"), "start", "left_semi").join(known.withColumnRenamed("id", "end"), "end", "left_semi")
     links = materialised(adjacency(edges, vertices, types).select("node", "other").distinct(), "adjacency")
-    side = lambda at: materialised(pairs.select("start", "end", F.col(at).alias("node"), F.lit(0).alias("depth"), F.array(at).alias("trail")), f"side-{at}")
-    visited = {at: side(at) for at in ("start", "end")}
-    frontier = dict(visited)
-    done = None
-    for depth in range(max_depth + 1):
-        a = visited["start"].select("start", "end", "node", F.col("depth").alias("d1"), F.col("trail").alias("t1"))
-        z = visited["end"].select("start", "end", "node", F.col("depth").alias("d2"), F.col("trail").alias("t2"))
-        met = a.join(z, ["start", "end", "node"]).where(F.col("d1") + F.col("d2") <= depth)
+    key = ["start", "end"]
+    side = lambda at: materialised(pairs.select(*key, F.col(at).alias("node"), F.array(at).alias("trail")), f"side-{at}")
+    newest = {at: side(at) for at in ("start", "end")}
+    recent = {at: df.select(*key, "node") for at, df in newest.items()}  # the last two levels
+    size = {at: df.count() for at, df in newest.items()}
+    held = [recent["start"], recent["end"]]
+    done = given_up = None
+    for weight in range(max_depth + 1):
+        a, z = newest["start"].withColumnRenamed("trail", "t1"), newest["end"].withColumnRenamed("trail", "t2")
         path = F.concat("t1", F.slice(F.reverse("t2"), F.lit(2), F.size("t2")))
-        found = met.groupBy("start", "end").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("weight"), path.alias("path"))).alias("b")).select("start", "end", "b.path", "b.weight")
-        found = materialised(found if done is None else found.join(done, ["start", "end"], "left_anti"), "met")
+        found = materialised(a.join(z, [*key, "node"]).groupBy(*key).agg(F.min(path).alias("path")).withColumn("weight", F.lit(weight)), "met")
         done = found if done is None else done.unionByName(found)
-        if depth == max_depth:
+        if weight == max_depth:
             break
-        at = "start" if depth % 2 == 0 else "end"
-        open_ = frontier[at].join(done.select("start", "end"), ["start", "end"], "left_anti")
-        step = open_.join(links, "node").groupBy("start", "end", F.col("other").alias("node")).agg(F.min("trail").alias("trail"))
-        level = F.lit(depth // 2 + 1)
-        fresh = step.join(visited[at].select("start", "end", "node"), ["start", "end", "node"], "left_anti").select("start", "end", "node", level.alias("depth"), F.concat("trail", F.array("node")).alias("trail"))
-        frontier[at] = materialised(fresh, f"frontier-{at}")
-        if frontier[at].isEmpty():
+        at = min(newest, key=lambda side: (size[side], side != "start"))
+        open_ = newest[at].join(found.select(*key), key, "left_anti")
+        other = "end" if at == "start" else "start"
+        if max_visited is not None:
+            counts = reduce(DataFrame.unionByName, held).groupBy(*key).agg((F.count("*") > max_visited).alias("over")).where("over").select(*key)
+            over = materialised(counts.join(done.select(*key), key, "left_anti"), "given-up")
+            given_up = over if given_up is None else given_up.unionByName(over).distinct()
+            open_ = open_.join(given_up, key, "left_anti")
+        step = open_.join(links, "node").groupBy(*key, F.col("other").alias("node")).agg(F.min("trail").alias("trail"))
+        fresh = materialised(step.join(recent[at], [*key, "node"], "left_anti").select(*key, "node", F.concat("trail", F.array("node")).alias("trail")), f"level-{at}")
+        size[at] = fresh.count()
+        if not size[at]:
             break
-        visited[at] = visited[at].unionByName(frontier[at])
-    return done
+        recent[at] = newest[at].select(*key, "node").unionByName(fresh.select(*key, "node"))
+        # pairs that have met or were given up grow no further on the other side either
+        newest[at], newest[other] = fresh, newest[other].join(found.select(*key), key, "left_anti")
+        held.append(fresh.select(*key, "node"))
+    if max_visited is None:
+        return done
+    lost = (given_up if given_up is not None else pairs.limit(0)).join(done.select(*key), key, "left_anti").select(*key, F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("int").alias("weight"), F.lit(True).alias("truncated"))
+    return done.withColumn("truncated", F.lit(False)).unionByName(lost)
 
 
 def path_rows(paths: DataFrame, edges: DataFrame) -> DataFrame:

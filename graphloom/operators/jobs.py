@@ -18,12 +18,12 @@ from .joins import difference, update_from
 NAMESPACE = uuid.UUID("6f0f8f52-0a53-5d0c-9b55-1b6f3c6b7a10")
 
 
-def load_samples(raw: DataFrame, varieties: DataFrame, namespace: uuid.UUID = NAMESPACE, synonyms: Mapping[str, str] | None = None, ignored: Sequence[str] = ("other",), methods: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+def load_samples(raw: DataFrame, varieties: DataFrame, namespace: uuid.UUID = NAMESPACE, synonyms: Mapping[str, str] | None = None, ignored: Sequence[str] = ("other",), methods: Mapping[str, str] | None = None, order: str = "at") -> dict[str, DataFrame]:
     """Countries, regions, farms, methods and their edges to varieties from samples (country, region, farm, altitude, process, variety), all text.
 
-    Rows without a country are skipped; the first row of a key gives its attributes; a farm's key includes its region.
+    Rows without a country are skipped; the first row of a key in the column ``order`` gives its attributes; a farm's key includes its region.
     """
-    s = raw.select(*(null_tokens(c).alias(c) for c in ("country", "region", "farm", "process", "variety")), parse_int("altitude").alias("altitude"), F.monotonically_increasing_id().alias("_at")).where("country is not null")
+    s = raw.select(*(null_tokens(c).alias(c) for c in ("country", "region", "farm", "process", "variety")), parse_int("altitude").alias("altitude"), F.col(order).alias("_at")).where("country is not null")
     spelled = dedupe_key("variety")
     named = F.coalesce(lookup(spelled, {k.lower(): v.lower() for k, v in (synonyms or {}).items()}), spelled)
     s = s.withColumn("_v", F.when(~named.isin([i.lower() for i in ignored]), named))
@@ -113,7 +113,7 @@ def load_products(records: DataFrame, roasters: DataFrame, rules: ProductRules =
     return {"products": products, "roasters": merged, "counts": counts}
 
 
-def load_catalog(items: DataFrame, namespace: uuid.UUID, kind: str, name: str = "name") -> DataFrame:
-    """Catalog rows with deterministic ids, one per name (the last)."""
-    minted = items.where(non_blank(name)).withColumn("_at", F.monotonically_increasing_id()).withColumn("id", uuid5(namespace, F.lit(kind), name))
+def load_catalog(items: DataFrame, namespace: uuid.UUID, kind: str, name: str = "name", order: str = "at") -> DataFrame:
+    """Catalog rows with deterministic ids, one per name (the last in the column ``order``)."""
+    minted = items.where(non_blank(name)).withColumn("_at", F.col(order)).withColumn("id", uuid5(namespace, F.lit(kind), name))
     return last_by(minted, ["id"], ["_at"]).drop("_at").select("id", *items.columns)

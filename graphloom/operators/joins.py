@@ -36,9 +36,16 @@ def role_join(df: DataFrame, roles: Mapping[str, str], dim: DataFrame, dim_key:
 
 
 def peers(edges: DataFrame, self_col: str, nbr_col: str) -> DataFrame:
-    """(seed, peer, neighbour): pairs that share a neighbour. Distinct edges first; hubs are left to skew-join splitting."""
+    """(seed, peer, neighbour): pairs that share a neighbour. Distinct edges first; each pair is joined once and then mirrored, and hubs are left to skew-join splitting."""
     e = edges.select(F.col(self_col).alias("seed"), F.col(nbr_col).alias("neighbour")).where("seed is not null and neighbour is not null").distinct()
-    return e.join(e.withColumnRenamed("seed", "peer"), "neighbour").where("seed <> peer").select("seed", "peer", "neighbour")
+    once = e.join(e.withColumnRenamed("seed", "peer"), "neighbour").where("seed < peer")
+    return mirrored(once, "neighbour")
+
+
+def mirrored(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (seed, peer, ...) in both directions."""
+    both = F.array(F.struct("seed", "peer"), F.struct(F.col("peer").alias("seed"), F.col("seed").alias("peer")))
+    return pairs.select(F.inline(both), *columns)
 
 
 def domain_join(a: DataFrame, b: DataFrame, a_id: str = "id", b_id: str = "id", site: str = "website", domain=join_domain) -> DataFrame:

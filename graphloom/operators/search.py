@@ -51,17 +51,23 @@ def semantic_search(sources: Sequence[tuple[str, DataFrame]], vector: Sequence[f
     return reduce(lambda a, b: a.unionByName(b), parts).orderBy(F.desc("score"), "entity_type", "id").limit(limit)
 
 
+def counted(n: Column, noun: Column) -> Column:
+    """'1 region', '3 regions', '3 countries'."""
+    many = F.when(noun.endswith("y"), F.concat(F.regexp_replace(noun, "y$", ""), F.lit("ies"))).otherwise(F.concat(noun, F.lit("s")))
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, noun).otherwise(many))
+
+
 def reason(counts: Column, cap: int = 3) -> Column:
     """'Shares 2 flavor notes, 1 region': counts is an array of structs (label, shared), most shared first; null if empty."""
     ordered = F.slice(F.array_sort(F.transform(counts, lambda c: F.struct((-c["shared"]).alias("n"), c["label"].alias("label")))), 1, cap)
-    parts = F.transform(ordered, lambda c: F.concat((-c["n"]).cast("string"), F.lit(" "), c["label"], F.when(c["n"] == -1, "").otherwise("s")))
+    parts = F.transform(ordered, lambda c: counted(-c["n"], c["label"]))
     return F.when(F.size(counts) > 0, F.concat(F.lit("Shares "), F.array_join(parts, ", ")))
 
 
 def similar(items: DataFrame, edges: Mapping[str, Sequence[tuple[DataFrame, str, str]]], limit: int = 10, weight: float = 0.5, seeds: DataFrame | None = None, visible: Column | None = None) -> DataFrame:
     """(seed, id, label, score, reason) of the best peers of every seed, or of the given ones (id).
 
-    score = cosine + weight * shared / most shared. Only the 50 nearest by cosine have one; others come in by shared neighbours
+    score = cosine + weight * shared / most shared; a seed without a vector ranks by shared / most shared alone. Only the 50 nearest by cosine have one; others come in by shared neighbours
     alone. ``visible`` hides peers after the most shared is taken. Items have a long id, label and embedding.
     """
     seed_items = items if seeds is None else items.join(seeds.select("id"), "id", "left_semi")
@@ -71,24 +77,23 @@ def similar(items: DataFrame, edges: Mapping[str, Sequence[tuple[DataFrame, str,
     shared = shared.join(known, "seed", "left_semi")
     totals = shared.groupBy("seed", "peer").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("label", "shared")).alias("counts"))
     merged = merge_candidates(near, totals, ["seed", "peer"])
-    scored = norm_by_max(merged, "seed", "shared", "norm").withColumn("score", F.round(F.col("similarity") + weight * F.col("norm"), 6))
+    led = items.select(F.col("id").alias("seed"), F.when(cosine("embedding", "embedding").isNotNull(), weight).otherwise(1.0).alias("_weight"))
+    scored = norm_by_max(merged, "seed", "shared", "norm").join(led, "seed").withColumn("score", F.round(F.col("similarity") + F.col("_weight") * F.col("norm"), 6))
     peers = items.where(visible) if visible is not None else items
     named = scored.join(peers.select(F.col("id").alias("peer"), "label"), "peer")
     best = topk_per_group(named, "seed", "score", limit, key="peer")
     return best.select("seed", F.col("peer").alias("id"), "label", "score", reason(F.coalesce("counts", F.array().cast("array<struct<label:string,shared:bigint>>"))).alias("reason"))
 
 
-def for_user(activity: DataFrame, items: DataFrame, limit: int = 10, min_vectors: int = 1) -> DataFrame:
+def for_user(activity: DataFrame, items: DataFrame, limit: int = 10, noun: str = "item") -> DataFrame:
     """(user_id, id, label, score, reason): items nearest to the mean of what each user saved, which are left out themselves."""
     saved = activity.select("user_id", F.col("entity_id").alias("id")).distinct()
     taste = centroid(saved.join(items.select("id", "embedding"), "id"), "user_id", "embedding").where("centroid is not null")
-    counts = saved.groupBy("user_id").agg(F.count("*").alias("n"))
-    # a user's own saved items may all be nearest, so each asks for that many more
-    most = counts.agg(F.max("n")).first()[0] or 0
-    near = similarity_join(taste.withColumnRenamed("centroid", "embedding"), items, "user_id", "id", "embedding", None, limit + most)
-    fresh = near.select(F.col("a_id").alias("user_id"), F.col("b_id").alias("id"), F.round("similarity", 6).alias("score")).join(saved, ["user_id", "id"], "left_anti")
-    best = topk_per_group(fresh, "user_id", "score", limit).join(items.select("id", "label"), "id").join(counts, "user_id")
-    text = F.concat(F.lit("Based on "), F.col("n").cast("string"), F.when(F.col("n") == 1, " saved item").otherwise(" saved items"))
+    saves = saved.groupBy("user_id").agg(F.count("*").alias("n"), F.collect_list("id").alias("saved"))
+    near = similarity_join(taste.withColumnRenamed("centroid", "embedding").join(saves, "user_id"), items, "user_id", "id", "embedding", None, limit, skip="saved")
+    fresh = near.select(F.col("a_id").alias("user_id"), F.col("b_id").alias("id"), F.round("similarity", 6).alias("score"))
+    best = topk_per_group(fresh, "user_id", "score", limit).join(items.select("id", "label"), "id").join(saves.select("user_id", "n"), "user_id")
+    text = F.concat(F.lit("Based on "), counted(F.col("n"), F.lit(noun)), F.lit(" you saved"))
     return best.select("user_id", "id", "label", "score", text.alias("reason"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,11 @@ from .relational import DOMAIN_SQL, HOST_SQL, OVERLAP_SQL, RULES_SQL, rules, sup
 from .scalar import COS_SQL, NS, VEC_SQL
 from .tables import Tables, placed_sql, query
 
-# the supply graph: region, nation, supplier and the parts whose suppliers delivered large lots
+# the supply graph: regions, nations, suppliers and the parts they delivered
 EDGES_SQL = (
     "e AS (SELECT DISTINCT 'r' || n_regionkey AS src_id, 'n' || n_nationkey AS dst_id, 'region_nation' AS edge_type FROM nation"
     " UNION ALL SELECT DISTINCT 'n' || s_nationkey, 's' || s_suppkey, 'nation_supplier' FROM supplier"
-    " UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'supplier_part' FROM lineitem WHERE l_quantity >= 49)"
+    " UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'supplier_part' FROM lineitem)"
 )
 LINKS_SQL = "a AS (SELECT DISTINCT src_id AS node, dst_id AS other FROM e UNION SELECT dst_id, src_id FROM e)"
 
@@ -27,7 +29,7 @@ def supply_edges(t: Tables) -> DataFrame:
     parts = [
         g.typed_edges(t.nation.select(named("r", "n_regionkey").alias("a"), named("n", "n_nationkey").alias("b")), "region_nation", "a", "region", "b", "nation"),
         g.typed_edges(t.supplier.select(named("n", "s_nationkey").alias("a"), named("s", "s_suppkey").alias("b")), "nation_supplier", "a", "nation", "b", "supplier"),
-        g.typed_edges(t.lineitem.where("l_quantity >= 49").select(named("s", "l_suppkey").alias("a"), named("p", "l_partkey").alias("b")), "supplier_part", "a", "supplier", "b", "part"),
+        g.typed_edges(t.lineitem.select(named("s", "l_suppkey").alias("a"), named("p", "l_partkey").alias("b")), "supplier_part", "a", "supplier", "b", "part"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -42,16 +44,16 @@ def _(t: Tables) -> DataFrame:
     return g.adjacency(supply_edges(t), supply_vertices(t), ["nation_supplier", "supplier_part"]).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-SEEDS_SQL = "SELECT 'n' || n_nationkey AS seed FROM nation WHERE n_regionkey = 1"
+SEEDS_SQL = "SELECT 'n' || n_nationkey AS seed FROM nation"
 
 
 def seeds(t: Tables) -> DataFrame:
-    return t.nation.where("n_regionkey = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("seed"))
+    return t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("seed"))
 
 
-@query("g2_traverse", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, w AS (SELECT seed, seed AS node, 0 AS depth FROM ({SEEDS_SQL}) UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 2) SELECT seed, node AS id, min(depth) AS depth FROM w GROUP BY seed, node")
+@query("g2_traverse", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, w AS (SELECT seed, seed AS node, 0 AS depth FROM ({SEEDS_SQL}) UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 3) SELECT seed, node AS id, min(depth) AS depth FROM w GROUP BY seed, node")
 def _(t: Tables) -> DataFrame:
-    nodes, _, _ = g.traverse(seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=None, max_edges=None)
+    nodes, _, _ = g.traverse(seeds(t), supply_edges(t), supply_vertices(t), 3, max_nodes=None, max_edges=None)
     return nodes.select("seed", "id", "depth")
 
 
@@ -60,11 +62,10 @@ def _(t: Tables) -> DataFrame:
     return g.traverse(seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=None, max_edges=None)[1]
 
 
-ALL_SEEDS_SQL = "SELECT 'n' || n_nationkey AS seed FROM nation"
+ALL_SEEDS_SQL = SEEDS_SQL
 
 
-def all_seeds(t: Tables) -> DataFrame:
-    return t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("seed"))
+all_seeds = seeds
 
 
 @query("g2_traverse_all", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, w AS (SELECT seed, seed AS node, 0 AS depth FROM ({ALL_SEEDS_SQL}) UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 2) SELECT seed, node AS id, min(depth) AS depth FROM w GROUP BY seed, node")
@@ -78,12 +79,12 @@ def _(t: Tables) -> DataFrame:
     return g.traverse(all_seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=None, max_edges=None)[1]
 
 
-@query("g3_shortest_path", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, q AS (SELECT 'p' || p_partkey AS s, 'p' || (p_partkey + 1) AS z FROM part WHERE p_partkey % 40 = 0 UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier WHERE s_suppkey < 3), w AS (SELECT s, s AS node, 0 AS depth FROM q UNION SELECT w.s, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 4), d AS (SELECT s, node, min(depth) AS weight FROM w GROUP BY s, node) SELECT q.s AS \"start\", q.z AS \"end\", weight FROM q JOIN d ON d.s = q.s AND d.node = q.z")
+@query("g3_shortest_path", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, q AS (SELECT 'p' || p_partkey AS s, 'p' || (p_partkey + 1) AS z FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier), w AS (SELECT s, s AS node, 0 AS depth FROM q UNION SELECT w.s, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 6), d AS (SELECT s, node, min(depth) AS weight FROM w GROUP BY s, node) SELECT q.s AS \"start\", q.z AS \"end\", weight FROM q JOIN d ON d.s = q.s AND d.node = q.z")
 def _(t: Tables) -> DataFrame:
     part = lambda k: F.concat(F.lit("p"), (F.col("p_partkey") + k).cast("string"))
-    pairs = t.part.where("p_partkey % 40 = 0").select(part(0).alias("start"), part(1).alias("end"))
-    same = t.supplier.where("s_suppkey < 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("start"))
-    return g.shortest_path(pairs.unionByName(same.withColumn("end", F.col("start"))), supply_edges(t), supply_vertices(t), 4).select("start", "end", "weight")
+    pairs = t.part.where("p_partkey % 20 = 0").select(part(0).alias("start"), part(1).alias("end"))
+    same = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("start"))
+    return g.shortest_path(pairs.unionByName(same.withColumn("end", F.col("start"))), supply_edges(t), supply_vertices(t)).select("start", "end", "weight")
 
 
 @query("g4_path_rows", f"WITH {EDGES_SQL} SELECT 's' || s_suppkey AS \"start\", 'r' || n_regionkey AS \"end\", step, CASE step WHEN 0 THEN 'n' || n_nationkey ELSE 'r' || n_regionkey END AS src_id, CASE step WHEN 0 THEN 's' || s_suppkey ELSE 'n' || n_nationkey END AS dst_id FROM supplier JOIN nation ON s_nationkey = n_nationkey, range(2) r(step)")
@@ -152,9 +153,9 @@ def _(t: Tables) -> DataFrame:
     return g.graph_counts(supply_edges(t))
 
 
-@query("r1_text_search", "WITH u AS (SELECT 0 AS o, 'part' AS entity_type, CAST(p_partkey AS VARCHAR) AS id, p_name AS label FROM part WHERE contains(p_name, 'ring') OR contains(lower(p_type), 'ring') UNION ALL SELECT 1, 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE contains(lower(s_name), 'ring') UNION ALL SELECT 2, 'document', CAST(doc_id AS VARCHAR), substr(text, 1, 30) FROM documents WHERE lang = 'en' AND (contains(lower(substr(text, 1, 30)), 'ring') OR contains(lower(text), 'ring'))), k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY length(label), CAST(id AS BIGINT)) AS r FROM u) SELECT entity_type, id, label FROM k WHERE r <= 10 ORDER BY o, r LIMIT 30")
+@query("r1_text_search", "WITH u AS (SELECT 0 AS o, 'part' AS entity_type, CAST(p_partkey AS VARCHAR) AS id, p_name AS label FROM part WHERE contains(p_name, 'ring') OR contains(lower(p_type), 'ring') UNION ALL SELECT 1, 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE contains(lower(s_name), 'ring') UNION ALL SELECT 2, 'document', CAST(doc_id AS VARCHAR), substr(text, 1, 30) FROM documents WHERE (contains(lower(substr(text, 1, 30)), 'ring') OR contains(lower(text), 'ring'))), k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY length(label), CAST(id AS BIGINT)) AS r FROM u) SELECT entity_type, id, label FROM k WHERE r <= 10 ORDER BY o, r LIMIT 30")
 def _(t: Tables) -> DataFrame:
-    docs = t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("label"), F.col("text").alias("description"))
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("label"), F.col("text").alias("description"))
     parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("description"))
     suppliers = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.lit("").alias("description"))
     return search.text_search([("part", parts), ("supplier", suppliers), ("document", docs)], "Ring", 30)
@@ -178,7 +179,7 @@ def _(t: Tables) -> DataFrame:
     return found.select("entity_type", "id", F.round("score", 6).alias("score"))
 
 
-@query("r3_similar", OVERLAP_SQL + f", {VEC_SQL}, z AS (SELECT vec_id, v FROM e JOIN supplier ON s_suppkey = vec_id WHERE vec_id % 9 <> 0), n AS (SELECT a.vec_id AS seed, b.vec_id AS peer, {COS_SQL} AS c FROM z a, z b WHERE a.vec_id <> b.vec_id), n50 AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(c, 9) DESC, peer) <= 50), t AS (SELECT seed, peer, sum(shared) AS shared FROM u GROUP BY seed, peer), m AS (SELECT seed, peer, coalesce(c, 0) AS c, coalesce(shared, 0) AS shared FROM n50 FULL JOIN t USING (seed, peer)), s AS (SELECT seed, peer, round(c + 0.5 * CASE WHEN max(shared) OVER (PARTITION BY seed) > 0 THEN shared / max(shared) OVER (PARTITION BY seed) ELSE 0 END, 6) AS score FROM m), k AS (SELECT * FROM s WHERE peer % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, peer) <= 10) SELECT seed, peer AS id, score FROM k")
+@query("r3_similar", OVERLAP_SQL + f", {VEC_SQL}, z AS (SELECT vec_id, v FROM e JOIN supplier ON s_suppkey = vec_id WHERE vec_id % 9 <> 0), n AS (SELECT a.vec_id AS seed, b.vec_id AS peer, {COS_SQL} AS c FROM z a, z b WHERE a.vec_id <> b.vec_id), n50 AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(c, 9) DESC, peer) <= 50), t AS (SELECT seed, peer, sum(shared) AS shared FROM u GROUP BY seed, peer), m AS (SELECT seed, peer, coalesce(c, 0) AS c, coalesce(shared, 0) AS shared FROM n50 FULL JOIN t USING (seed, peer)), s AS (SELECT seed, peer, round(c + CASE WHEN seed % 9 = 0 OR seed NOT IN (SELECT vec_id FROM e) THEN 1.0 ELSE 0.5 END * CASE WHEN max(shared) OVER (PARTITION BY seed) > 0 THEN shared / max(shared) OVER (PARTITION BY seed) ELSE 0 END, 6) AS score FROM m), k AS (SELECT * FROM s WHERE peer % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, peer) <= 10) SELECT seed, peer AS id, score FROM k")
 def _(t: Tables) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"))
     items = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label")).join(vectors, "id", "left")
@@ -269,12 +270,25 @@ def _(t: Tables) -> DataFrame:
     return merge.activity_state(*activity_log(t))[1].select("note_id", F.round("score", 6).alias("score"))
 
 
-@query("e3_load_samples", "SELECT 'countries' AS name, count(DISTINCT c_nationkey) AS n FROM customer WHERE c_nationkey <> 4 UNION ALL SELECT 'regions', count(*) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_nationkey <> 4) UNION ALL SELECT 'country_variety', count(*) FROM (SELECT DISTINCT c_nationkey, c_custkey % 7 FROM customer WHERE c_nationkey <> 4 AND c_custkey % 7 < 5)")
+SAMPLES_SQL = (
+    "s AS (SELECT c_custkey AS k, 'Land ' || c_nationkey AS country, c_mktsegment AS region, CASE WHEN c_custkey % 3 > 0 THEN 'Farm ' || (c_custkey % 50) END AS farm, CAST(trunc(c_acctbal) AS INTEGER) AS altitude, 'washed' AS process, CASE WHEN c_custkey % 7 < 5 THEN 'v' || (c_custkey % 7) END AS variety FROM customer WHERE c_nationkey <> 4)"
+)
+
+
+@query("e3_load_samples", f"WITH {SAMPLES_SQL} SELECT 'farms' AS kind, country || '/' || region || '/' || farm AS a, CAST(arg_min(altitude, k) AS VARCHAR) AS b FROM s WHERE farm IS NOT NULL GROUP BY country, region, farm UNION ALL SELECT 'regions', country || '/' || region, country FROM s GROUP BY country, region UNION ALL SELECT 'countries', country, NULL FROM s GROUP BY country UNION ALL SELECT DISTINCT 'country_variety', country, variety FROM s WHERE variety IS NOT NULL UNION ALL SELECT DISTINCT 'farm_variety', country || '/' || region || '/' || farm, variety FROM s WHERE farm IS NOT NULL AND variety IS NOT NULL UNION ALL SELECT 'unmatched', 'v ' || (c_custkey % 7), CAST(count(*) AS VARCHAR) FROM customer WHERE c_nationkey <> 4 AND c_custkey % 7 >= 5 GROUP BY c_custkey % 7")
 def _(t: Tables) -> DataFrame:
-    raw = t.customer.select(F.when(F.col("c_nationkey") != 4, F.concat(F.lit("Land "), F.col("c_nationkey").cast("string"))).otherwise("N/A").alias("country"), F.col("c_mktsegment").alias("region"), F.col("c_name").alias("farm"), F.col("c_acctbal").cast("string").alias("altitude"), F.lit("washed").alias("process"), F.concat(F.lit("V "), (F.col("c_custkey") % 7).cast("string")).alias("variety"))
+    raw = t.customer.select(F.col("c_custkey").alias("at"), F.when(F.col("c_nationkey") != 4, F.concat(F.lit("Land "), F.col("c_nationkey").cast("string"))).otherwise("N/A").alias("country"), F.col("c_mktsegment").alias("region"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("Farm "), (F.col("c_custkey") % 50).cast("string"))).alias("farm"), F.col("c_acctbal").cast("string").alias("altitude"), F.lit("washed").alias("process"), F.concat(F.lit("V "), (F.col("c_custkey") % 7).cast("string")).alias("variety"))
     varieties = t.supplier.where("s_suppkey < 5").select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("v "), F.col("s_suppkey").cast("string")).alias("name"))
     out = jobs.load_samples(raw, varieties, NS)
-    return j.union_as({k: out[k].agg(F.count("*").alias("n")) for k in ("countries", "regions", "country_variety")}, "name")
+    countries = out["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("country"))
+    regions = out["regions"].join(countries, "country_id").select(F.col("id").alias("region_id"), "country", F.concat_ws("/", "country", "name").alias("region"))
+    farms = out["farms"].join(regions, "region_id").select(F.col("id").alias("farm_id"), F.concat_ws("/", "region", "name").alias("farm"), "altitude")
+    text = lambda kind, df, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), (F.col(b).cast("string") if b else F.lit(None).cast("string")).alias("b"))
+    parts = [
+        text("farms", farms, "farm", "altitude"), text("regions", regions, "region", "country"), text("countries", countries, "country", None),
+        text("country_variety", out["country_variety"].join(countries, "country_id"), "country", "variety_id"), text("farm_variety", out["farm_variety"].join(farms, "farm_id"), "farm", "variety_id"), text("unmatched", out["unmatched"], "variety", "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("e13_load_products", "SELECT split_part(p_name, ' ', 1) AS roaster, count(DISTINCT p_name || p_brand) AS products FROM part WHERE NOT contains(p_name, 'anvil') GROUP BY roaster")

@@ -83,19 +83,12 @@ def _(t: Tables) -> DataFrame:
 FOLD_SQL = "trim(regexp_replace(replace(lower(text), chr(39), ''), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("f12_fold_name", f"SELECT doc_id, md5({FOLD_SQL}) AS k FROM documents WHERE strlen(text) = length(text)")
-def _(t: Tables) -> DataFrame:
-    # DuckDB has no Unicode decomposition, so this compares the texts that need none; accents are unit-tested
-    plain = t.documents.where(F.octet_length("text") == F.length("text"))
-    return plain.select("doc_id", F.md5(keys.fold_name("text")).alias("k"))
-
-
 WHOLE_FOLD_SQL = FOLD_SQL.replace("lower(text)", r"lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'))")
 
 
+@query("f12_fold_name", f"SELECT doc_id, md5({WHOLE_FOLD_SQL}) AS k FROM documents")
 @query("f12_fold_name_all", f"SELECT doc_id, md5({WHOLE_FOLD_SQL}) AS k FROM documents")
 def _(t: Tables) -> DataFrame:
-    # the SQL of f12_fold_name is of plain texts only; this is the whole job
     return t.documents.select("doc_id", F.md5(keys.fold_name("text")).alias("k"))
 
 
@@ -198,9 +191,9 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", keys.embed_text("p_name", F.when(F.col("p_size") > 10, F.col("p_type"))).alias("text"))
 
 
-@query("f28_reason", "WITH c AS (SELECT o_custkey, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY o_custkey, o_orderpriority), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p) <= 3) SELECT o_custkey, 'Shares ' || string_agg(n || ' ' || p || CASE WHEN n = 1 THEN '' ELSE 's' END, ', ' ORDER BY n DESC, p) AS reason FROM k GROUP BY o_custkey")
+@query("f28_reason", "WITH c AS (SELECT o_custkey, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'priority' ELSE o_orderpriority END AS p, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p) <= 3) SELECT o_custkey, 'Shares ' || string_agg(n || ' ' || CASE WHEN n = 1 THEN p WHEN p LIKE '%y' THEN substr(p, 1, length(p) - 1) || 'ies' ELSE p || 's' END, ', ' ORDER BY n DESC, p) AS reason FROM k GROUP BY o_custkey")
 def _(t: Tables) -> DataFrame:
-    counts = t.orders.groupBy("o_custkey", F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("shared")).groupBy("o_custkey").agg(F.collect_list(F.struct("label", "shared")).alias("counts"))
+    counts = t.orders.groupBy("o_custkey", F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "priority").otherwise(F.col("o_orderpriority")).alias("label")).agg(F.count("*").alias("shared")).groupBy("o_custkey").agg(F.collect_list(F.struct("label", "shared")).alias("counts"))
     return counts.select("o_custkey", search.reason(F.col("counts")).alias("reason"))
 
 
@@ -209,7 +202,7 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(F.col("value") / 7, 6).alias("r"))
 
 
-@query("f31_arc", f"WITH p AS (SELECT n_nationkey AS k, lat, lon FROM {placed_sql('nation', 'n_nationkey')}), q AS (SELECT a.k, a.lon AS x1, a.lat AS y1, CASE WHEN b.lon - a.lon > 180 THEN b.lon - 360 WHEN b.lon - a.lon < -180 THEN b.lon + 360 ELSE b.lon END AS x2, b.lat AS y2 FROM p a JOIN p b ON b.k = a.k + 1), m AS (SELECT *, (x1 + x2) / 2 AS mx, greatest(-85.0, least(85.0, (y1 + y2) / 2 + CASE WHEN y1 + y2 >= 0 THEN 1 ELSE -1 END * 0.2 * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS my FROM q) SELECT k, i, round((1 - i / 48.0) * (1 - i / 48.0) * x1 + 2 * (1 - i / 48.0) * (i / 48.0) * mx + (i / 48.0) * (i / 48.0) * x2, 3) AS lon, round((1 - i / 48.0) * (1 - i / 48.0) * y1 + 2 * (1 - i / 48.0) * (i / 48.0) * my + (i / 48.0) * (i / 48.0) * y2, 3) AS lat FROM m, range(49) r(i)")
+@query("f31_arc", f"WITH p AS (SELECT n_nationkey AS k, lat, lon FROM {placed_sql('nation', 'n_nationkey')}), q AS (SELECT a.k, a.lon AS x1, a.lat AS y1, CASE WHEN b.lon - a.lon > 180 THEN b.lon - 360 WHEN b.lon - a.lon < -180 THEN b.lon + 360 ELSE b.lon END AS x2, b.lat AS y2 FROM p a JOIN p b ON b.k = a.k + 1), m AS (SELECT *, (x1 + x2) / 2 + off * nx AS mx, (y1 + y2) / 2 + off * ny AS my FROM (SELECT *, 0.18 * dist AS off, CASE WHEN dx < 0 THEN dy ELSE -dy END / dist AS nx, abs(dx) / dist AS ny FROM (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, greatest(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), 1e-6) AS dist FROM q))) SELECT k, i, round((1 - i / 48.0) * (1 - i / 48.0) * x1 + 2 * (1 - i / 48.0) * (i / 48.0) * mx + (i / 48.0) * (i / 48.0) * x2, 3) AS lon, round((1 - i / 48.0) * (1 - i / 48.0) * y1 + 2 * (1 - i / 48.0) * (i / 48.0) * my + (i / 48.0) * (i / 48.0) * y2, 3) AS lat FROM m, range(49) r(i)")
 def _(t: Tables) -> DataFrame:
     p = t.placed(t.nation, "n_nationkey").select(F.col("n_nationkey").alias("k"), "lat", "lon")
     pairs = p.join(p.select((F.col("k") - 1).alias("k"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "k")

@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace a Parquet table as a whole. The new rows are written beside it first, so a table may be rebuilt from itself."""
+    """Replace a Parquet table as a whole. The new rows are written beside it first, so a table may be rebuilt from itself, and the old ones go when the new are in place."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     staged = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
     df.write.parquet(staged.toString())
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(target, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    kept = store.exists(target)
+    if kept and not store.rename(target, old):
+        raise RuntimeError(f"could not move the old table at {path} aside")
     if not store.rename(staged, target):
+        if kept:
+            store.rename(old, target)
         raise RuntimeError(f"could not move the new table to {path}")
+    if kept:
+        store.delete(old, True)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -80,7 +80,7 @@ def test_activity(spark):
 
 def test_samples(spark):
     raw = [("Ethiopia", "Sidamo", "Aricha", "Washed / Wet", "1900.5", "Bourbon"), ("Ethiopia", "Sidamo", "Aricha", "Washed / Wet", "1500", "Bourbon"), (None, "X", "Y", "Z", "1", "Bourbon"), ("Kenya", "Nyeri", "nan", "Natural", "NA", "Other"), ("Panama", "Boquete", "Aricha", "Natural", "1600", "geisha")]
-    df = spark.createDataFrame(raw, "country string, region string, farm string, process string, altitude string, variety string").coalesce(1)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(raw)], "country string, region string, farm string, process string, altitude string, variety string, at long").repartition(4)
     varieties = spark.createDataFrame([("b", "Bourbon"), ("g", "Geisha (Panama)")], "id string, name string")
     out = jobs.load_samples(df, varieties, synonyms={"Geisha": "Geisha (Panama)"}, methods={"washed / wet": "washed"})
     assert {k: v.count() for k, v in out.items()} == {"countries": 3, "regions": 3, "farms": 2, "methods": 2, "country_variety": 2, "region_variety": 2, "farm_variety": 2, "variety_processing": 2, "unmatched": 0}
@@ -217,6 +217,6 @@ def test_favourites_stream(spark, tmp_path):
 
 
 def test_catalog_ids_do_not_change(spark):
-    items = spark.createDataFrame([("Geisha", "Arabica"), ("SL28", "Arabica"), ("geisha ", "arabica"), (" ", "x")], "name string, species string").coalesce(1)
+    items = spark.createDataFrame([("Geisha", "Arabica", 1), ("SL28", "Arabica", 2), ("geisha ", "arabica", 3), (" ", "x", 4)], "name string, species string, at long").repartition(3)
     out = [rows(jobs.load_catalog(items, jobs.NAMESPACE, "variety"), "id", "name") for _ in range(2)]
     assert out[0] == out[1] and sorted(n for _, n in out[0]) == ["SL28", "geisha "]
