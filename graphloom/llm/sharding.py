@@ -1,23 +1,26 @@
 """K-d tree sharding: recursive splits at distributed weighted medians.
 
-Metadata dimensions are scaled to ``BITS``-bit integers. In each round every node that is still too large is split
-along the dimension in which it is widest, so that its two sides weigh as the shards they will hold. The
-median is found by radix descent: a histogram of the next bits of the coordinate for all nodes at once, summed
-by Spark, picks the bin that holds the median; when all bits are fixed, ties are split by the id's hash in the same way.
-Only such histograms come to the driver: nodes x 2**STEP rows at most, whatever the input.
+The dimensions are metadata: the document's columns that are named (language and source, if it has them), the length of the text and
+its share of letters beyond ASCII, all scaled to ``BITS``-bit integers. In each round every node that is still too large is split
+along the dimension in which it is widest, so that its two sides weigh as the shards they will hold. The median is found by radix
+descent: a histogram of the next bits of the coordinate for all nodes at once, summed by Spark, picks the bin that holds the
+median. Rows that tie at the median go by a hash of the text, found in the same way, and only if the rows of that
+hash outweigh ``SLACK`` of the goal by a hash of the id. Only such histograms come to the driver: nodes x 2**STEP rows at most, whatever
+the input.
 
-Equal texts have equal coordinates, so a group of copies stays in one shard unless a median falls inside it; then it is
-split, which keeps sizes near equal even if one group outweighs a shard.
+Rows of equal text have equal coordinates (of named columns the least value among them counts), so a group of copies stays in
+one shard unless it is too heavy; then it is split, which keeps sizes near equal even if one group outweighs a shard.
 
 Nulls, ties and odd rows: a null text has size 16 and no checksum; null metadata counts as the least value; a null id is
-hashed like any other. Repeated rows tie in all bits and fall on one side together. An empty table gives no rows.
+hashed like any other. Repeated rows tie in all bits and fall on one side together. A text of any length is one row. An empty
+table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import byte_texts, ship_by_value, stored
 
 BITS, STEP = 24, 12
+#: Share of a side's goal up to which rows of equal text are not split.
+SLACK = 0.005
 #: Rows that are numbered together in one task.
 BLOCK_ROWS = 50_000
 
@@ -37,37 +42,44 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sums, pa.int64())], names=[*keep, "text_crc32"])
 
 
-def _weights(df: DataFrame, nodes: dict[int, dict], shift: int) -> dict[int, dict[int, int]]:
-    """Per node that is being split, the weight of each value of the next bits below its path."""
+def _weights(df: DataFrame, nodes: dict[int, dict], shift: int) -> dict[int, dict[int, tuple[int, int]]]:
+    """Per node that is being split, weight and rows of each value of the next bits below its path."""
     cases = None
     for node, s in nodes.items():
         value = F.col(s["by"])
         hit = (F.col("node") == node) & (F.shiftright(value, shift + STEP) == s["path"])
         bin_ = F.shiftright(value, shift).bitwiseAND(F.lit((1 << STEP) - 1))
         cases = F.when(hit, bin_) if cases is None else cases.when(hit, bin_)
-    found = df.select("node", cases.alias("bin"), "size").where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w")).collect()
-    out: dict[int, dict[int, int]] = defaultdict(dict)
+    found = df.select("node", cases.alias("bin"), "size").where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
+    out: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
     for r in found:
-        out[r.node][r.bin] = r.w
+        out[r.node][r.bin] = (r.w, r.n)
     return out
 
 
 def _descend(df: DataFrame, nodes: dict[int, dict]) -> None:
-    """Fix the coordinate ``path`` at which each node's left side has the weight ``goal``, and the part of ``goal`` left within that value."""
+    """Fix the coordinate ``path`` at which each node's left side has the weight ``goal``, the part of ``goal`` left within that value, and the weight and rows of it."""
+    if not nodes:
+        return
     for s in nodes.values():
         s["path"] = 0
     for shift in range(BITS - STEP, -1, -STEP):
         for node, bins in _weights(df, nodes, shift).items():
             s = nodes[node]
             for b in sorted(bins):
-                if s["goal"] < bins[b] or b == max(bins):
-                    s["path"], s["inside"] = s["path"] << STEP | b, bins[b]
+                if s["goal"] < bins[b][0] or b == max(bins):
+                    s["path"], (s["inside"], s["rows"]) = s["path"] << STEP | b, bins[b]
                     break
-                s["goal"] -= bins[b]
+                s["goal"] -= bins[b][0]
+
+
+def _whole(s: dict) -> None:
+    """Put all rows at the path on the side that comes nearer to its goal."""
+    s["path"] += 2 * s["goal"] >= s["inside"]
 
 
 def kd_assign(df: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
-    """Add ``shard`` to rows with size, tie (an id's hash of BITS bits) and dimensions of BITS bits."""
+    """Add ``shard`` to rows with size, tie_text and tie_id (hashes of BITS bits) and dimensions of BITS bits."""
     df = df.withColumn("node", F.lit(0))
     pending = {0: (0, shards)}  # node: first shard and number of shards
     fixed: dict[int, int] = {}
@@ -77,31 +89,41 @@ def kd_assign(df: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
         spread = df.where(F.col("node").isin(list(split))).groupBy("node").agg(F.sum("size").alias("size"), *(F.min(d).alias(f"min_{d}") for d in dimensions), *(F.max(d).alias(f"max_{d}") for d in dimensions)).collect()
         if not spread:  # an empty table
             break
-        nodes = {}
+        # each node's cuts: by its widest dimension, at the median by the text's hash, at that by the id's
+        cuts: dict[int, list[dict]] = {}
         for r in spread:
             n_left = split[r.node][1] // 2
             by = max(dimensions, key=lambda d, r=r: r[f"max_{d}"] - r[f"min_{d}"])
-            nodes[r.node] = {"by": by, "goal": r["size"] * n_left / split[r.node][1]}
-        _descend(df, nodes)
-        # within the median's value, ties go by hash
-        ties = {n: {"by": "tie", "goal": s["goal"]} for n, s in nodes.items()}
-        inside = None
-        for n, s in nodes.items():
-            hit = (F.col("node") == n) & (F.col(s["by"]) == s["path"])
-            inside = hit if inside is None else inside | hit
-        _descend(df.where(inside), ties)
-        for s in ties.values():  # the row that holds the median goes where it brings the sides nearer to their goals
-            if 2 * s["goal"] >= s["inside"]:
-                s["path"] += 1
+            goal = r["size"] * n_left / split[r.node][1]
+            cuts[r.node] = [{"by": by, "goal": goal, "slack": SLACK * goal}]
+        inside = F.lit(True)
+        for by in ("tie_text", "tie_id", None):
+            _descend(df.where(inside), {n: c[-1] for n, c in cuts.items() if "path" not in c[-1]})
+            inside = F.lit(False)
+            for n, c in cuts.items():
+                s = c[-1]
+                if "done" in s:
+                    continue
+                # one row, or rows of one text that weigh little, are not split further
+                if by is None or s["rows"] == 1 or (by == "tie_id" and s["inside"] <= s["slack"]):
+                    _whole(s)
+                    s["done"] = True
+                    continue
+                at = F.col("node") == n
+                for x in c:
+                    at &= F.col(x["by"]) == x["path"]
+                inside |= at
+                c.append({"by": by, "goal": s["goal"], "slack": s["slack"]})
         base = 2 * max([*split, *fixed, *pending]) + 1
         case, pending = None, {}
         for k, (n, (first, count)) in enumerate(sorted(split.items())):
             left, right = base + 2 * k, base + 2 * k + 1
             pending[left], pending[right] = (first, count // 2), (first + count // 2, count - count // 2)
-            if n not in nodes:  # no rows
+            if n not in cuts:  # no rows
                 continue
-            s, t = nodes[n], ties[n]
-            goes_left = (F.col(s["by"]) < s["path"]) | ((F.col(s["by"]) == s["path"]) & (F.col("tie") < t["path"]))
+            goes_left = F.lit(False)
+            for s in reversed(cuts[n]):
+                goes_left = (F.col(s["by"]) < s["path"]) | ((F.col(s["by"]) == s["path"]) & goes_left)
             side = F.when(goes_left, left).otherwise(right)
             case = F.when(F.col("node") == n, side) if case is None else case.when(F.col("node") == n, side)
         if case is not None:
@@ -125,24 +147,34 @@ def numbered(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_row", row).join(before, [group, "_block"]).withColumn("slot", (F.col("_row") + F.col("_before")).cast("long")).drop("_block", "_row", "_before")
 
 
-def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
-    """Shards 0 to ``shards`` - 1 of near equal size: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is bytes)."""
+def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, metadata: Sequence[str] = ("lang", "source")) -> DataFrame:
+    """Shards 0 to ``shards`` - 1 of near equal size: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is bytes).
+
+    Of ``metadata`` the columns that there are serve as dimensions, their values spread out by a hash.
+    """
+    named = [c for c in metadata if c in docs.columns]
     lengths = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     top = (1 << BITS) - 1
+    bits = lambda c: F.shiftrightunsigned(c, 64 - BITS).cast("int")
     words = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
         (lengths + overhead).alias("size"),
-        # metadata that equal texts share: length on a log scale, share of non-ASCII bytes, and the opening of the text
-        F.least(F.log2(lengths + 1) / 40 * top, F.lit(top)).cast("int").alias("d_length"),
+        F.least(F.log2(lengths + 1) / 20 * top, F.lit(top)).cast("int").alias("d_length"),
         F.when(lengths > 0, (lengths - F.length(text_col)) / lengths * top).otherwise(0).cast("int").alias("d_script"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 64 - BITS).cast("int").alias("d_text"),
-        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("tie")), 64 - BITS).cast("int").alias("tie"),
+        *(F.when(F.col(f"`{c}`").isNotNull(), bits(F.xxhash64(F.col(f"`{c}`").cast("string")))).otherwise(0).alias(f"d_named{k}") for k, c in enumerate(named)),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+        bits(F.xxhash64(F.col(id_col), F.lit("tie"))).alias("tie_id"),
     )
     kept = [c for c in words.columns if c != "text"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema if f.name in kept) + ", text_crc32 long"
     slim = stored(words.mapInArrow(_checksums, schema), "sizes")
-    placed = numbered(kd_assign(slim, ["d_length", "d_script", "d_text"], shards), "shard", [F.col("doc_id"), F.col("tie"), F.col("text_crc32")])
+    of_text = [f"d_named{k}" for k in range(len(named))]
+    if named:  # copies take the least value among them; most texts have none and need no join
+        again = stored(slim.groupBy("text_hash").agg(*(F.min(c).alias(f"least_{c}") for c in of_text), *(F.max(c).alias(f"most_{c}") for c in of_text)).where(" or ".join(f"least_{c} < most_{c}" for c in of_text)).select("text_hash", *(f"least_{c}" for c in of_text)), "copies")
+        slim = slim.join(again, "text_hash", "left").select(*(F.coalesce(f"least_{c}", c).alias(c) if c in of_text else c for c in slim.columns))
+    slim = slim.withColumn("tie_text", bits(F.col("text_hash"))).drop("text_hash")
+    placed = numbered(kd_assign(slim, [*of_text, "d_length", "d_script"], shards), "shard", [F.col("doc_id"), F.col("tie_id"), F.col("text_crc32")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
