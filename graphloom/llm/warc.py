@@ -8,7 +8,7 @@ a writer that runs twice, after a lost executor or by speculation, leaves the sa
 
 Nulls, ties and odd rows: a null payload is empty and a null url is left out; a null id sorts first and is marked as such. Rows that repeat an
 id and a large payload share the response of that id: the first of them is written as response, the others revisit it.
-An empty table gives a manifest without files. Further columns are ignored.
+Rows of one id share a file's range however heavy they are, and so a task. A payload of any length is one record. An empty table gives a manifest without files. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -152,26 +152,58 @@ def _listing(rows: list[tuple]) -> pa.RecordBatch:
 BINS = 1024
 
 
-def _cuts(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[tuple[int, int, int]]]:
-    """least id, bin width, and (bin, half-bin number, shard) of every bin that has rows."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, []
-    width = max(1, -(-(high - low + 1) // (BINS * BINS)))
-    fine = F.expr(f"cast((cast(page_id as decimal(38,0)) - {low}) div {width} as bigint)")
-    coarse = {r.b: r.w for r in pages.where("page_id is not null").select(F.floor(fine / BINS).alias("b"), "size").groupBy("b").agg(F.sum("size").alias("w")).collect()}
-    crowded = [b for b, w in coarse.items() if w > shard_bytes]
-    parts = [(b, -1, w) for b, w in coarse.items() if w <= shard_bytes]
-    for b in crowded:
-        inside = pages.where((fine >= b * BINS) & (fine < (b + 1) * BINS)).select(fine.alias("f"), "size").groupBy("f").agg(F.sum("size").alias("w")).collect()
-        parts += [(b, r.f, r.w) for r in inside]
-    shard, filled, out = 0, 0, []
-    for b, f, w in sorted(parts):
-        if filled and filled + w > shard_bytes:
+def _assigned(digests: DataFrame, shard_bytes: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """What adds ``shard`` to rows with page_id and digest, and the number of shards.
+
+    Ids are counted in bins between the least and the greatest; a bin that is too heavy is cut again between its own least and
+    greatest ids, all such bins in one job a level, until each is light enough or a single id. So the cuts follow the ids wherever
+    they lie, and come from exact counts. Bins of about ``shard_bytes`` come to the driver, a few for each shard. Rows without an
+    id are dealt out by digest.
+    """
+    spark = digests.sparkSession
+    nulls = digests.where("page_id is null").agg(F.sum("size")).first()[0] or 0
+    null_shards = max(1, -(-nulls // shard_bytes))
+    low, high, total = digests.where("page_id is not null").agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+    levels: list[list[tuple[int, int, int, int, int]]] = []  # per level: parent, its bin, new segment, least id, width of bins
+    leaves: list[tuple[int, int, int, int]] = []  # least id, segment, bin, weight
+    number = 0
+
+    def segment(parent: int, at: int, low: int, high: int, weight: int) -> tuple[int, int, int, int, int]:
+        nonlocal number
+        number += 1
+        bins = min(BINS, max(3, -(-2 * weight // shard_bytes)))
+        return parent, at, number, low, max(1, -(-(high - low + 1) // bins))
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("seg", F.lit(0)).withColumn("bin", F.lit(0).cast("long"))
+        for level in levels:
+            table = spark.createDataFrame(level, "seg int, bin long, next int, low long, width long")
+            found = df.join(table, ["seg", "bin"], "left")
+            df = found.withColumn("seg", F.coalesce("next", "seg")).withColumn("bin", F.when(F.col("next").isNull(), F.col("bin")).otherwise(F.expr("cast((cast(page_id as decimal(38,0)) - cast(low as decimal(38,0))) div cast(width as decimal(38,0)) as bigint)"))).drop("next", "low", "width")
+        return df
+
+    crowded = [] if low is None else [segment(0, 0, low, high, total)]
+    while crowded:
+        levels.append(crowded)
+        fresh = [c[2] for c in crowded]
+        counts = placed(digests.where("page_id is not null").select("page_id", "size")).where((F.col("seg") >= fresh[0]) & (F.col("seg") <= fresh[-1]))
+        rows = counts.groupBy("seg", "bin").agg(F.sum("size").alias("w"), F.min("page_id").alias("a"), F.max("page_id").alias("z")).collect()
+        heavy = sorted((r for r in rows if r.w > shard_bytes and r.a < r.z), key=lambda r: r.a)
+        leaves += [(r.a, r.seg, r.bin, r.w) for r in rows if r.w <= shard_bytes or r.a == r.z]
+        crowded = [segment(r.seg, r.bin, r.a, r.z, r.w) for r in heavy]
+    shard, filled, cuts = null_shards, 0, []
+    for _, seg, at, weight in sorted(leaves):
+        if filled and filled + weight > shard_bytes:
             shard, filled = shard + 1, 0
-        filled += w
-        out.append((b, f, shard))
-    return low, width, out
+        filled += weight
+        cuts.append((seg, at, shard))
+
+    def add(df: DataFrame) -> DataFrame:
+        table = spark.createDataFrame(cuts, "seg int, bin long, shard int")
+        by_digest = F.pmod(F.xxhash64("digest"), F.lit(null_shards)).cast("int")
+        return placed(df).join(table, ["seg", "bin"], "left").withColumn("shard", F.when(F.col("page_id").isNull(), by_digest).otherwise(F.col("shard"))).drop("seg", "bin")
+
+    return add, shard + 1
 
 
 def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, file_bytes: int = FILE_BYTES, shard_bytes: int = 4 * FILE_BYTES) -> DataFrame:
@@ -184,19 +216,12 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     kept = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
     links = large.select("page_id", "digest").join(kept, "digest").select("page_id", "digest", "refers_to").distinct()
 
-    low, width, cuts = _cuts(digests, shard_bytes)
-    fine = F.expr(f"cast((cast(page_id as decimal(38,0)) - {low}) div {width} as bigint)")
-    everything = rows.select("page_id", F.lit(1).alias("kind"), "url", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "html")
+    add_shard, shards = _assigned(digests, shard_bytes)
+    own = F.when(F.col("page_id").isNull(), F.sha1("html"))
+    everything = rows.select("page_id", F.lit(1).alias("kind"), "url", own.alias("digest"), F.lit(None).cast("long").alias("refers_to"), "html")
     everything = everything.unionByName(links.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "digest", "refers_to", F.lit(None).cast("binary").alias("html")))
-    coarse = F.floor(fine / BINS)
-    bins = spark.createDataFrame(cuts or [(0, -1, 0)], "bin long, part long, shard int")
-    crowded = sorted({b for b, f, _ in cuts if f >= 0})
-    part = F.when(coarse.isin(crowded), fine).otherwise(-1) if crowded else F.lit(-1)
-    # one row per bin of the two histograms, so the broadcast side has a bound
-    placed = everything.withColumn("bin", coarse).withColumn("part", part.cast("long")).join(F.broadcast(bins), ["bin", "part"], "left").drop("bin", "part").withColumn("shard", F.coalesce("shard", F.lit(-1)))
-    # a task for each shard; rows without an id have one of their own
-    shards = 2 + max((shard for _, _, shard in cuts), default=0)
-    placed = placed.repartitionById(shards, F.col("shard") + 1).sortWithinPartitions("shard", "page_id", "kind", "url", "digest", "html")
+    # a task for each shard
+    placed = add_shard(everything).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "digest", "html")
     manifest = placed.mapInArrow(_write(uri, file_bytes), "file string, records long, bytes long, sha256 string")
     manifest.write.mode("overwrite").parquet(f"{uri}/_manifest")
     return spark.read.schema(manifest.schema).parquet(f"{uri}/_manifest")

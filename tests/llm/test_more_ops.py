@@ -147,6 +147,23 @@ def test_quality_keeps_good_documents(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.5
 
 
+def test_warc_ranges_follow_the_ids(spark, tmp_path):
+    """One outlying id changes nothing for the others; rows without an id are dealt out."""
+    rows = [(i, "u", "x" * 500) for i in range(4000)] + [(None, f"n{i}", "y" * 400 + str(i)) for i in range(400)]
+    shards = {}
+    for name, more in (("near", []), ("far", [(1 << 61, "far", "z"), (-(1 << 62), "low", "z")])):
+        df = spark.createDataFrame(rows + more, "page_id long, url string, html string").repartition(6)
+        files = warc.write_warc(df, f"file://{tmp_path}/{name}", shard_bytes=100_000).collect()
+        shards[name] = len({f.file.split("-")[1] for f in files})
+        assert sum(f.records for f in files) == len(rows + more) and max(f.records for f in files) < 450
+    assert shards["near"] <= shards["far"] <= shards["near"] + 2 and shards["near"] > 20
+
+
+def test_warc_empty(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.write_warc(df, f"file://{tmp_path}/none").count() == 0 and warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("limit", [16 << 20, 3000])
 def test_warc(spark, tiny, tmp_path, limit):
     pages = [(r.page_id, r.url, r.html) for r in read_table(spark, tiny, "pages").collect()]
