@@ -176,7 +176,9 @@ def _assigned(digests: DataFrame, shard_bytes: int) -> tuple[Callable[[DataFrame
 
     def placed(df: DataFrame) -> DataFrame:
         df = df.withColumn("seg", F.lit(0)).withColumn("bin", F.lit(0).cast("long"))
-        for level in levels:
+        for _, _, seg, low, width in levels[0] if levels else []:  # one segment, of all ids
+            df = df.withColumn("seg", F.lit(seg)).withColumn("bin", F.expr(f"cast((cast(page_id as decimal(38,0)) - {low}) div {width} as bigint)"))
+        for level in levels[1:]:
             table = spark.createDataFrame(level, "seg int, bin long, next int, low long, width long")
             found = df.join(table, ["seg", "bin"], "left")
             df = found.withColumn("seg", F.coalesce("next", "seg")).withColumn("bin", F.when(F.col("next").isNull(), F.col("bin")).otherwise(F.expr("cast((cast(page_id as decimal(38,0)) - cast(low as decimal(38,0))) div cast(width as decimal(38,0)) as bigint)"))).drop("next", "low", "width")
