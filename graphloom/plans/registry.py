@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, relational, scalar  # noqa: F401
+from . import files, graphs, relational, scalar  # noqa: F401
 from .tables import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
