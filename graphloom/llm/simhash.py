@@ -13,7 +13,8 @@ is compared in a group of its own: every pair is still seen, by tasks of bounded
 
 Nulls, ties and odd rows: a document without words has fingerprint zero and is linked
 like any other. Rows without an id get their own component, null. Rows that repeat an id
-with other texts are joined through that id's smallest component. Further columns are ignored.
+with other texts are joined through that id's smallest component. A text of any length is taken whole. An empty table gives no
+rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document of smallest id of every group, and all without an id, with all their columns; of rows that repeat an id one stays."""
+    """The document of smallest id of every group, and all without an id, with all their columns; of rows that repeat an id, which are one group, that of least hash stays."""
     return first_of_groups(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
 
 
@@ -212,7 +213,9 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id")
     kept = docs.join(F.broadcast(gone) if small else gone, id_col, "left_anti").select(*docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = kept.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
+    return one.unionByName(kept.where(F.col(id_col).isNull()))
 
 
 ship_by_value(__name__)

@@ -1,36 +1,19 @@
 """The corpus pipeline against brute-force versions of its stages."""
 
-import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-import numpy as np
 import pytest
-import xxhash
 from graphloom.llm import simhash
-from graphloom.llm.common import mix64, read_table
+from graphloom.llm.common import read_table
 from graphloom.llm.queries import vocabulary_path
 from graphloom.llm.simhash import keep_first
 
 from .test_more_ops import WORD, brute_lines
+from .test_nearcopies import all_pairs, groups
 from .test_text_ops import brute_hits
 
 
-def brute_prints(text, blocks=4):
-    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in sh], dtype=np.uint64)
-    out = []
-    for k in range(blocks):
-        out.append(sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h)))
-        h = mix64(h + np.uint64(k + 1))
-    return out
-
-
-def share_variant(f, g):
-    return any(((x ^ y) >> s & 0xFFFFFFFF).bit_count() <= 1 for x, y in zip(f, g) for s in (0, 32))
-
-
 def test_pipeline(spark, tiny):
     from tokenizers import Tokenizer
 
@@ -38,19 +21,9 @@ def test_pipeline(spark, tiny):
     docs = read_table(spark, tiny, "documents")
     rows = [(r.doc_id, r.text) for r in corpus_pipeline.quality_rules(spark, docs, tiny).collect()]
     rows = [(i, t) for i, _, n, t in brute_lines(rows) if not n or WORD.search(t)]
-    prints = {i: brute_prints(t) for i, t in rows}
-    parent = {i: i for i, _ in rows}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in prints:
-        for j in prints:
-            if i < j and sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j])) <= 27 and share_variant(prints[i], prints[j]) and root(i) != root(j):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-    rows = [(i, t) for i, t in rows if root(i) == i]
+    group = groups([i for i, _ in rows], all_pairs(rows))
+    assert any(g != i for i, g in group.items())
+    rows = [(i, t) for i, t in rows if group[i] == i]
     items = [(r.item_id, r.text) for r in read_table(spark, tiny, "benchmark").collect()]
     hit = {i for i, _, n, *_ in brute_hits(rows, items, 10) if n}
     rows = [(i, t) for i, t in rows if i not in hit]
@@ -69,6 +42,8 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tiny):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, df, tiny)
             assert out.columns == docs.columns and out.count() <= df.count(), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, df, tiny)
+        assert packed.where("start = 0").count() == df.count()
 
 
 @pytest.mark.parametrize("limit", [2_000_000, 0])
