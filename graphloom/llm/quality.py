@@ -5,6 +5,7 @@ them a range. Both are compiled into one projection: a text is split once, measu
 
 Nulls, ties and odd rows: a null or blank text has no words and fails the base rule. Rows are judged one by one, so
 repeated and null ids need no care; further columns pass through ``keep``, whatever their names.
+A text of any length is judged whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
