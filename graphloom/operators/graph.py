@@ -21,15 +21,41 @@ EDGE = "src_id string, src_type string, dst_id string, dst_type string, edge_typ
 
 
 def typed_edges(df: DataFrame, edge_type: str, src: str, src_type: str, dst: str, dst_type: str, weight: str | None = None, effect: str | None = None) -> DataFrame:
-    """Edges of one type in the common shape; null ends are skipped and repeats dropped."""
-    return (
-        df.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-        .select(
-            F.col(src).cast("string").alias("src_id"), F.lit(src_type).alias("src_type"), F.col(dst).cast("string").alias("dst_id"), F.lit(dst_type).alias("dst_type"), F.lit(edge_type).alias("edge_type"),
-            (F.col(weight).cast("double") if weight else F.lit(None).cast("double")).alias("weight"), (F.col(effect) if effect else F.lit(None).cast("string")).alias("effect"),
-        )
-        .dropDuplicates(["src_id", "dst_id"])
+    """Edges of one type in the common shape; null ends are skipped; of repeats the one of greatest weight, then effect, stays."""
+    ends = df.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(
+        F.col(src).cast("string").alias("src_id"), F.lit(src_type).alias("src_type"), F.col(dst).cast("string").alias("dst_id"), F.lit(dst_type).alias("dst_type"), F.lit(edge_type).alias("edge_type"),
+        (F.col(weight).cast("double") if weight else F.lit(None).cast("double")).alias("weight"), (F.col(effect) if effect else F.lit(None).cast("string")).alias("effect"),
     )
+    if weight is None and effect is None:
+        return ends.dropDuplicates(["src_id", "dst_id"])
+    one = ends.groupBy("src_id", "src_type", "dst_id", "dst_type", "edge_type").agg(F.max(F.struct("weight", "effect")).alias("_e"))
+    return one.select("src_id", "src_type", "dst_id", "dst_type", "edge_type", "_e.weight", "_e.effect")
+
+
+# The edge types of the knowledge graph, and how an end's entity type and id column are called where not after it.
+EDGE_TYPES = (
+    "country_region", "region_farm", "variety_flavor", "country_variety", "region_variety", "farm_variety", "variety_processing", "processing_flavor", "roast_variety", "product_variety",
+    "product_region", "product_country", "product_flavor", "product_roast", "roaster_product", "shop_roaster", "shop_product", "shop_variety", "product_farm", "shop_farm",
+)
+ENTITY_OF = {"roast": "roast_profile"}
+ID_OF = {"processing": "method_id", "roast": "profile_id"}
+
+
+def catalog_edges(tables: Mapping[str, DataFrame], types: Sequence[str] = EDGE_TYPES) -> DataFrame:
+    """The unified graph: edges of all types whose table (edges_<type>, or <type>) is there, in the common shape.
+
+    A type names its two ends; their id columns are <end>_id but for ID_OF. A weight or effect column is taken along. Each table
+    is scanned for these columns alone.
+    """
+    parts = []
+    for kind in types:
+        df = tables.get(f"edges_{kind}", tables.get(kind))
+        if df is not None:
+            a, b = kind.split("_", 1)
+            parts.append(typed_edges(df, kind, ID_OF.get(a, f"{a}_id"), ENTITY_OF.get(a, a), ID_OF.get(b, f"{b}_id"), ENTITY_OF.get(b, b), *(c if c in df.columns else None for c in ("weight", "effect"))))
+    if not parts:
+        raise ValueError("no table of a known edge type")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def edges_from_fk(children: DataFrame, parent: str, child: str, prefix: str) -> DataFrame:

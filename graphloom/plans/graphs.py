@@ -44,6 +44,17 @@ def _(t: Tables) -> DataFrame:
     return g.adjacency(supply_edges(t), supply_vertices(t), ["nation_supplier", "supplier_part"]).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+@query("g1_catalog", "SELECT DISTINCT 'country' AS src_type, CAST(n_regionkey AS VARCHAR) AS src_id, 'region' AS dst_type, CAST(n_nationkey AS VARCHAR) AS dst_id, 'country_region' AS edge_type, NULL AS weight, NULL AS effect FROM nation UNION ALL SELECT DISTINCT 'shop', CAST(l_suppkey AS VARCHAR), 'product', CAST(l_partkey AS VARCHAR), 'shop_product', NULL, NULL FROM lineitem UNION ALL SELECT DISTINCT 'processing', p_type, 'flavor', CAST(p_partkey AS VARCHAR), 'processing_flavor', CAST(p_size AS DOUBLE), p_brand FROM part UNION ALL SELECT DISTINCT 'product', CAST(p_partkey AS VARCHAR), 'roast_profile', p_type, 'product_roast', NULL, NULL FROM part")
+def _(t: Tables) -> DataFrame:
+    tables = {
+        "edges_country_region": t.nation.select(F.col("n_regionkey").alias("country_id"), F.col("n_nationkey").alias("region_id")),
+        "edges_shop_product": t.lineitem.select(F.col("l_suppkey").alias("shop_id"), F.col("l_partkey").alias("product_id")),
+        "processing_flavor": t.part.select(F.col("p_type").alias("method_id"), F.col("p_partkey").alias("flavor_id"), F.col("p_size").alias("weight"), F.col("p_brand").alias("effect")),
+        "edges_product_roast": t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("profile_id")),
+    }
+    return g.catalog_edges(tables).select("src_type", "src_id", "dst_type", "dst_id", "edge_type", "weight", "effect")
+
+
 SEEDS_SQL = "SELECT 'n' || n_nationkey AS seed FROM nation"
 
 

