@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, packing, quality, secrets, sharding, simhash, substring, warc
+from . import chat, decontam, lines, packing, quality, ranked, secrets, sharding, simhash, substring, tokencount, warc, whitening
 from .common import read_table, stored
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -69,4 +69,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_simhash, op4_line_templates, op5_warc, op6_kd_sharding, op7_secrets, op8_quality, op9_chat, op10_decontamination)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary_path(), limit=2048)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), grid=64, shift=1_000_000, components=16, weights="one")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_simhash, op4_line_templates, op5_warc, op6_kd_sharding, op7_secrets, op8_quality, op9_chat, op10_decontamination, op11_token_counts, op12_whitening, op13_ranked_search)}
