@@ -89,6 +89,8 @@ class Encoder:
         merge, out, rest = self.tokenizer.model.tokenize, [], []
         signs = {c: [t.id for t in merge(c.decode())] for c in (b".", b",")}
         for word in words:
+            if word[:-1].isalpha() and word.isascii():
+                word = word.lower()
             text = word.decode()
             if word.isalpha() and word.islower():
                 out.append([t.id for t in merge(text)])
@@ -122,8 +124,8 @@ class Encoder:
         words: list[bytes | None] = []
         n_words = []
         for t in texts:
-            # the vocabulary lower-cases, but for its special tokens, whose text in capitals is ordinary
-            own = (t if b"<|" in t else t.translate(LOWER)).split()
+            # the vocabulary lower-cases, but for its special tokens, whose text in capitals is ordinary, and after letters were composed with their marks
+            own = (t.translate(LOWER) if t.isascii() and b"<|" not in t else t).split()
             own.append(None)
             words += own
             n_words.append(len(own))

@@ -276,6 +276,12 @@ def test_encoder_memory_is_bounded(monkeypatch):
         assert encoder.held < 120_000
 
 
+def test_encoder_of_capitals_with_marks():
+    encoder = packing.Encoder(queries.vocabulary_path(), 1)
+    for text in ("J\u030c H\u0331x T\u0308 W\u030a Y\u030a I\u0307 A\u030a", "DER Fluß, Straße. ÉCOLE Ecole, ecole.", "<|ENDOFTEXT|> <|endoftext|> Word, WORD. A. b", "plain ASCII Words, and END."):
+        assert encoder.encode([text.encode()])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_sharding(spark, tiny):
     docs = documents(spark, tiny) + [(7000 + i, "hot text " * 40) for i in range(150)] + [(None, None), (None, "a"), (9000, None)]
     got = sharding.kd_shards(frame(spark, docs), 8).collect()
