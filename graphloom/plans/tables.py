@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LAT, LON = "({k} * 7919 % 170000) / 1000.0 - 85", "({k} * 104729 % 360000) / 1000.0 - 180"
-
-
 class Tables:
     """``t.nation`` reads nation.parquet; only the columns a query names are scanned."""
 
@@ -22,8 +19,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def placed(self, df: DataFrame, key: str) -> DataFrame:
-        """Coordinates derived from a key, as the tables have none."""
-        return df.withColumn("lat", F.expr(f"cast(({key} * 7919 % 170000) as double) / 1000.0D - 85")).withColumn("lon", F.expr(f"cast(({key} * 104729 % 360000) as double) / 1000.0D - 180"))
+        """Coordinates derived from a key, from pole to pole, as the tables have none."""
+        return df.withColumn("lat", F.expr(f"cast(({key} * 7919 % 180001) as double) / 1000.0D - 90")).withColumn("lon", F.expr(f"cast(({key} * 104729 % 360000) as double) / 1000.0D - 180"))
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         """A small configured table, such as a rule list."""
@@ -32,7 +29,7 @@ class Tables:
 
 def placed_sql(table: str, key: str) -> str:
     """The same coordinates in DuckDB."""
-    return f"(SELECT *, CAST({key} * 7919 % 170000 AS DOUBLE) / 1000.0 - 85 AS lat, CAST({key} * 104729 % 360000 AS DOUBLE) / 1000.0 - 180 AS lon FROM {table})"
+    return f"(SELECT *, CAST({key} * 7919 % 180001 AS DOUBLE) / 1000.0 - 90 AS lat, CAST({key} * 104729 % 360000 AS DOUBLE) / 1000.0 - 180 AS lon FROM {table})"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
