@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import dedupe_key, location_city, location_country
 from ..functions.predicates import text_match
-from .joins import mirrored
+from .joins import member_edges, shared_counts
 
 
 def count_children(parents: DataFrame, children: DataFrame, foreign: str, search: str | None = None, by_name: bool = False) -> DataFrame:
@@ -29,19 +29,18 @@ def summary(df: DataFrame, **conditions: Column) -> DataFrame:
 def overlap(edges: Mapping[str, Sequence[tuple[DataFrame, str, str]]], seeds: DataFrame | None = None) -> DataFrame:
     """(seed, peer, label, shared): neighbours shared through all edge tables of a label; seeds (id) narrows the seeds.
 
-    Joining on the neighbour is quadratic in a hub's degree by nature: each pair it connects is counted. Pairs are reduced by the
-    partial aggregate right after the join.
+    Joining on the neighbour is quadratic in a hub's degree by nature: each pair it connects is counted. Heavy neighbours are joined
+    in blocks, and pairs are reduced by the partial aggregate right after the join.
     """
     parts = []
     for label, tables in edges.items():
         for df, self_col, nbr_col in tables:
-            e = df.select(F.col(self_col).alias("peer"), F.col(nbr_col).alias("neighbour")).where("peer is not null and neighbour is not null").distinct()
-            mine = e.withColumnRenamed("peer", "seed")
-            if seeds is None:  # each pair is counted once and then mirrored
-                counts = mirrored(mine.join(e, "neighbour").where("seed < peer").groupBy("seed", "peer").agg(F.count("*").alias("shared")), "shared")
+            if seeds is None:
+                counts = shared_counts(df, self_col, nbr_col)
             else:
-                mine = mine.join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
-                counts = mine.join(e, "neighbour").where("seed <> peer").groupBy("seed", "peer").agg(F.count("*").alias("shared"))
+                e = member_edges(df, self_col, nbr_col)
+                mine = e.withColumnRenamed("member", "seed").join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
+                counts = mine.join(e.withColumnRenamed("member", "peer"), "neighbour").where("seed <> peer").groupBy("seed", "peer").agg(F.count("*").alias("shared"))
             parts.append(counts.withColumn("label", F.lit(label)))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("seed", "peer", "label").agg(F.sum("shared").alias("shared"))
 

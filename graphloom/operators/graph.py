@@ -159,50 +159,108 @@ def traverse(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, max_depth:
     return nodes, touched.select("seed", "src_id", "dst_id", "edge_type"), cut
 
 
-def shortest_path(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, max_depth: int = 6, types: Sequence[str] | None = None, max_visited: int | None = None) -> DataFrame:
-    """(start, end, path, weight) of pairs (start, end) that are joined by at most ``max_depth`` edges.
+def numbered(vertices: DataFrame) -> DataFrame:
+    """(id, n) of the distinct ids, with numbers in the order of the ids."""
+    return materialised(vertices.select("id").where("id is not null").distinct().orderBy("id").withColumn("n", F.monotonically_increasing_id()), "numbers")
+
 
-    Both ends grow level by level, for all pairs at once, the side with fewer nodes first, until they meet; of equal paths the one
-    through lesser ids wins. Only the newest levels are compared: all nearer meetings have been seen. With ``max_visited`` a pair whose
-    two sides hold more nodes than that is given up: it has a row with a null path and ``truncated`` true.
+def shortest_path(pairs: DataFrame, edges: DataFrame, vertices: DataFrame, max_depth: int = 6, types: Sequence[str] | None = None, max_visited: int | None = None) -> DataFrame:
+    """(start, end, path, weight) of pairs (start, end) that are joined by at most ``max_depth`` edges; of equal paths the one through lesser ids wins.
+
+    Both ends grow level by level until they meet, for all pairs at once; each pair grows the side whose newest level is smaller. Nodes
+    and pairs are numbers here. A level holds each node once with its parent, so rows do not grow with the depth; the path is read
+    back from the edge where the sides met, one join for each level. From the start a node's parent is the one whose own path is least,
+    by its rank; towards the end it is the least next node; so the path is the least of all shortest ones wherever the sides meet.
+    A step is compared with the last two levels alone, as links go both ways. With ``max_visited`` a pair whose two sides hold more
+    nodes than that is given up: it has a row with a null path and ``truncated`` true.
     """
-    known = vertices.select("id").distinct()
-    pairs = pairs.select("start", "end").distinct().join(known.withColumnRenamed("id", "start"), "start", "left_semi").join(known.withColumnRenamed("id", "end"), "end", "left_semi")
-    links = materialised(adjacency(edges, vertices, types).select("node", "other").distinct(), "adjacency")
-    key = ["start", "end"]
-    side = lambda at: materialised(pairs.select(*key, F.col(at).alias("node"), F.array(at).alias("trail")), f"side-{at}")
-    newest = {at: side(at) for at in ("start", "end")}
-    recent = {at: df.select(*key, "node") for at, df in newest.items()}  # the last two levels
-    size = {at: df.count() for at, df in newest.items()}
-    held = [recent["start"], recent["end"]]
-    done = given_up = None
-    for weight in range(max_depth + 1):
-        a, z = newest["start"].withColumnRenamed("trail", "t1"), newest["end"].withColumnRenamed("trail", "t2")
-        path = F.concat("t1", F.slice(F.reverse("t2"), F.lit(2), F.size("t2")))
-        found = materialised(a.join(z, [*key, "node"]).groupBy(*key).agg(F.min(path).alias("path")).withColumn("weight", F.lit(weight)), "met")
-        done = found if done is None else done.unionByName(found)
+    spark, numbers = pairs.sparkSession, numbered(vertices)
+    as_number = lambda df, c, to: df.join(numbers.select(F.col("id").alias(c), F.col("n").alias(to)), c)
+    wanted = as_number(as_number(pairs.select("start", "end").distinct(), "start", "a"), "end", "z")
+    wanted = materialised(wanted.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    links = materialised(as_number(as_number(adjacency(edges, vertices, types).select("node", "other").distinct(), "node", "n1"), "other", "n2").select(F.col("n1").alias("node"), F.col("n2").alias("other")), "adjacency")
+    key = ["pair", "node"]
+    sides = ("start", "end")
+    # levels[side][d]: pair, node, parent, rank (of the path from the start, within its level)
+    first = {side: wanted.select("pair", F.col(c).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("rank")) for side, c in zip(sides, "az", strict=True)}
+    levels = {side: [materialised(df, f"level-{side}")] for side, df in first.items()}
+    # for each open pair: depth and size of either side's newest level, and all nodes held
+    state = materialised(wanted.where("a <> z").select("pair", F.lit(0).alias("d_start"), F.lit(0).alias("d_end"), F.lit(1).cast("long").alias("n_start"), F.lit(1).cast("long").alias("n_end"), F.lit(2).cast("long").alias("held")), "open")
+    met = wanted.where("a = z").select("pair", F.lit(0).alias("weight"), F.col("a").alias("left"), F.lit(None).cast("long").alias("right"), F.lit(0).alias("d_left"), F.lit(0).alias("d_right"))
+    given_up: list[DataFrame] = []
+
+    def newest(side: str, of: DataFrame, back: int = 0) -> DataFrame:
+        """The rows of each pair's newest level of a side, or the one before."""
+        parts = [df.withColumn("_d", F.lit(d + back)) for d, df in enumerate(levels[side])]
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.join(of.select("pair", F.col(f"d_{side}").alias("_d")), ["pair", "_d"]).drop("_d")
+
+    for weight in range(1, max_depth + 1):
+        if max_visited is not None:
+            given_up.append(materialised(state.where(F.col("held") > max_visited).select("pair"), "given-up"))
+            state = state.where(F.col("held") <= max_visited)
+        grows = {"start": state.where("n_start <= n_end"), "end": state.where("n_start > n_end")}
+        steps = {side: newest(side, of).select("pair", "node", "rank").join(links, "node") for side, of in grows.items()}
+        # an edge from one newest level to the other: the path from the start to its left node is least, then its right node
+        forth = steps["start"].select("pair", F.col("rank"), F.col("node").alias("left"), F.col("other").alias("right")).join(newest("end", grows["start"]).select("pair", F.col("node").alias("right")), ["pair", "right"])
+        back = steps["end"].select("pair", F.col("other").alias("left"), F.col("node").alias("right")).join(newest("start", grows["end"]).select("pair", F.col("node").alias("left"), "rank"), ["pair", "left"])
+        best = forth.unionByName(back).groupBy("pair").agg(F.min(F.struct("rank", "left", "right")).alias("_e"))
+        found = materialised(best.join(state, "pair").select("pair", F.lit(weight).alias("weight"), "_e.left", "_e.right", F.col("d_start").alias("d_left"), F.col("d_end").alias("d_right")), "met")
+        met = met.unionByName(found)
         if weight == max_depth:
             break
-        at = min(newest, key=lambda side: (size[side], side != "start"))
-        open_ = newest[at].join(found.select(*key), key, "left_anti")
-        other = "end" if at == "start" else "start"
-        if max_visited is not None:
-            counts = reduce(DataFrame.unionByName, held).groupBy(*key).agg((F.count("*") > max_visited).alias("over")).where("over").select(*key)
-            over = materialised(counts.join(done.select(*key), key, "left_anti"), "given-up")
-            given_up = over if given_up is None else given_up.unionByName(over).distinct()
-            open_ = open_.join(given_up, key, "left_anti")
-        step = open_.join(links, "node").groupBy(*key, F.col("other").alias("node")).agg(F.min("trail").alias("trail"))
-        fresh = materialised(step.join(recent[at], [*key, "node"], "left_anti").select(*key, "node", F.concat("trail", F.array("node")).alias("trail")), f"level-{at}")
-        size[at] = fresh.count()
-        if not size[at]:
+        state = materialised(state.join(found.select("pair"), "pair", "left_anti"), "open")
+        if state.isEmpty():
+            break
+        fresh = {}
+        for side in sides:
+            own = state.where("n_start <= n_end" if side == "start" else "n_start > n_end")
+            parent = F.min(F.struct("rank", F.col("node").alias("parent"))).alias("_p") if side == "start" else F.min(F.struct(F.col("node").alias("parent"))).alias("_p")
+            step = newest(side, own).select("pair", "node", "rank").join(links, "node").groupBy("pair", F.col("other").alias("_o")).agg(parent).withColumnRenamed("_o", "node")
+            seen = newest(side, own).select(*key).unionByName(newest(side, own, 1).select(*key))
+            step = step.join(seen, key, "left_anti").join(own.select("pair", (F.col(f"d_{side}") + 1).alias("_d")), "pair")
+            if side == "start":
+                # of one level the paths have their order from the parent's and the node
+                order = Window.partitionBy("pair").orderBy("_p.rank", "node")
+                step = step.withColumn("rank", F.when(F.col("_d") == 1, F.col("node")).otherwise(F.row_number().over(order).cast("long")))
+            else:
+                step = step.withColumn("rank", F.lit(0).cast("long"))
+            fresh[side] = materialised(step.select("pair", "node", F.col("_p.parent").alias("parent"), "rank", "_d"), f"level-{side}")
+            depths = range(1, weight + 1)
+            for d in depths:
+                rows = fresh[side].where(F.col("_d") == d).drop("_d")
+                if d < len(levels[side]):
+                    levels[side][d] = levels[side][d].unionByName(rows)
+                else:
+                    levels[side].append(rows)
+        grown = reduce(DataFrame.unionByName, (df.groupBy("pair").agg(F.count("*").alias("_n")).withColumn("_side", F.lit(side)) for side, df in fresh.items()))
+        # a side that has no new node can't meet the other: its pair has no row here and is closed
+        turned = state.join(grown, "pair")
+        at = lambda side: F.col("_side") == side
+        state = materialised(
+            turned.select("pair", *((F.col(f"d_{x}") + at(x).cast("int")).alias(f"d_{x}") for x in sides), *(F.when(at(x), F.col("_n")).otherwise(F.col(f"n_{x}")).alias(f"n_{x}") for x in sides), (F.col("held") + F.col("_n")).alias("held")),
+            "open",
+        )
+        if state.isEmpty():
             break
-        recent[at] = newest[at].select(*key, "node").unionByName(fresh.select(*key, "node"))
-        # pairs that have met or were given up grow no further on the other side either
-        newest[at], newest[other] = fresh, newest[other].join(found.select(*key), key, "left_anti")
-        held.append(fresh.select(*key, "node"))
+
+    # the nodes of each path by their place, read back from where the sides met
+    met = materialised(met, "met")
+    places = [met.select("pair", F.col("d_left").alias("at"), F.col("left").alias("node")), met.where("right is not null").select("pair", (F.col("d_left") + 1).alias("at"), F.col("right").alias("node"))]
+    for side, c, way in (("start", "left", -1), ("end", "right", 1)):
+        begun = met.select("pair", F.col(c).alias("node"), F.col(f"d_{c}").alias("d"), (F.col("d_left") + int(way > 0)).alias("at")).where("node is not null")
+        up = begun.limit(0)
+        for d in range(len(levels[side]) - 1, 0, -1):
+            here = begun.where(F.col("d") == d).unionByName(up)
+            up = here.join(levels[side][d].select(*key, "parent"), key).select("pair", F.col("parent").alias("node"), F.lit(d - 1).alias("d"), (F.col("at") + way).alias("at"))
+            places.append(up.select("pair", "at", "node"))
+    named = reduce(DataFrame.unionByName, places).join(numbers.select(F.col("n").alias("node"), "id"), "node")
+    whole = named.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("_p")).select("pair", F.col("_p.id").alias("path"))
+    done = wanted.select("pair", "start", "end").join(whole, "pair").join(met.select("pair", "weight"), "pair").select("start", "end", "path", "weight")
     if max_visited is None:
         return done
-    lost = (given_up if given_up is not None else pairs.limit(0)).join(done.select(*key), key, "left_anti").select(*key, F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("int").alias("weight"), F.lit(True).alias("truncated"))
+    lost = reduce(DataFrame.unionByName, given_up) if given_up else spark.createDataFrame([], "pair long")
+    lost = wanted.join(lost, "pair", "left_semi").select("start", "end", F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("int").alias("weight"), F.lit(True).alias("truncated"))
     return done.withColumn("truncated", F.lit(False)).unionByName(lost)
 
 
@@ -222,5 +280,3 @@ def induced(nodes: DataFrame, edges: DataFrame, n: int, pinned: str | None = Non
     ends = kept.select("id")
     inside = edges.join(ends.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ends.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
     return kept, inside.select(*edges.columns)
-
-

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import join_domain, lookup, text
 from ..functions.predicates import non_blank
+from ..functions.scratch import materialised
 
 
 def expand(edges: DataFrame, vertices: DataFrame, by: str, to: str, label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -35,11 +36,41 @@ def role_join(df: DataFrame, roles: Mapping[str, str], dim: DataFrame, dim_key:
     return df
 
 
+#: Members of a neighbour that meet in one task; a neighbour of more is split into blocks of that size, which meet pair by pair.
+MEMBERS = 1000
+
+
+def member_pairs(edges: DataFrame) -> DataFrame:
+    """(neighbour, seed, peer) of edges (member, neighbour) without repeats: each pair of members of a neighbour once, seed < peer.
+
+    A neighbour of d members gives d * d / 2 pairs. Those of more than ``MEMBERS`` are cut into blocks by a hash of the member, and the
+    blocks are joined pair by pair, so that no key has more than a block of rows on either side.
+    """
+    degree = edges.groupBy("neighbour").agg(F.count("*").alias("_d")).where(F.col("_d") > MEMBERS)
+    blocks = F.coalesce(F.ceil(F.col("_d") / MEMBERS), F.lit(1)).cast("int")
+    cut = edges.join(degree.select("neighbour", blocks.alias("_blocks")), "neighbour", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    cut = cut.withColumn("_own", F.pmod(F.xxhash64("member", F.lit(17)), F.col("_blocks")).cast("int"))
+    # of blocks i <= j a member of i stands to the left, one of j to the right
+    left = cut.select("neighbour", F.col("member").alias("_a"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
+    right = cut.select("neighbour", F.col("member").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
+    met = left.join(right, ["neighbour", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_a") < F.col("_b")))
+    return met.select("neighbour", F.least("_a", "_b").alias("seed"), F.greatest("_a", "_b").alias("peer"))
+
+
+def member_edges(df: DataFrame, self_col: str, nbr_col: str) -> DataFrame:
+    """Distinct (member, neighbour) with both ends."""
+    return df.select(F.col(self_col).alias("member"), F.col(nbr_col).alias("neighbour")).where("member is not null and neighbour is not null").distinct()
+
+
 def peers(edges: DataFrame, self_col: str, nbr_col: str) -> DataFrame:
-    """(seed, peer, neighbour): pairs that share a neighbour. Distinct edges first; each pair is joined once and then mirrored, and hubs are left to skew-join splitting."""
-    e = edges.select(F.col(self_col).alias("seed"), F.col(nbr_col).alias("neighbour")).where("seed is not null and neighbour is not null").distinct()
-    once = e.join(e.withColumnRenamed("seed", "peer"), "neighbour").where("seed < peer")
-    return mirrored(once, "neighbour")
+    """(seed, peer, neighbour): pairs that share a neighbour. Each pair is joined once, heavy neighbours in blocks, and then mirrored."""
+    return mirrored(member_pairs(member_edges(edges, self_col, nbr_col)), "neighbour")
+
+
+def shared_counts(edges: DataFrame, self_col: str, nbr_col: str) -> DataFrame:
+    """(seed, peer, shared) in both directions: how many neighbours two members share. Each pair is counted once, partly before the exchange, and then mirrored."""
+    counts = member_pairs(member_edges(edges, self_col, nbr_col)).groupBy("seed", "peer").agg(F.count("*").alias("shared"))
+    return mirrored(counts, "shared")
 
 
 def mirrored(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -100,23 +131,36 @@ def words_of(c: Column) -> Column:
 def mention_join(docs: DataFrame, names: DataFrame, doc_text: str = "text", min_length: int = 4, stop: Sequence[str] = (), aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Distinct (doc_id, entity_id) where the text contains the entity's name between word boundaries.
 
-    Texts become runs of 1..n words, n being the words of the longest name, which join names by equality; so the cost follows the
-    texts, not texts times names. Aliases add names: each key inside a name is replaced by its other spellings.
+    Texts become rows of single words, of which only words of some name stay, with their places. A name is looked up by its rarest
+    word; where that stands, its other words are looked up at their places beside it. So rows follow the words of the texts, however
+    long a name is, and a frequent word costs no join of its own. Aliases add names: each key inside a name is replaced by its other spellings.
     """
     wanted = names.where(F.length("name") >= min_length).where(~F.lower("name").isin(list(stop)) if stop else F.lit(True))
     spelled = [F.lower(F.col("name"))]
     for word, others in (aliases or {}).items():
         spelled += [F.replace(F.lower(F.col("name")), F.lit(word), F.lit(o)) for o in others]
-    grams = wanted.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct(F.array(*spelled))).alias("_n"))
-    grams = grams.select("entity_id", "_n", words_of(F.col("_n")).alias("_w")).where(F.size("_w") > 0).select("entity_id", "_n", F.concat_ws(" ", "_w").alias("_gram"), F.size("_w").alias("_k"))
-    longest = grams.agg(F.max("_k")).first()[0] or 1
-    runs = F.expr(f"flatten(transform(sequence(1, {longest}), k -> if(size(_w) < k, cast(array() as array<string>), transform(sequence(1, size(_w) - k + 1), i -> concat_ws(' ', slice(_w, i, k))))))")
+    each = wanted.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct(F.array(*spelled))).alias("_n")).distinct()
+    each = each.select("entity_id", "_n", words_of(F.col("_n")).alias("_w")).where(F.size("_w") > 0)
+    each = each.select("entity_id", "_n", F.size("_w").alias("_k"), F.posexplode("_w").alias("_at", "_word"))
+    each = materialised(each, "names")
     texts = docs.where(F.col(doc_text).isNotNull()).select(F.col("id").alias("doc_id"), F.lower(F.col(doc_text)).alias("_t"))
-    found = texts.select("doc_id", words_of(F.col("_t")).alias("_w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("_gram")).join(grams, "_gram")
-    plain = found.where(F.col("_n") == F.col("_gram")) if longest == 1 else found
+    places = texts.select("doc_id", F.posexplode(words_of(F.col("_t"))).alias("_pos", "_word")).join(each.select("_word").distinct(), "_word", "left_semi")
+    places = materialised(places, "words")
+
+    seen = places.groupBy("_word").agg(F.count("*").alias("_often"))
+    rarest = each.join(seen, "_word").groupBy("entity_id", "_n", "_k").agg(F.min(F.struct("_often", "_at", "_word")).alias("_r"), F.count("*").alias("_known")).where("_known = _k")
+    rarest = rarest.select("entity_id", "_n", "_k", F.col("_r._at").alias("_at"), F.col("_r._word").alias("_word"))
+    begun = places.join(rarest, "_word").select("doc_id", "entity_id", "_n", "_k", (F.col("_pos") - F.col("_at")).alias("_from"))
+    single = begun.where("_k = 1").select("doc_id", "entity_id", "_n")
+    # the name's words at their places from there
+    sought = begun.where("_k > 1 and _from >= 0").join(each.select("entity_id", "_n", "_at", "_word"), ["entity_id", "_n"])
+    sought = sought.select("doc_id", "entity_id", "_n", "_k", "_from", (F.col("_from") + F.col("_at")).alias("_pos"), "_word")
+    # a repeated id of docs may hold a place twice
+    whole = sought.join(places.distinct(), ["doc_id", "_pos", "_word"]).groupBy("doc_id", "entity_id", "_n", "_k", "_from").agg(F.countDistinct("_pos").alias("_met")).where("_met = _k")
+    found = single.unionByName(whole.select("doc_id", "entity_id", "_n")).withColumn("_plain", F.col("_n") == F.concat_ws(" ", words_of(F.col("_n"))))
     # names with other signs inside are checked against the text itself
-    signs = plain.where(F.col("_n") != F.col("_gram")).join(texts, "doc_id").where(F.expr(r"_t rlike concat('(?U)(^|\\W)', regexp_replace(_n, '([^\\w\\s])', '\\\\$1'), '(\\W|$)')"))
-    return plain.where(F.col("_n") == F.col("_gram")).select("doc_id", "entity_id").union(signs.select("doc_id", "entity_id")).distinct()
+    signs = found.where("not _plain").join(texts, "doc_id").where(F.expr(r"_t rlike concat('(?U)(^|\\W)', regexp_replace(_n, '([^\\w\\s])', '\\\\$1'), '(\\W|$)')"))
+    return found.where("_plain").select("doc_id", "entity_id").union(signs.select("doc_id", "entity_id")).distinct()
 
 
 def update_from(base: DataFrame, patch: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -58,41 +58,51 @@ def counted(n: Column, noun: Column) -> Column:
 
 
 def reason(counts: Column, cap: int = 3) -> Column:
-    """'Shares 2 flavor notes, 1 region': counts is an array of structs (label, shared), most shared first; null if empty."""
-    ordered = F.slice(F.array_sort(F.transform(counts, lambda c: F.struct((-c["shared"]).alias("n"), c["label"].alias("label")))), 1, cap)
+    """'Shares 2 flavor notes, 1 region': counts is an array of structs (label, shared), shown most shared first, of equal ones in the array's order; null if empty."""
+    placed = F.transform(counts, lambda c, at: F.struct((-c["shared"]).alias("n"), at.alias("at"), c["label"].alias("label")))
+    ordered = F.slice(F.array_sort(F.filter(placed, lambda c: c["n"] < 0)), 1, cap)
     parts = F.transform(ordered, lambda c: counted(-c["n"], c["label"]))
-    return F.when(F.size(counts) > 0, F.concat(F.lit("Shares "), F.array_join(parts, ", ")))
+    return F.when(F.size(ordered) > 0, F.concat(F.lit("Shares "), F.array_join(parts, ", ")))
 
 
 def similar(items: DataFrame, edges: Mapping[str, Sequence[tuple[DataFrame, str, str]]], limit: int = 10, weight: float = 0.5, seeds: DataFrame | None = None, visible: Column | None = None) -> DataFrame:
     """(seed, id, label, score, reason) of the best peers of every seed, or of the given ones (id).
 
-    score = cosine + weight * shared / most shared; a seed without a vector ranks by shared / most shared alone. Only the 50 nearest by cosine have one; others come in by shared neighbours
-    alone. ``visible`` hides peers after the most shared is taken. Items have a long id, label and embedding.
+    score = cosine + weight * shared / most shared; a seed without a vector ranks by shared / most shared alone. Only the 50 nearest
+    by cosine have one; others come in by shared neighbours alone. ``visible`` is a predicate on peers: hidden ones take none of the 50
+    places and are no result, but count for the most shared, and may be seeds. Labels of edges are told in the order of ``edges``
+    where equally many are shared. Items have a long id, label and embedding.
     """
+    peers = items if visible is None else items.where(visible)
     seed_items = items if seeds is None else items.join(seeds.select("id"), "id", "left_semi")
-    near = similarity_join(seed_items, items, "id", "id", "embedding", None, POOL, exclude_self=True).select(F.col("a_id").alias("seed"), F.col("b_id").alias("peer"), "similarity")
+    near = similarity_join(seed_items, peers, "id", "id", "embedding", None, POOL, exclude_self=True).select(F.col("a_id").alias("seed"), F.col("b_id").alias("peer"), "similarity")
     shared = overlap(edges, seeds)
     known = items.select(F.col("id").alias("seed"))
     shared = shared.join(known, "seed", "left_semi")
-    totals = shared.groupBy("seed", "peer").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("label", "shared")).alias("counts"))
+    position = F.create_map(*(F.lit(v) for pair in ((label, at) for at, label in enumerate(edges)) for v in pair))
+    told = F.array_sort(F.collect_list(F.struct(position[F.col("label")].alias("at"), "label", "shared")))
+    totals = shared.groupBy("seed", "peer").agg(F.sum("shared").alias("shared"), told.alias("counts"))
     merged = merge_candidates(near, totals, ["seed", "peer"])
     led = items.select(F.col("id").alias("seed"), F.when(cosine("embedding", "embedding").isNotNull(), weight).otherwise(1.0).alias("_weight"))
     scored = norm_by_max(merged, "seed", "shared", "norm").join(led, "seed").withColumn("score", F.round(F.col("similarity") + F.col("_weight") * F.col("norm"), 6))
-    peers = items.where(visible) if visible is not None else items
     named = scored.join(peers.select(F.col("id").alias("peer"), "label"), "peer")
     best = topk_per_group(named, "seed", "score", limit, key="peer")
-    return best.select("seed", F.col("peer").alias("id"), "label", "score", reason(F.coalesce("counts", F.array().cast("array<struct<label:string,shared:bigint>>"))).alias("reason"))
+    none = F.array().cast("array<struct<at:int,label:string,shared:bigint>>")
+    return best.select("seed", F.col("peer").alias("id"), "label", "score", reason(F.coalesce("counts", none)).alias("reason"))
 
 
-def for_user(activity: DataFrame, items: DataFrame, limit: int = 10, noun: str = "item") -> DataFrame:
-    """(user_id, id, label, score, reason): items nearest to the mean of what each user saved, which are left out themselves."""
+def for_user(activity: DataFrame, items: DataFrame, limit: int = 10, noun: str = "item", visible: Column | None = None) -> DataFrame:
+    """(user_id, id, label, score, reason): items nearest to the mean of what each user saved, which are left out themselves.
+
+    ``visible`` is a predicate on what is recommended; hidden saved items count for the mean and for the number told.
+    """
+    shown = items if visible is None else items.where(visible)
     saved = activity.select("user_id", F.col("entity_id").alias("id")).distinct()
     taste = centroid(saved.join(items.select("id", "embedding"), "id"), "user_id", "embedding").where("centroid is not null")
     saves = saved.groupBy("user_id").agg(F.count("*").alias("n"), F.collect_list("id").alias("saved"))
-    near = similarity_join(taste.withColumnRenamed("centroid", "embedding").join(saves, "user_id"), items, "user_id", "id", "embedding", None, limit, skip="saved")
+    near = similarity_join(taste.withColumnRenamed("centroid", "embedding").join(saves, "user_id"), shown, "user_id", "id", "embedding", None, limit, skip="saved")
     fresh = near.select(F.col("a_id").alias("user_id"), F.col("b_id").alias("id"), F.round("similarity", 6).alias("score"))
-    best = topk_per_group(fresh, "user_id", "score", limit).join(items.select("id", "label"), "id").join(saves.select("user_id", "n"), "user_id")
+    best = topk_per_group(fresh, "user_id", "score", limit).join(shown.select("id", "label"), "id").join(saves.select("user_id", "n"), "user_id")
     text = F.concat(F.lit("Based on "), counted(F.col("n"), F.lit(noun)), F.lit(" you saved"))
     return best.select("user_id", "id", "label", "score", text.alias("reason"))
 
@@ -139,6 +149,4 @@ def embed_tables(tables: Mapping[str, DataFrame], embedder: Callable, size: int,
     return {t: embed_missing(df, embedder, size) if t in chosen else df for t, df in tables.items()}
 
 
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

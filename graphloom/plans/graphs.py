@@ -90,6 +90,12 @@ def _(t: Tables) -> DataFrame:
     return g.traverse(all_seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=None, max_edges=None)[1]
 
 
+@query("g2_budgets", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, w AS (SELECT seed, seed AS node, 0 AS depth FROM ({SEEDS_SQL}) UNION SELECT w.seed, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 2), d AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY seed, node), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS r FROM d) SELECT seed, count(*) > 40 AS truncated, count_if(r <= 40) AS nodes, max(node) FILTER (WHERE r <= 40) AS last FROM r GROUP BY seed")
+def _(t: Tables) -> DataFrame:
+    nodes, _, cut = g.traverse(seeds(t), supply_edges(t), supply_vertices(t), 2, max_nodes=40, max_edges=None)
+    return nodes.groupBy("seed").agg(F.count("*").alias("nodes"), F.max("id").alias("last")).join(cut, "seed")
+
+
 @query("g3_shortest_path", f"WITH RECURSIVE {EDGES_SQL}, {LINKS_SQL}, q AS (SELECT 'p' || p_partkey AS s, 'p' || (p_partkey + 1) AS z FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT 's' || s_suppkey, 's' || s_suppkey FROM supplier), w AS (SELECT s, s AS node, 0 AS depth FROM q UNION SELECT w.s, a.other, w.depth + 1 FROM w JOIN a ON w.node = a.node WHERE w.depth < 6), d AS (SELECT s, node, min(depth) AS weight FROM w GROUP BY s, node) SELECT q.s AS \"start\", q.z AS \"end\", weight FROM q JOIN d ON d.s = q.s AND d.node = q.z")
 def _(t: Tables) -> DataFrame:
     part = lambda k: F.concat(F.lit("p"), (F.col("p_partkey") + k).cast("string"))
@@ -190,11 +196,21 @@ def _(t: Tables) -> DataFrame:
     return found.select("entity_type", "id", F.round("score", 6).alias("score"))
 
 
-@query("r3_similar", OVERLAP_SQL + f", {VEC_SQL}, z AS (SELECT vec_id, v FROM e JOIN supplier ON s_suppkey = vec_id WHERE vec_id % 9 <> 0), n AS (SELECT a.vec_id AS seed, b.vec_id AS peer, {COS_SQL} AS c FROM z a, z b WHERE a.vec_id <> b.vec_id), n50 AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(c, 9) DESC, peer) <= 50), t AS (SELECT seed, peer, sum(shared) AS shared FROM u GROUP BY seed, peer), m AS (SELECT seed, peer, coalesce(c, 0) AS c, coalesce(shared, 0) AS shared FROM n50 FULL JOIN t USING (seed, peer)), s AS (SELECT seed, peer, round(c + CASE WHEN seed % 9 = 0 OR seed NOT IN (SELECT vec_id FROM e) THEN 1.0 ELSE 0.5 END * CASE WHEN max(shared) OVER (PARTITION BY seed) > 0 THEN shared / max(shared) OVER (PARTITION BY seed) ELSE 0 END, 6) AS score FROM m), k AS (SELECT * FROM s WHERE peer % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, peer) <= 10) SELECT seed, peer AS id, score FROM k")
+R3_SQL = OVERLAP_SQL + f""", {VEC_SQL}, z AS (SELECT vec_id, v FROM e JOIN supplier ON s_suppkey = vec_id WHERE vec_id % 9 <> 0),
+n AS (SELECT a.vec_id AS seed, b.vec_id AS peer, {COS_SQL} AS c FROM z a, z b WHERE a.vec_id <> b.vec_id AND b.vec_id % 5 <> 0),
+n50 AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(c, 9) DESC, peer) <= 50),
+t AS (SELECT seed, peer, sum(shared) AS shared, 'Shares ' || string_agg(shared || ' ' || CASE WHEN shared > 1 THEN label || 's' ELSE label END, ', ' ORDER BY shared DESC, label DESC) AS reason FROM u GROUP BY seed, peer),
+m AS (SELECT seed, peer, coalesce(c, 0) AS c, coalesce(shared, 0) AS shared, reason FROM n50 FULL JOIN t USING (seed, peer)),
+s AS (SELECT seed, peer, reason, round(c + CASE WHEN seed % 9 = 0 OR seed NOT IN (SELECT vec_id FROM e) THEN 1.0 ELSE 0.5 END * CASE WHEN max(shared) OVER (PARTITION BY seed) > 0 THEN shared / max(shared) OVER (PARTITION BY seed) ELSE 0 END, 6) AS score FROM m),
+k AS (SELECT * FROM s WHERE peer % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY score DESC, peer) <= 10) SELECT seed, peer AS id, score, reason FROM k"""
+
+
+@query("r3_similar", R3_SQL)
 def _(t: Tables) -> DataFrame:
+    # hidden peers take no place among the nearest; the configured labels are part, then nation
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 9 != 0, F.col("embedding")).alias("embedding"))
     items = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label")).join(vectors, "id", "left")
-    return search.similar(items, supplier_edges(t), 10, visible=F.col("id") % 5 != 0).select("seed", "id", "score")
+    return search.similar(items, supplier_edges(t), 10, visible=F.col("id") % 5 != 0).select("seed", "id", "score", "reason")
 
 
 @query("r4_for_user", f"WITH {VEC_SQL}, s AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) AS id FROM events WHERE event_type IN ('purchase', 'click')), x AS (SELECT user_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM s JOIN e ON s.id = e.vec_id), c AS (SELECT user_id, list(m ORDER BY pos) AS v FROM (SELECT user_id, pos, avg(x) AS m FROM x GROUP BY user_id, pos) GROUP BY user_id), r AS (SELECT a.user_id, b.vec_id AS id, round({COS_SQL}, 6) AS score FROM c a, e b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = a.user_id AND s.id = b.vec_id)), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) <= 5) SELECT user_id, id, score FROM k")
@@ -204,6 +220,29 @@ def _(t: Tables) -> DataFrame:
     return search.for_user(activity, items, 5).select("user_id", "id", "score")
 
 
+@query("r4_for_user_visible", f"WITH {VEC_SQL}, s AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) AS id FROM events WHERE event_type IN ('purchase', 'click')), x AS (SELECT user_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM s JOIN e ON s.id = e.vec_id), c AS (SELECT user_id, list(m ORDER BY pos) AS v FROM (SELECT user_id, pos, avg(x) AS m FROM x GROUP BY user_id, pos) GROUP BY user_id), r AS (SELECT a.user_id, b.vec_id AS id, round({COS_SQL}, 6) AS score FROM c a, e b WHERE b.label < 3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = a.user_id AND s.id = b.vec_id)), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) <= 5) SELECT user_id, id, score, 'Based on ' || (SELECT count(*) FROM s WHERE s.user_id = k.user_id) || CASE WHEN (SELECT count(*) FROM s WHERE s.user_id = k.user_id) = 1 THEN ' item' ELSE ' items' END || ' you saved' AS reason FROM k")
+def _(t: Tables) -> DataFrame:
+    # hidden items still count for a user's mean
+    activity = t.events.where("event_type in ('purchase', 'click')").select("user_id", F.floor("value").cast("long").alias("entity_id"))
+    items = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.col("label").alias("kind"), "embedding")
+    return search.for_user(activity, items, 5, visible=F.col("kind") < 3).select("user_id", "id", "score", "reason")
+
+
+LETTERS = "aeiorstn"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A model that SQL can follow."""
+    return [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
+@query("r6_embed_missing_values", "SELECT p_partkey AS id, " + ", ".join(f"CASE WHEN p_size % 3 = 0 THEN 9.0 ELSE CAST(length(t) - length(replace(t, '{c}', '')) AS DOUBLE) END AS v{i}" for i, c in enumerate(LETTERS)) + " FROM (SELECT *, p_name || ' — ' || p_type AS t FROM part)")
+def _(t: Tables) -> DataFrame:
+    # every third has a vector already, which stays
+    items = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.when(F.col("p_size") % 3 == 0, F.array_repeat(F.lit(9.0).cast("float"), 8)).alias("embedding"))
+    return search.embed_missing(items, letter_counts, 8).select("id", *(F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(8)))
+
+
 @query("r6_embed_missing", "SELECT count(*) AS n, 8 AS size FROM part")
 def _(t: Tables) -> DataFrame:
     items = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.lit(None).cast("array<float>").alias("embedding"))
@@ -262,6 +301,14 @@ def _(t: Tables) -> DataFrame:
     return merge.work_list(t.customer.select("c_custkey"), log, "c_custkey", ["purchase", "signup"], 500)
 
 
+@query("e8_work_list_chains", "WITH c AS (SELECT c_custkey, c_mktsegment || ' store ' || c_custkey AS name, 'https://www.shop' || (c_custkey % 7) || '.example.com/x' AS website FROM customer) SELECT c_custkey FROM c WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type IN ('purchase', 'signup')) AND NOT (lower(name) LIKE 'building store %') AND NOT (lower(name) LIKE 'furniture store %' AND lower(name) NOT LIKE 'furniture store 1') AND c_custkey % 7 <> 3 ORDER BY c_custkey LIMIT 300")
+def _(t: Tables) -> DataFrame:
+    log = t.events.select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("status"))
+    c = F.col("c_custkey")
+    shops = t.customer.select("c_custkey", F.concat(F.initcap("c_mktsegment"), F.lit(" Store "), c.cast("string")).alias("name"), F.concat(F.lit("https://www.shop"), (c % 7).cast("string"), F.lit(".example.com/x")).alias("website"))
+    return merge.work_list(shops, log, "c_custkey", ["purchase", "signup"], 300, ["Furniture Store 1"], ["Building Store", "Furniture Store"], ["shop3.example.com"]).select("c_custkey")
+
+
 LOG_SQL = "l AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'note' END AS action, CAST(json_extract(props, '$.k') AS BIGINT) AS entity_id, value FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 90))"
 
 
@@ -302,7 +349,7 @@ def _(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("e13_load_products", "SELECT split_part(p_name, ' ', 1) AS roaster, count(DISTINCT p_name || p_brand) AS products FROM part WHERE NOT contains(p_name, 'anvil') GROUP BY roaster")
+@query("e13_load_products", "SELECT split_part(p_name, ' ', 1) AS roaster, p_name || ' ' || p_brand AS name, arg_max(p_retailprice, p_partkey) AS price, arg_max(p_size, p_partkey) AS grams FROM part WHERE NOT contains(p_name, 'anvil') GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     from .scalar import x
 
@@ -315,11 +362,9 @@ def _(t: Tables) -> DataFrame:
     known = t.part.where("p_partkey < 40").select(F.concat(F.lit("old-"), word).alias("id"), F.concat(F.initcap(word), F.lit(" Roastery")).alias("name"), F.col("p_partkey").alias("created_at")).dropDuplicates(["id"])
     out = jobs.load_products(records, known, x.ProductRules(title_never=("anvil",)))
     names = out["roasters"].select(F.col("id").alias("roaster_id"), F.lower(F.split("name", " ")[0]).alias("roaster"))
-    return out["products"].join(names, "roaster_id").groupBy("roaster").agg(F.count("*").alias("products"))
+    return out["products"].join(names, "roaster_id").select("roaster", "name", "price", F.col("net_weight_grams").alias("grams"))
 
 
 @query("j14_nearest", f"WITH c AS {placed_sql('customer', 'c_custkey')} SELECT c_custkey AS id FROM c WHERE 6371.0 * acos(least(1.0, greatest(-1.0, sin(radians(10.0)) * sin(radians(lat)) + cos(radians(10.0)) * cos(radians(lat)) * cos(radians(lon) - radians(20.0))))) <= 3000")
 def _(t: Tables) -> DataFrame:
     return geo.nearest(t.placed(t.customer, "c_custkey").withColumnRenamed("c_custkey", "id"), 10.0, 20.0, 3000).select("id")
-
-

@@ -1,9 +1,14 @@
 """Edge building, traversal, search and recommendation on small graphs with known answers."""
 
+import random
+import re
+from collections import Counter
+
 import pytest
 from graphloom.operators import graph as g
 from graphloom.operators import joins as j
 from graphloom.operators import search
+from graphloom.operators.aggregates import overlap
 from pyspark.sql import functions as F
 
 VERTICES = [("c1", "country", "Ethiopia"), ("c2", "country", "Brazil"), ("r1", "region", "Yirg"), ("f1", "farm", "Konga"), ("v1", "variety", "Geisha"), ("fl1", "flavor", "Jasmine"), ("p1", "processing", "Washed")]
@@ -160,6 +165,111 @@ def test_similar_items(spark):
     assert {r.id: r.score for r in hidden} == {2: 1.25, 3: 0.0}  # the most shared is still that of the hidden peer
 
 
+def test_hidden_peers_take_no_place(spark):
+    # 60 hidden neighbours are nearer than the 5 visible ones
+    rows = [(0, "seed", [1.0, 0.0])] + [(i, "hidden", [1.0, i / 1000]) for i in range(1, 61)] + [(100 + i, "shown", [1.0, 0.5 + i / 10]) for i in range(5)]
+    items = spark.createDataFrame(rows, "id long, label string, embedding array<float>")
+    none = {"flavor note": [(spark.createDataFrame([], "item long, flavor string"), "item", "flavor")]}
+    got = search.similar(items, none, seeds=items.where("id = 0"), visible=F.col("label") == "shown").collect()
+    assert sorted(r.id for r in got) == [100, 101, 102, 103, 104]
+    # the one saved item is hidden, and still says what its user likes
+    saved = spark.createDataFrame([(7, 1)], "user_id long, entity_id long")
+    got = search.for_user(saved, items, 2, visible=F.col("label") == "shown").orderBy(F.desc("score")).collect()
+    assert [(r.id, r.reason) for r in got] == [(100, "Based on 1 item you saved"), (101, "Based on 1 item you saved")]
+
+
+def test_reason_of_ties_keeps_the_configured_order(spark):
+    items = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.1])], "id long, label string, embedding array<float>")
+    both = lambda *n: spark.createDataFrame([(i, x) for i in (1, 2) for x in n], "item long, other string")
+    edges = {"variety": [(both("v"), "item", "other")], "flavor note": [(both("f"), "item", "other")], "origin": [(both("o"), "item", "other")], "roast profile": [(both("p"), "item", "other")]}
+    assert search.similar(items, edges, seeds=items.where("id = 1")).first().reason == "Shares 1 variety, 1 flavor note, 1 origin"
+    edges["roast profile"] = [(both("p", "q"), "item", "other")]
+    assert search.similar(items, edges, seeds=items.where("id = 1")).first().reason == "Shares 2 roast profiles, 1 variety, 1 flavor note"
+
+
+def test_heavy_neighbours(spark, monkeypatch):
+    from graphloom.operators import joins
+
+    edges = spark.createDataFrame([(i, "hub") for i in range(300)] + [(i, f"n{i % 7}") for i in range(60)] + [(1, "hub"), (2, None), (None, "hub")], "m long, n string")
+    of = lambda: Counter(tuple(r) for r in j.peers(edges, "m", "n").collect())
+    whole = of()
+    assert whole["hub", 1, 2] == 0 and whole[1, 2, "hub"] == 1 and sum(v for k, v in whole.items() if k[2] == "hub") == 300 * 299
+    counts = {tuple(r) for r in overlap({"x": [(edges, "m", "n")]}).collect()}
+    monkeypatch.setattr(joins, "MEMBERS", 40)
+    assert of() == whole and {tuple(r) for r in overlap({"x": [(edges, "m", "n")]}).collect()} == counts
+    # no key of the join is larger than a block or two on either side
+    plan = joins.member_pairs(joins.member_edges(edges, "m", "n"))
+    assert plan.groupBy("neighbour").count().where("neighbour = 'hub'").first()["count"] == 300 * 299 // 2
+
+
+def test_mentions_follow_their_words(spark):
+    texts = ["new york new york city", "york new", "a Côte d'Or, côte", "city of new new york", "", None, "SL-28 and sl 28", "the the the", "long " + "x " * 50 + "name at the end of it"]
+    names = ["New York", "New York City", "new new york", "Côte d'Or", "côte", "SL-28", "the the", "name at the end of it", "not there", "city city"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, "again york new york")], "id long, text string")
+    table = spark.createDataFrame([(n, n) for n in names] + [("the the", "the the")], "id string, name string")
+    want = set()
+    for i, t in [*enumerate(texts), (0, "again york new york")]:
+        for n in names:
+            if t is not None and re.search(r"(^|\W)" + re.escape(n.lower()) + r"(\W|$)", t.lower()):
+                want.add((i, n))
+    assert {tuple(r) for r in j.mention_join(docs, table, min_length=3).collect()} == want and (2, "Côte d'Or") in want
+
+
+def least_paths(edges, pairs, depth):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for start, end in pairs:
+        level, seen = [(start,)], {start}
+        for weight in range(depth + 1):
+            hits = [p for p in level if p[-1] == end]
+            if hits:
+                out[start, end] = (list(min(hits)), weight)
+                break
+            fresh = {}
+            for p in level:
+                for n in near.get(p[-1], ()):
+                    if n not in seen and (n not in fresh or p + (n,) < fresh[n]):
+                        fresh[n] = p + (n,)
+            seen |= set(fresh)
+            level = list(fresh.values())
+    return out
+
+
+def test_shortest_paths_are_the_least(spark):
+    rng = random.Random(2)
+    for n, m in ((30, 40), (40, 44), (12, 30)):
+        nodes = [f"{rng.choice('abc')}{i}" for i in range(n)]
+        edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(m)]
+        pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)]
+        frame = spark.createDataFrame([(a, b, "t") for a, b in edges], "src_id string, dst_id string, edge_type string")
+        vertices = spark.createDataFrame([(x,) for x in nodes], "id string")
+        for depth in (6, 3):
+            found = g.shortest_path(spark.createDataFrame(pairs, "start string, end string"), frame, vertices, depth)
+            assert {(r.start, r.end): (r.path, r.weight) for r in found.collect()} == least_paths(edges, pairs, depth)
+
+
+def test_similarity_blocks_are_skipped(spark, monkeypatch):
+    import numpy as np
+    from graphloom.functions import vectors
+
+    rng = np.random.default_rng(0)
+    centres = np.eye(16)[rng.permutation(16)]
+    rows = [(i, [float(v) for v in centres[i % 16] + rng.normal(size=16) / 40]) for i in range(800)] + [(900, [0.0] * 16), (901, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>").repartition(8)
+    joined = lambda **o: {(r.a_id, r.b_id): round(r.similarity, 9) for r in vectors.similarity_join(df, df, "id", "id", "vec", exclude_self=True, **o).collect()}
+    cases = [{"threshold": 0.8}, {"k": 5}, {"threshold": 0.97, "k": 3}, {"threshold": -1.0, "k": 60}]
+    whole = [joined(**c) for c in cases]
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 50 * 16 * 8)
+    monkeypatch.setattr(vectors, "LEFT_ROWS", 50)
+    assert [joined(**c) for c in cases] == whole and len(whole[0]) > 800 * 40
+    read, passed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    joined(threshold=0.8, counts=(read, passed))
+    assert read.value + passed.value > 0 and passed.value > 3 * read.value
+
+
 def test_personal_feed(spark):
     items = spark.createDataFrame([(1, "p1", [1.0] * 8), (2, "p2", [0.98] * 8), (3, "p3", [1.0, -1.0] * 4)], "id long, label string, embedding array<float>")
     activity = spark.createDataFrame([(7, 1), (7, 1)], "user_id long, entity_id long")
