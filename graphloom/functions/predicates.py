@@ -16,6 +16,11 @@ def public(df: DataFrame, hidden: Sequence[str] = ("embedding",)) -> DataFrame:
     return df.drop(*hidden)
 
 
+def prefixed(columns: Sequence[str], alias: str) -> list[Column]:
+    """The columns of an aliased side of a join."""
+    return [F.col(f"{alias}.{c}") for c in columns]
+
+
 def ieq(c: Column | str, value: str) -> Column:
     return F.lower(text(c)) == F.lower(F.lit(value))
 

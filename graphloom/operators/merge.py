@@ -121,13 +121,27 @@ def score_flag(shops: DataFrame, shop_roaster: DataFrame, allow: Sequence[str] =
     return scored.select(*shops.columns, "specialty_score", "is_specialty")
 
 
-def work_list(items: DataFrame, log: DataFrame, key: str, terminal: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Items without any terminal outcome in the log, in order of key; other outcomes are tried again."""
+def work_list(items: DataFrame, log: DataFrame, key: str, terminal: Sequence[str], limit: int | None = None, allow: Sequence[str] = (), block: Sequence[str] = (), block_hosts: Sequence[str] = ()) -> DataFrame:
+    """Items without any terminal outcome in the log, in order of key; other outcomes are tried again.
+
+    With ``block`` or ``block_hosts`` items (name, website) of blocked chains, by name or host, are left out before the limit; ``allow``
+    names chains that stay whatever their name starts with.
+    """
     done = log.where(F.col("status").isin(list(terminal))).select(key).distinct()
-    out = items.join(done, key, "left_anti").orderBy(key)
+    out = items.join(done, key, "left_anti")
+    if block:
+        out = out.join(chain_flags(out, allow, block, key=key).where("blocked").select(key), key, "left_anti")
+    if block_hosts:
+        out = out.where(~F.coalesce(host_in("website", block_hosts), F.lit(False)))
+    out = out.orderBy(key)
     return out if limit is None else out.limit(limit)
 
 
+def newest_first(rows: DataFrame, *ties: str, created: str = "created_at") -> DataFrame:
+    """Rows with the newest first; those of one time in order of ``ties``."""
+    return rows.orderBy(F.desc_nulls_last(created), *ties)
+
+
 def activity_state(log: DataFrame, vertices: DataFrame, score_range: tuple[float, float] = (0.0, 100.0)) -> tuple[DataFrame, DataFrame]:
     """Favourites and notes after an activity log (event_id, ts, user_id, action, entity_type, entity_id, note_id, score, notes).
 
@@ -151,7 +165,7 @@ def activity_state(log: DataFrame, vertices: DataFrame, score_range: tuple[float
 
 
 def export_pruned(tables: Mapping[str, DataFrame], root: str, keep: Column, children: Mapping[str, str], key: str = "id") -> dict[str, DataFrame]:
-    """All tables with only the wanted rows of ``root`` and the child rows that refer to them or to nothing.
+    """All tables with only the wanted rows of ``root`` and the child rows that refer to them or to nothing; ``sinks.export_tables`` writes them.
 
     children: table -> its foreign key to root. It is an error if nothing of root is left.
     """

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, keys, vectors
+from ..functions.scratch import scratch_dir
 from ..operators import extract as x
 from ..operators import joins as j
 from ..operators import merge, search
+from ..sources import sinks
 from .relational import DOMAIN_SQL, HOST_SQL
 from .tables import Tables, placed_sql, query
 
@@ -110,6 +112,13 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", x.classify("p_name", "p_type", F.array("p_brand"), PRODUCT_RULES).alias("keep"))
 
 
+@query("f16_classify_defaults", r"WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size % 8 AS k FROM part), n AS (SELECT *, CASE k WHEN 0 THEN 'AeroPress Go ' WHEN 1 THEN 'Chemex Six Cup ' WHEN 2 THEN 'French Press ' WHEN 3 THEN 'Kenya ' WHEN 4 THEN 'Matcha ' WHEN 5 THEN 'Chocolate Cold Brew ' WHEN 6 THEN 'Kaffekvern ' ELSE 'Sweater Weather ' END || a || ' ' || b AS title FROM w) SELECT p_partkey, title, k IN (3, 5, 7) AS keep FROM n")
+def _(t: Tables) -> DataFrame:
+    starts = ["AeroPress Go ", "Chemex Six Cup ", "French Press ", "Kenya ", "Matcha ", "Chocolate Cold Brew ", "Kaffekvern ", "Sweater Weather "]
+    titled = t.part.select("p_partkey", F.concat(F.get(F.array(*(F.lit(s) for s in starts)), F.col("p_size") % 8), "p_name").alias("title"))
+    return titled.select("p_partkey", "title", x.classify("title", F.lit(None).cast("string"), F.array().cast("array<string>")).alias("keep"))
+
+
 @query("f17_first_tag", "SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'warm' WHEN 'hot' THEN 'warm' WHEN 'blue' THEN 'cool' WHEN 'cold' THEN 'cool' END AS tone FROM part")
 def _(t: Tables) -> DataFrame:
     tags = F.array(F.concat(F.upper(F.split("p_name", " ")[0]), F.lit(" tone")), F.split("p_name", " ")[1])
@@ -154,9 +163,10 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(x.html_text("html")).alias("h"))
 
 
-@query("f23_units", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 10 THEN CAST(round_even(l_quantity * 28.3495, 0) AS INT) END AS g, CASE WHEN l_linenumber > 1 THEN round(l_extendedprice, 2) END AS price, CASE WHEN l_returnflag <> 'N' THEN 'USD' END AS currency FROM lineitem")
+@query("f23_units", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 10 THEN CAST(round_even(l_quantity * 28.3495, 0) AS INT) WHEN l_quantity > 5 THEN CAST(round_even(l_quantity * 453.592, 0) AS INT) END AS g, CASE WHEN l_linenumber > 1 THEN round(l_extendedprice, 2) END AS price, CASE WHEN l_returnflag <> 'N' THEN 'USD' END AS currency FROM lineitem")
 def _(t: Tables) -> DataFrame:
-    weight = F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_quantity") > 10, " Ounces").otherwise(" N/A"))
+    whole = F.col("l_quantity").cast("int").cast("string")
+    weight = F.when(F.col("l_quantity") > 10, F.concat(whole, F.lit(" Ounces"))).when(F.col("l_quantity") > 5, F.concat(F.lit("about "), whole, F.lit(".LB net"))).otherwise(F.concat(whole, F.lit(" N/A")))
     cents = F.when(F.col("l_linenumber") > 1, F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")).otherwise("0")
     code = F.when(F.col("l_returnflag") != "N", " usd ").otherwise("US$")
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", x.grams(weight).alias("g"), x.minor_price(cents, F.lit(2)).alias("price"), x.iso_currency(code).alias("currency"))
@@ -182,7 +192,8 @@ def _(t: Tables) -> DataFrame:
     listed = F.concat(F.lit('[{"@type":"Thing","name":"no"},{"@type":["Product"],"name":"'), name, F.lit('","offers":[{"price":'), number, F.lit("}]}]"))
     graph = F.concat(F.lit('{"@graph":[{"@type":"Product","name":"'), name, F.lit('"}]}'))
     block = F.when(F.col("page_id") % 5 == 0, "{broken").when(F.col("page_id") % 3 == 0, single).when(F.col("page_id") % 3 == 1, listed).otherwise(graph)
-    pages = t.pages.withColumn("html", F.concat(F.lit('<script id="x" type="application/ld+json">'), block, F.lit("</script>"), "html"))
+    tag = F.when(F.col("page_id") % 2 == 0, '<script id="x" type="application/ld+json">').otherwise("<SCRIPT data-x='a > b' TYPE=application/ld+json async>")
+    pages = t.pages.withColumn("html", F.concat(tag, block, F.lit("</script >"), "html"))
     return x.extract_jsonld(pages).select("page_id", "name", "price", "currency")
 
 
@@ -191,10 +202,15 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", keys.embed_text("p_name", F.when(F.col("p_size") > 10, F.col("p_type"))).alias("text"))
 
 
-@query("f28_reason", "WITH c AS (SELECT o_custkey, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'priority' ELSE o_orderpriority END AS p, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p) <= 3) SELECT o_custkey, 'Shares ' || string_agg(n || ' ' || CASE WHEN n = 1 THEN p WHEN p LIKE '%y' THEN substr(p, 1, length(p) - 1) || 'ies' ELSE p || 's' END, ', ' ORDER BY n DESC, p) AS reason FROM k GROUP BY o_custkey")
+PRIORITIES = ("4-NOT SPECIFIED", "priority", "5-LOW", "3-MEDIUM")
+
+
+@query("f28_reason", f"WITH c AS (SELECT o_custkey, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'priority' ELSE o_orderpriority END AS p, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT *, list_position({list(PRIORITIES)}, p) AS pos FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, pos) <= 3) SELECT o_custkey, 'Shares ' || string_agg(n || ' ' || CASE WHEN n = 1 THEN p WHEN p LIKE '%y' THEN substr(p, 1, length(p) - 1) || 'ies' ELSE p || 's' END, ', ' ORDER BY n DESC, pos) AS reason FROM k GROUP BY o_custkey")
 def _(t: Tables) -> DataFrame:
-    counts = t.orders.groupBy("o_custkey", F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "priority").otherwise(F.col("o_orderpriority")).alias("label")).agg(F.count("*").alias("shared")).groupBy("o_custkey").agg(F.collect_list(F.struct("label", "shared")).alias("counts"))
-    return counts.select("o_custkey", search.reason(F.col("counts")).alias("reason"))
+    # of equal counts the configured order stands
+    label = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "priority").otherwise(F.col("o_orderpriority"))
+    counts = t.orders.groupBy("o_custkey", label.alias("label")).agg(F.count("*").alias("shared")).withColumn("at", F.array_position(F.array(*(F.lit(p) for p in PRIORITIES)), F.col("label")))
+    return counts.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("at", "label", "shared"))).alias("counts")).select("o_custkey", search.reason(F.col("counts")).alias("reason"))
 
 
 @query("f29_round6", "SELECT event_id, round(value / 7, 6) AS r FROM events")
@@ -246,6 +262,15 @@ def _(t: Tables) -> DataFrame:
     return f.select("n_nationkey", read("$.geometry.coordinates[0]").cast("double").alias("lon"), read("$.geometry.coordinates[1]").cast("double").alias("lat"), read("$.geometry.type").alias("kind"), read("$.properties.name").alias("name"))
 
 
+@query("s11_feature_collection", f"SELECT c_name AS name, round(lon, 3) AS lon, round(lat, 3) AS lat FROM {placed_sql('customer', 'c_custkey')}")
+def _(t: Tables) -> DataFrame:
+    at = scratch_dir(t.spark, "collection")
+    sinks.write_feature_collection(t.placed(t.customer, "c_custkey").select(geo.point_feature("lon", "lat", name="c_name").alias("feature")), at)
+    lines = t.spark.read.text(f"{at}/part-*").select(F.regexp_replace("value", "^,", "").alias("feature"))
+    read = lambda path: F.get_json_object("feature", path)
+    return lines.select(read("$.properties.name").alias("name"), F.round(read("$.geometry.coordinates[0]").cast("double"), 3).alias("lon"), F.round(read("$.geometry.coordinates[1]").cast("double"), 3).alias("lat"))
+
+
 @query("s12_export_pruned", "SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey % 11 = 0 OR l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 250000) UNION ALL SELECT 'nation', count(*) FROM nation")
 def _(t: Tables) -> DataFrame:
     items = t.lineitem.withColumn("l_orderkey", F.when(F.col("l_orderkey") % 11 != 0, F.col("l_orderkey")))
@@ -253,6 +278,20 @@ def _(t: Tables) -> DataFrame:
     return j.union_as({n: df.agg(F.count("*").alias("n")) for n, df in out.items()}, "name")
 
 
+@query("s12_export", "SELECT 'orders' AS name, count(*) AS n, sum(o_custkey) AS keys FROM orders WHERE o_totalprice > 250000 UNION ALL SELECT 'lineitem', count(*), sum(l_partkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 250000) UNION ALL SELECT 'nation', count(*), sum(n_regionkey) FROM nation UNION ALL SELECT 'drifted', 0, NULL")
+def _(t: Tables) -> DataFrame:
+    """The pruned tables as one verified export over an older one, read back: columns by name, one table that only the schema has."""
+    at = f"{scratch_dir(t.spark, 'export')}/tables"
+    columns = {
+        "orders": {"key": "long", "o_orderkey": "long"}, "lineitem": {"l_orderkey": "long", "key": "long", "absent": "string"}, "nation": {"n_name": "string", "key": "long"}, "drifted": {"key": "long"},
+    }
+    tables = {"orders": t.orders.withColumnRenamed("o_custkey", "key"), "lineitem": t.lineitem.withColumnRenamed("l_partkey", "key"), "nation": t.nation.withColumnRenamed("n_regionkey", "key")}
+    pruned = merge.export_pruned(tables, "orders", F.col("o_totalprice") > 250000, {"lineitem": "l_orderkey"}, "o_orderkey")
+    sinks.export_tables({"nation": tables["nation"]}, at, columns)
+    sinks.export_tables(pruned, at, columns, {"nation": tables["nation"].count()})
+    return j.union_as({n: t.spark.read.parquet(f"{at}/{n}").agg(F.count("*").alias("n"), F.sum("key").alias("keys")) for n in columns}, "name")
+
+
 @query("s14_activity", "SELECT user_id, count(*) AS n, count(DISTINCT c_custkey) AS known FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY user_id")
 def _(t: Tables) -> DataFrame:
     from ..sources.readers import read_activity

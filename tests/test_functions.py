@@ -3,6 +3,7 @@
 import math
 import uuid
 
+import numpy as np
 import pytest
 from graphloom.functions import geo, keys, predicates, vectors
 from graphloom.operators import extract
@@ -76,11 +77,25 @@ def test_arc(spark):
     assert points[1][48] == [190.0, 40.0] and max(p[1] for p in points[1]) > 40
 
 
+@pytest.mark.parametrize("km", [1, 35, 300, 938.2, 2500, 5000, 12000, 20100])
+def test_nearby_equals_all_pairs(spark, km):
+    rng = np.random.default_rng(int(km))
+    lat = np.r_[rng.uniform(-90, 90, 150), rng.uniform(84, 90, 120), -rng.uniform(84, 90, 60), [90, 90, -90, -90, 0, 0, 84.37, 84.37]]
+    lon = np.r_[rng.uniform(-180, 180, 150), rng.uniform(-540, 540, 180), [0, 77, 12, -170, 180, -180, 89.9, 184.9]]
+    if km <= 35:  # close ones on both sides of the antimeridian and beside the poles
+        lat, lon = np.r_[lat, rng.uniform(-0.3, 0.3, 60), 90 - rng.uniform(0, 0.4, 60)], np.r_[lon, 180 + rng.uniform(-0.3, 0.3, 60), rng.uniform(0, 360, 60)]
+    frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon, strict=True))] + [(-1, None, 1.0), (-2, float("nan"), 1.0), (-3, 1.0, None), (-4, 91.0, 0.0)], "id long, lat double, lon double")
+    found = {(r.query_id, r.id) for r in geo.nearby(frame, frame.withColumnRenamed("id", "query_id"), km).collect()}
+    a, b = np.radians(lat), np.radians(lon)
+    cosine = np.sin(a)[:, None] * np.sin(a) + np.cos(a)[:, None] * np.cos(a) * np.cos(b[:, None] - b)
+    away = geo.EARTH_KM * np.arccos(np.clip(cosine, -1, 1))
+    sure, maybe = away <= km - 1e-3, away <= km + 1e-3
+    assert set(zip(*np.nonzero(sure), strict=True)) <= found <= set(zip(*np.nonzero(maybe), strict=True)) and len(found) > 1
+
+
 def test_geojson(spark):
     line = values(spark, [(-55.0, -10.0, 10.0, 51.0)], "a double, b double, c double, d double", geo.line_feature("a", "b", "c", "d", id=F.lit("rt1")))[0]
     assert line == '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[-55.0,-10.0],[10.0,51.0]]},"properties":{"id":"rt1"}}'
-    both = geo.feature_collection(spark.createDataFrame([("{}",), ("{}",)], "feature string")).first()[0]
-    assert both == '{"type":"FeatureCollection","features":[{},{}]}'
 
 
 def test_cosine_and_centroid(spark):
@@ -99,6 +114,28 @@ def test_classifier_order(spark):
     assert values(spark, rows, "t string, k string, g array<string>", extract.classify("t", "k", "g")) == want
 
 
+def test_classifier_default_words(spark):
+    never = ["AeroPress Go", "Chemex Six Cup", "French Press", "Moccamaster", "Matcha Latte RTD", "Apron", "Milk Pitcher 500ml", "Cup Lids - Hot", "Shot Glass", "Rinza Tablets", "To-Go Barista Box", "Askinosie Chocolate", "The Cupping Table", "Holiday Gifts"]
+    never += ["Rocket Appartamento TCA Espressomaskin Stål", "Presskanne glass 8 kopps Typica", "Gjenbrukskopp liten (2,3 dl) hvit", "Typica Nøkkelring Hellekanne Sølv", "VST Filter Basket", "Jura E8", "מטחנה ידנית", "コーヒーメーカー"]
+    always = ["Kenya AA Rung'eto, 250g", "Filter Roast — Ethiopia Chelbesa", "Three Africas Filter", "Sweater Weather", "Acaiá Natural", "Horchata Cold Brew with Oatly", "Capsule of Kenya"]
+    rows = [(t, None, []) for t in never + always]
+    assert values(spark, rows, "t string, k string, g array<string>", extract.classify("t", "k", "g")) == [False] * len(never) + [True] * len(always)
+    kinds = [("House", "Carbon Offset", []), ("House", "Brewers", []), ("House", "CDs", []), ("House", "COFFEE & Tea", []), ("House", "Warehouse", [])]
+    assert values(spark, kinds, "t string, k string, g array<string>", extract.classify("t", "k", "g")) == [False, False, False, True, False]
+
+
+def test_weights_and_jsonld_shapes(spark):
+    weights = {"0.75 lbs": 340, "1 kg": 1000, "12. oz": 340, ".5kg": 500, "2 Pounds": 907, "net 250G bag": 250, "1.2.3 oz": None, "3 lbsx": None, "0 g": None, ".": None}
+    assert values(spark, [(w,) for w in weights], "w string", extract.grams("w")) == list(weights.values())
+    product = '{"@type":"Product","name":"%s"}'
+    pages = [
+        (1, f'<script type="application/ld+json">{product % "a"}</script><p><script type=\'application/ld+json\'>{product % "b"}</script>'), (2, f'<SCRIPT TYPE=application/ld+json async>{product % "c"}</SCRIPT >'),
+        (3, f'<script data-x="1 > 0" id=\'>\' type="application/ld+json">{product % "d"}</script>'), (4, f'<script type="text/javascript">{product % "no"}</script><script>var type = "application/ld+json"</script>'), (5, '<script type="application/ld+json">{broken</script>'),
+    ]
+    found = extract.extract_jsonld(spark.createDataFrame(pages, "id long, html string"))
+    assert sorted((r.id, r.name) for r in found.collect()) == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
 def test_tags_and_units(spark):
     assert values(spark, [(["x", " Medium-Dark "],), (["none"],), ([],)], "t array<string>", extract.first_tag("t", extract.ROAST_LEVELS)) == ["medium", None, None]
     assert values(spark, [(["Dark Chocolate", "Medium Roast"],), (["light-roast"],)], "t array<string>", extract.first_tag("t", extract.ROAST_LEVELS, (" roasted", " roast", "-roast"))) == ["medium", "light"]
@@ -109,6 +146,7 @@ def test_tags_and_units(spark):
     assert values(spark, [("javascript:x",), ("https://a",)], "u string", extract.safe_url("u", F.lit("d"))) == ["d", "https://a"]
     assert values(spark, [("Unblended",), ("House Blend",)], "t string", extract.is_blend("t", F.lit(None).cast("string"), F.array().cast("array<string>"))) == [False, True]
     assert values(spark, [("a, b ,, c",)], "t string", extract.as_tags("t")) == [["a", "b", "c"]]
+    assert values(spark, [("plain",), (None,), ("&lt;b",)], "h string", extract.unescape_html("h")) == ["plain", None, "<b"]
     assert values(spark, [("<p>Fish &amp; chips</p>\n\n<b>now</b>",), (None,)], "h string", extract.html_text("h")) == ["Fish & chips now", ""]
 
 
