@@ -112,7 +112,7 @@ def _(t: Tables) -> DataFrame:
     return readers.load_centroids(t.spark, at).select("country", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "iso")
 
 
-def triples(t: Tables) -> DataFrame:
+def triple_lines(t: Tables) -> DataFrame:
     """Triples of parts: type, label, size; types 0 to 4 of brands are classes themselves."""
     s = F.concat(F.lit("<http://x/p"), text("p_partkey"), F.lit("> "))
     kind = F.concat(F.lit("<http://x/"), F.lower("p_type"), F.lit(">"))
@@ -123,16 +123,24 @@ def triples(t: Tables) -> DataFrame:
         line(t.part, "size", F.concat(F.lit('"'), text("p_size"), F.lit('"^^<xsd:int>'))),
         t.part.where("p_size > 20").select(F.concat(kind, F.lit(" <rdf:type> <owl:Class> .")).alias("value")),
         t.part.select(F.concat(F.lit("# part "), text("p_partkey")).alias("value")),
+        # escapes, a graph of its own and a comment behind the statement
+        t.part.select(F.concat(s, F.lit(r'<note> "say \"'), F.col("p_name"), F.lit(r'\" caf\u00E9 \uD83D\uDE00\U0001F600\\n\n" <http://x/notes> . # note ')).alias("value")),
+        t.part.where("p_size > 40").select(F.concat(F.lit("broken "), text("p_partkey")).alias("value")),
     ]
     at = folder(t, "triples")
     reduce(DataFrame.unionByName, lines).write.text(at)
-    return readers.load_triples(t.spark.read.text(at))
+    return t.spark.read.text(at)
+
+
+def triples(t: Tables) -> DataFrame:
+    return readers.load_triples(triple_lines(t))
 
 
 TRIPLES_SQL = (
-    "tr AS (SELECT 'http://x/p' || p_partkey AS subject, 'rdf:type' AS predicate, 'http://x/' || lower(p_type) AS object, 'uri' AS kind, NULL AS datatype, NULL AS lang FROM part"
+    "tr AS (SELECT 'http://x/p' || p_partkey AS subject, 'rdf:type' AS predicate, 'http://x/' || lower(p_type) AS object, 'iri' AS kind, NULL AS datatype, NULL AS lang FROM part"
     " UNION SELECT 'http://x/p' || p_partkey, 'rdfs:label', p_name, 'literal', NULL, 'en' FROM part UNION SELECT 'http://x/p' || p_partkey, 'size', CAST(p_size AS VARCHAR), 'literal', 'xsd:int', NULL FROM part"
-    " UNION SELECT 'http://x/' || lower(p_type), 'rdf:type', 'owl:Class', 'uri', NULL, NULL FROM part WHERE p_size > 20)"
+    " UNION SELECT 'http://x/' || lower(p_type), 'rdf:type', 'owl:Class', 'iri', NULL, NULL FROM part WHERE p_size > 20"
+    " UNION SELECT 'http://x/p' || p_partkey, 'note', 'say \"' || p_name || '\" café ' || chr(128512) || chr(128512) || chr(92) || 'n' || chr(10), 'literal', NULL, NULL FROM part)"
 )
 
 
@@ -141,6 +149,13 @@ def _(t: Tables) -> DataFrame:
     return triples(t).select("subject", "predicate", "object", "kind", "datatype", "lang")
 
 
+@query("s8_graphs_and_rejects", "SELECT 'http://x/notes' AS kind, count(DISTINCT p_partkey) AS n FROM part UNION ALL SELECT 'rejected', count(*) FROM part WHERE p_size > 40")
+def _(t: Tables) -> DataFrame:
+    lines = triple_lines(t)
+    named_graphs = readers.load_triples(lines).where("graph <> 'default'").groupBy(F.col("graph").alias("kind")).agg(F.count("*").alias("n"))
+    return named_graphs.unionByName(readers.rejected_triples(lines).agg(F.lit("rejected").alias("kind"), F.count("*").alias("n")))
+
+
 @query("j18_match_triples", f"WITH {TRIPLES_SQL} SELECT DISTINCT subject, object FROM tr WHERE predicate = 'rdf:type' AND object IN (SELECT subject FROM tr WHERE predicate = 'rdf:type' AND object = 'owl:Class')")
 def _(t: Tables) -> DataFrame:
     return joins.match_triples(triples(t))
@@ -230,21 +245,37 @@ def _(t: Tables) -> DataFrame:
     return jobs.load_catalog(t.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("at"), F.col("p_brand").alias("brand")), NS, "variety").select("name", "at", "brand")
 
 
-@query("t1_stream_scrape_log", f"SELECT {SITE_SQL} AS site, p_name || ' ' || p_partkey AS title FROM part")
+@query("t1_stream_scrape_log", "SELECT DISTINCT p_name || ' ' || p_partkey AS title, p_brand AS roaster, p_retailprice AS price FROM part")
 def _(t: Tables) -> DataFrame:
-    out = folder(t, "streamed")
-    streams.stream_scrape_log(t.spark, log(t), folder(t, "stream-state"), lambda df: df.select("site", "title").write.mode("append").parquet(out)).awaitTermination()
-    return t.spark.read.schema("site string, title string").parquet(out)
-
-
-@query("t2_stream_favourites", "SELECT user_id, event_type AS entity_type, CAST(json_extract(props, '$.k') AS BIGINT) AS entity_id, count(DISTINCT user_id) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL")
+    """Two runs over a growing log, with the product loader as the load; the second run also gets its batch again, as after a crash."""
+    at, state, target = folder(t, "scrape-log"), folder(t, "stream-state"), folder(t, "streamed")
+    schema = "title string, roaster string, price double"
+
+    def load(products: DataFrame) -> DataFrame:
+        records = products.withColumn("at", F.monotonically_increasing_id())
+        out = jobs.load_products(records, t.values([], "id string, name string, created_at long"), extract.ProductRules(title_never=()))
+        roasters = out["roasters"].select(F.col("id").alias("roaster_id"), F.col("name").alias("roaster"))
+        return out["products"].join(roasters, "roaster_id").select(F.col("name").alias("title"), "roaster", "price")
+
+    brand = F.concat(F.lit("https://"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(".example.com"))
+    products = t.part.select(brand.alias("site"), F.col("p_brand").alias("roaster"), F.concat_ws(" ", "p_name", text("p_partkey")).alias("title"), F.col("p_retailprice").alias("price"), "p_partkey")
+    for half in (0, 1):
+        sinks.write_scrape_log(products.where(F.col("p_partkey") % 2 == half).drop("p_partkey"), at, products.select("site").distinct().withColumn("status", F.lit("ok")))
+        streams.stream_scrape_log(t.spark, at, state, target, load).awaitTermination()
+    ledger = sinks.Ledger(t.spark, target)
+    ledger.add(ledger.finished()[-1], t.values([("again", "again", 0.0)], schema))
+    return ledger.read(schema, ["title"]).drop("batch")
+
+
+@query("t2_stream_favourites", "WITH l AS (SELECT event_id, ts, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS entity_id FROM events), r AS (SELECT user_id, entity_id, max((ts, event_id)) AS gone FROM l WHERE event_type = 'error' GROUP BY ALL) SELECT l.user_id, l.entity_id, arg_min(event_id, (ts, event_id)) AS event_id FROM l LEFT JOIN r USING (user_id, entity_id) WHERE event_type IN ('view', 'click') AND (gone IS NULL OR (ts, event_id) > gone) GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    # the horizon spans the whole table, so that the stream's result equals the exact one
-    at, out = folder(t, "events"), folder(t, "favourites")
-    action = F.when(F.col("event_type").isin("view", "click"), "add").otherwise("other")
-    t.events.select("event_id", "ts", "user_id", F.col("event_type").alias("entity_type"), F.get_json_object("props", "$.k").cast("long").alias("entity_id"), action.alias("action")).write.parquet(at)
-    source = t.spark.readStream.schema("event_id long, ts timestamp, user_id long, entity_type string, entity_id long, action string").parquet(at)
-    writer = streams.stream_favourites(source, "4000 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(t, "favourites-state"))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    rows = t.spark.read.schema("user_id long, entity_type string, entity_id long").parquet(out)
-    return rows.groupBy("user_id", "entity_type", "entity_id").agg(F.count("*").alias("n"))
+    # later events come first, and each part after a restart of the stream
+    at, out, state = folder(t, "events"), folder(t, "changes"), folder(t, "favourites-state")
+    action = F.when(F.col("event_type").isin("view", "click"), "add").when(F.col("event_type") == "error", "remove").otherwise("other")
+    log_rows = t.events.select("event_id", "ts", "user_id", F.lit("page").alias("entity_type"), F.get_json_object("props", "$.k").cast("long").alias("entity_id"), action.alias("action"))
+    for part in (2, 0, 1):
+        log_rows.where(F.col("event_id") % 3 == part).write.mode("append").parquet(at)
+        source = t.spark.readStream.schema(log_rows.schema).parquet(at)
+        writer = streams.stream_favourites(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return streams.favourites_of(t.spark.read.parquet(out)).select("user_id", "entity_id", "event_id")

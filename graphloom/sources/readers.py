@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import lookup
 from ..functions.predicates import in_bbox
 
 
@@ -110,24 +111,55 @@ def load_centroids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("country string, lat double, lon double, iso string").json(path)
 
 
-N_TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*$'
+# The terms of an N-Triples or N-Quads line. A code unit is written \\uXXXX (surrogates in pairs) or \\UXXXXXXXX.
+HEX = "[0-9A-Fa-f]"
+UCHAR = rf"\\u(?:[0-9A-CE-Fa-ce-f]{HEX}{{3}}|[Dd][0-7]{HEX}{{2}}|[Dd][89ABab]{HEX}{{2}}\\u[Dd][C-Fc-f]{HEX}{{2}})|\\U(?:0010{HEX}{{4}}|000[1-9A-Fa-f]{HEX}{{4}}|0000(?:[0-9A-CE-Fa-ce-f]{HEX}{{3}}|[Dd][0-7]{HEX}{{2}}))"
+IRI_SIGN, TEXT_SIGN = r"""[^\x00-\x20<>"{}|^`\\]""", r"""[^"\\\r\n]"""
+# repeats are possessive, so that long terms need no stack
+IRI = rf"<{IRI_SIGN}*+(?:(?:{UCHAR}){IRI_SIGN}*+)*+>"
+BNODE = r"""_:[^\s<>".]+(?:\.+[^\s<>".]+)*"""
+LITERAL = rf"""\"{TEXT_SIGN}*+(?:(?:\\[tbnrf"'\\]|{UCHAR}){TEXT_SIGN}*+)*+\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{IRI})?"""
+STATEMENT = rf"^\s*({IRI}|{BNODE})\s*({IRI})\s*({IRI}|{BNODE}|{LITERAL})\s*({IRI}|{BNODE})?\s*\.\s*(?:#.*)?$"
+NO_STATEMENT = r"^\s*(?:#.*)?$"
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def unescaped(c: Column) -> Column:
+    """Text with its escapes resolved. Runs of code units are decoded together, so surrogate pairs give their character."""
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?:\\u{HEX}{{4}})+|\\U{HEX}{{8}}|(?s:\\.)|[^\\]+"), F.lit(0))
+
+    def plain(p: Column) -> Column:
+        units = F.decode(F.unhex(F.replace(p, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        point = F.decode(F.unhex(F.substring(p, 3, 8)), "UTF-32")
+        return F.when(p.startswith("\\u"), units).when(p.startswith("\\U"), point).when(p.startswith("\\"), lookup(F.substring(p, 2, 1), ESCAPES)).otherwise(p)
+
+    return F.when(c.contains("\\"), F.array_join(F.transform(pieces, plain), "")).otherwise(c)
 
 
 def load_triples(lines: DataFrame, graph: str = "default", value: str = "value") -> DataFrame:
-    """subject, predicate, object, kind (uri, bnode, literal), datatype, lang and graph of N-Triples lines; others are left out."""
-    raw = lines.where(F.col(value).rlike(N_TRIPLE)).select(*(F.regexp_extract(value, N_TRIPLE, k).alias(n) for k, n in ((1, "s"), (2, "predicate"), (3, "o"))))
-    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
-    literal = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
-    kind = F.when(F.col("o").startswith('"'), "literal").when(F.col("o").startswith("_:"), "bnode").otherwise("uri")
-    filled = lambda c: F.when(c != "", c)
+    """subject, predicate, object, kind (iri, bnode, literal), datatype, lang and graph of N-Triples and N-Quads lines, escapes resolved.
+
+    A line's own graph comes before the given one. Blank nodes keep their '_:'. Blank lines and comments say nothing; of all other
+    lines ``rejected_triples`` tells those that are no statement.
+    """
+    raw = lines.where(F.col(value).rlike(STATEMENT)).select(*(F.regexp_extract(value, STATEMENT, k).alias(n) for k, n in ((1, "s"), (2, "p"), (3, "o"), (4, "g"))))
+    node = lambda c: F.when(F.col(c).startswith("<"), unescaped(F.expr(f"substring({c}, 2, length({c}) - 2)"))).otherwise(F.col(c))
+    kind = F.when(F.col("o").startswith('"'), "literal").when(F.col("o").startswith("_:"), "bnode").otherwise("iri")
+    # what stands behind a literal has no quotes
+    suffix = F.substring_index("o", '"', -1)
+    literal = unescaped(F.expr("""substring(o, 2, length(o) - length(substring_index(o, '"', -1)) - 2)"""))
     return raw.select(
-        bare("s").alias("subject"), "predicate", F.when(kind == "literal", literal).otherwise(bare("o")).alias("object"), kind.alias("kind"),
-        filled(F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1)).alias("datatype"), filled(F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1)).alias("lang"), F.lit(graph).alias("graph"),
+        node("s").alias("subject"), node("p").alias("predicate"), F.when(kind == "literal", literal).otherwise(node("o")).alias("object"), kind.alias("kind"),
+        F.when((kind == "literal") & suffix.startswith("^^"), unescaped(F.regexp_extract(suffix, r"^\^\^<(.*)>$", 1))).alias("datatype"), F.when((kind == "literal") & suffix.startswith("@"), F.substr(suffix, F.lit(2))).alias("lang"),
+        F.when(F.col("g") != "", node("g")).otherwise(F.lit(graph)).alias("graph"),
     ).distinct()
 
 
+def rejected_triples(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines that are neither a statement nor blank nor a comment."""
+    return lines.where(~F.col(value).rlike(STATEMENT) & ~F.col(value).rlike(NO_STATEMENT)).select(value)
+
+
 def read_activity(spark: SparkSession, path: str | None = None, **jdbc: str) -> DataFrame:
     """User activity from Parquet, or over JDBC by the reader's own options."""
     return spark.read.parquet(path) if path is not None else spark.read.format("jdbc").options(**jdbc).load()
-
-

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from graphloom.functions import geo
 from graphloom.functions.predicates import capped_union
 from graphloom.operators import aggregates as a
 from graphloom.operators import jobs, merge
@@ -66,6 +67,12 @@ def test_work_list(spark):
     log = spark.createDataFrame([("1", "ok"), ("2", "fetch_error"), ("3", "http_error"), ("3", "junk"), ("4", "skip")], "shop_id string, status string")
     items = spark.createDataFrame([(str(i),) for i in range(1, 7)], "shop_id string")
     assert [r.shop_id for r in merge.work_list(items, log, "shop_id", ["ok", "empty", "junk", "skip"], 2).collect()] == ["2", "5"]
+    # blocked chains go before the limit: by name, by host, and not if they are allowed
+    shops = spark.createDataFrame([("2", "Big Chain Oslo", None), ("3", "Own", "https://own.example"), ("5", "Fine Chain", "https://www.bigchain.example/oslo"), ("6", "Big Chain Reserve", None), ("7", None, "https://seven.example")], "shop_id string, name string, website string")
+    left = merge.work_list(shops, log, "shop_id", ["ok", "empty", "junk", "skip"], 2, ["Big Chain Reserve"], ["Big chain"], ["bigchain.example"])
+    assert [r.shop_id for r in left.collect()] == ["6", "7"]
+    times = spark.createDataFrame([("a", 1), ("b", 3), ("c", None), ("d", 3)], "id string, created_at long")
+    assert [r.id for r in merge.newest_first(times, "id").collect()] == ["b", "d", "a", "c"]
 
 
 def test_activity(spark):
@@ -169,8 +176,22 @@ def test_readers(spark, tmp_path):
         readers.read_pairs(spark, f"{tmp_path}/bad.txt").collect()
     (tmp_path / "c.json").write_text('{"country":"Kenya","lat":0.5,"lon":38.0,"iso":"KE"}\n')
     assert readers.load_centroids(spark, f"{tmp_path}/c.json").first().iso == "KE"
-    lines = spark.createDataFrame([('<a> <p> "x \\"y\\""@en .',), ('<a> <p> "1"^^<int> .',), ("_:b <p> <c> .",), ("broken",), ("_:b <p> <c> .",)], "value string")
-    assert rows(readers.load_triples(lines), "subject", "object", "kind", "datatype", "lang") == [("_:b", "c", "uri", None, None), ("a", "1", "literal", "int", None), ("a", 'x \\"y\\"', "literal", None, "en")]
+
+
+def test_triples(spark):
+    lines = [
+        r'<http://a> <p> "say \"hi\" caf\u00E9 \uD83D\uDE00 \U0001F600\n\\u" .', r'<a><p>"1"^^<int>.', "_:b.1 <p> <c> . # note", "_:b.1 <p> <c> .", r'<s\u0041> <p> _:x <graph> .', '<a> <p> "bon\tjour"@fr-CA <g> .', "  ", "# comment",
+        "broken", '<a> <p> "open .', r'<a> <p> "\uD83D alone" .', r'<a> <p> "\q" .', '"s" <p> <o> .', "<a b> <p> <o> .",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = {tuple(r) for r in readers.load_triples(df, "own").collect()}
+    assert got == {
+        ("http://a", "p", 'say "hi" café \U0001f600 \U0001f600\n\\u', "literal", None, None, "own"), ("a", "p", "1", "literal", "int", None, "own"), ("_:b.1", "p", "c", "iri", None, None, "own"),
+        ("sA", "p", "_:x", "bnode", None, None, "graph"), ("a", "p", "bon\tjour", "literal", None, "fr-CA", "g"),
+    }
+    assert rows(readers.rejected_triples(df), "value") == sorted((x,) for x in lines[8:])
+    long = spark.createDataFrame([('<a> <p> "' + "x" * 200_000 + r"\n" * 50_000 + '" .',)], "value string")
+    assert len(readers.load_triples(long).first().object) == 250_000
 
 
 def test_places(spark):
@@ -189,31 +210,94 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/g").first()[0] == '{"a":1}'
 
 
+def test_export(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/export"
+    shops, edges = spark.createDataFrame([("s1", 1), ("s2", 2)], "id string, n int"), spark.createDataFrame([("s1", "v")], "shop_id string, v string")
+    columns = {"shops": {"n": "long", "id": "string", "new": "double"}, "later": {"x": "int"}}
+    assert sinks.export_tables({"shops": shops, "edges": edges}, path, columns) == {"shops": 2, "edges": 1, "later": 0}
+    assert spark.read.parquet(f"{path}/shops").columns == ["n", "id", "new"] and spark.read.parquet(f"{path}/later").count() == 0
+    with pytest.raises(RuntimeError, match="row counts differ for edges"):
+        sinks.export_tables({"shops": shops.limit(1), "edges": edges}, path, columns, {"edges": 5})
+    with pytest.raises(Exception, match="zero|ZERO"):
+        sinks.export_tables({"shops": shops.selectExpr("id", "1 / (n - 1) as n")}, path)
+    assert spark.read.parquet(f"{path}/shops").count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["export"]
+    assert sinks.export_tables({"shops": shops.limit(1)}, path) == {"shops": 1} and not (tmp_path / "export" / "edges").exists()
+
+
+def test_feature_collection(spark, tmp_path):
+    path = f"{tmp_path}/collection"
+    features = spark.range(5000).select(geo.point_feature(F.lit(1.0), F.lit(2.0), id="id").alias("feature")).repartition(7)
+    for df, n in ((features, 5000), (features.limit(0), 0), (features.limit(1).unionByName(features.limit(1)), 2), (features.unionByName(spark.createDataFrame([(None,)], "feature string")), 5000)):
+        names = sinks.write_feature_collection(df, path)
+        with open(f"{path}/manifest.json") as f:
+            listed = json.load(f)["files"]
+        assert [x["name"] for x in listed] == names
+        whole = b"".join(open(f"{path}/{x}", "rb").read() for x in names)
+        assert sum(x["bytes"] for x in listed) == len(whole)
+        document = json.loads(whole)
+        assert document["type"] == "FeatureCollection" and len(document["features"]) == n
+        texts = [json.dumps(x, separators=(",", ":")) for x in document["features"]]
+        assert texts == sorted(texts)
+
+
+def test_ledger(spark, tmp_path):
+    ledger = sinks.Ledger(spark, f"file://{tmp_path}/table")
+    frame = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    assert ledger.read("k string, v int").count() == 0
+    assert ledger.add(0, frame(("a", 1), ("b", 1)))
+    # a crash after the rows of a batch and before its entry: these are no rows yet, and the batch may come again
+    sinks.write_table(frame(("a", 9), ("x", 9)), f"{ledger.path}/rows/batch=1")
+    assert rows(ledger.read("k string, v int"), "k", "v") == [("a", 1), ("b", 1)]
+    assert ledger.add(1, frame(("a", 2)))
+    # a crash after the entry: the batch comes again and changes nothing
+    assert not ledger.add(1, frame(("a", 3), ("z", 3)))
+    assert rows(ledger.read("k string, v int", ["k"]), "k", "v", "batch") == [("a", 2, 1), ("b", 1, 0)]
+    assert ledger.finished() == [0, 1]
+
+
 def product_log(spark, path, titles):
     df = spark.createDataFrame([("https://a.com", t, 1.0) for t in titles], "site string, title string, price double")
     sinks.write_scrape_log(df, path, spark.createDataFrame([("https://a.com", "ok")], "site string, status string"))
 
 
 def test_scrape_log_and_its_stream(spark, tmp_path):
-    path, seen = f"{tmp_path}/log", []
+    path = f"{tmp_path}/log"
     product_log(spark, path, ["x", "y"])
     with open(f"{path}/part-cut.json", "w") as f:
         f.write('{"site":"https://a.com","product":{"title":"cut')
     assert rows(readers.read_scrape_log(spark, path), "site", "title") == [("https://a.com", "x"), ("https://a.com", "y")]
-    for titles in ([], ["z"]):
+    load = lambda df: df.select("site", "title", "price")
+    ledger = sinks.Ledger(spark, f"{tmp_path}/table")
+    for titles in ([], ["z", "x"]):
         if titles:
             product_log(spark, path, titles)
-        streams.stream_scrape_log(spark, path, f"{tmp_path}/check", lambda df: seen.extend(r.title for r in df.collect())).awaitTermination()
-    assert sorted(seen) == ["x", "y", "z"]
+        streams.stream_scrape_log(spark, path, f"{tmp_path}/check", f"{tmp_path}/table", load).awaitTermination()
+    assert rows(ledger.read("site string, title string, price double", ["site", "title"]), "title", "batch") == [("x", 1), ("y", 0), ("z", 1)]
+    # the stream's own record of the last batch is lost, so it comes again
+    for name in ("1", ".1.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    streams.stream_scrape_log(spark, path, f"{tmp_path}/check", f"{tmp_path}/table", lambda df: load(df).where("false")).awaitTermination()
+    assert ledger.read("site string, title string, price double").count() == 4
 
 
 def test_favourites_stream(spark, tmp_path):
-    log = spark.createDataFrame([(1, "2024-01-01 00:00:00", "u", "add"), (2, "2024-01-01 01:00:00", "u", "add"), (3, "2024-01-01 02:00:00", "w", "add"), (4, "2024-01-01 02:00:00", "w", "remove")], "event_id long, ts string, user_id string, action string")
-    log = log.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "action", F.lit("variety").alias("entity_type"), F.lit("v1").alias("entity_id"))
-    log.write.parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
-    streams.stream_favourites(source).writeStream.format("memory").queryName("favourites").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(r.user_id for r in spark.table("favourites").collect()) == ["u", "w"]
+    """Removes, late rows and two restarts against the batch job."""
+    import random
+
+    rng = random.Random(4)
+    log = [(i, rng.randrange(50), f"u{rng.randrange(4)}", rng.choice(["add", "add", "remove"]), "variety", f"v{rng.randrange(3)}", None, None, None) for i in range(120)]
+    df = spark.createDataFrame(log, "event_id long, ts long, user_id string, action string, entity_type string, entity_id string, note_id string, score double, notes string").withColumn("ts", F.timestamp_seconds("ts"))
+    vertices = spark.createDataFrame([("variety", f"v{i}") for i in range(3)], "entity_type string, id string")
+    rng.shuffle(log)
+    for part in (log[:50], log[50:90], log[90:]):
+        df.join(spark.createDataFrame([(r[0],) for r in part], "event_id long"), "event_id", "left_semi").repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        writer = streams.stream_favourites(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        seen = spark.read.schema(df.schema).parquet(f"{tmp_path}/in")
+        columns = ["user_id", "entity_type", "entity_id", "created_at", "event_id"]
+        assert rows(streams.favourites_of(spark.read.parquet(f"{tmp_path}/out")), *columns) == rows(merge.activity_state(seen, vertices)[0], *columns)
+    assert spark.read.parquet(f"{tmp_path}/out").where("not live").count() > 0
 
 
 def test_catalog_ids_do_not_change(spark):
