@@ -1,17 +1,19 @@
 """K-d tree sharding: recursive splits at distributed weighted medians.
 
 The dimensions are metadata: the document's columns that are named (language and source, if it has them), the length of the text and
-its share of letters beyond ASCII, all scaled to ``BITS``-bit integers. In each round every node that is still too large is split
-along the dimension in which it is widest, so that its two sides weigh as the shards they will hold. The median is found by radix
+its share of letters beyond ASCII. All are ranked by weight: a value's coordinate is the share of all bytes that lie at lesser values,
+with half of its own, in ``BITS`` bits. Numbers lie in the order of their size; named values, which have none, in the order of their
+weight. So a dimension is as wide in a node as the share of the corpus between its least and greatest value there, whatever it measures.
+In each round every node that is still too large is split along the dimension in which it is widest, so that its two sides weigh as the shards they will hold. The median is found by radix
 descent: a histogram of the next bits of the coordinate for all nodes at once, summed by Spark, picks the bin that holds the
 median. Rows that tie at the median go by a hash of the text, found in the same way, and only if the rows of that
-hash outweigh ``SLACK`` of the goal by a hash of the id. Only such histograms come to the driver: nodes x 2**STEP rows at most, whatever
-the input.
+hash outweigh ``SLACK`` of the goal by a hash of the id. Only such histograms come to the driver, and the weights of ``NAMED`` values of a column: nodes x 2**STEP rows at
+most, whatever the input. Values beyond the ``NAMED`` heaviest of a column share the rest of its range by a hash.
 
-Rows of equal text have equal coordinates (of named columns the least value among them counts), so a group of copies stays in
+Rows of equal text have equal coordinates (of named columns the least place among them counts), so a group of copies stays in
 one shard unless it is too heavy; then it is split, which keeps sizes near equal even if one group outweighs a shard.
 
-Nulls, ties and odd rows: a null text has size 16 and no checksum; null metadata counts as the least value; a null id is
+Nulls, ties and odd rows: a null text has size 16 and no checksum; null metadata is a value of its own; a null id is
 hashed like any other. Repeated rows tie in all bits and fall on one side together. A text of any length is one row. An empty
 table gives no rows. Further columns are ignored.
 """
@@ -29,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import byte_texts, ship_by_value, stored
 
 BITS, STEP = 24, 12
+TOP = (1 << BITS) - 1
+#: Values of a named column that have a place of their own.
+NAMED = 1024
 #: Share of a side's goal up to which rows of equal text are not split.
 SLACK = 0.005
 #: Rows that are numbered together in one task.
@@ -147,22 +152,54 @@ def numbered(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_row", row).join(before, [group, "_block"]).withColumn("slot", (F.col("_row") + F.col("_before")).cast("long")).drop("_block", "_row", "_before")
 
 
+def _ranked_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Raw coordinates of BITS bits as ranks by weight: exact at the borders of 2**STEP bins of raw values, in proportion within a bin."""
+    for c in columns:
+        low = F.shiftright(F.col(c), BITS - STEP)
+        weights = {r.bin: int(r.w) for r in df.groupBy(low.alias("bin")).agg(F.sum("size").alias("w")).collect()}
+        total, edges = max(1, sum(weights.values())), [0]
+        for b in range(1 << STEP):
+            edges.append(edges[-1] + weights.get(b, 0))
+        edges = [int(e * TOP / total) for e in edges]
+        table = F.lit(edges)
+        within = F.col(c).bitwiseAND(F.lit((1 << (BITS - STEP)) - 1)) / float(1 << (BITS - STEP))
+        at, after = F.get(table, low), F.get(table, low + 1)
+        df = df.withColumn(c, F.floor(at + (after - at) * within).cast("int"))
+    return df
+
+
+def _ranked_names(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Named values as ranks by weight, the heaviest first; null is a value."""
+    for c in columns:
+        heaviest = df.groupBy(c).agg(F.sum("size").alias("w")).orderBy(F.desc("w"), c).limit(NAMED).collect()
+        total = max(1, int(df.agg(F.sum("size")).first()[0] or 0))
+        before, rows = 0, []
+        for r in heaviest:
+            rows.append((r[c], int((before + r["w"] / 2) * TOP / total)))
+            before += int(r["w"])
+        named = F.create_map(*(F.lit(x) for name, at in rows if name is not None for x in (name, at))) if any(n is not None for n, _ in rows) else F.lit(None).cast("map<string,int>")
+        nothing = next((at for name, at in rows if name is None), TOP)
+        left = int(before * TOP / total)
+        rest = F.lit(left) + F.floor(F.shiftrightunsigned(F.xxhash64(c), 64 - BITS) / float(1 << BITS) * (TOP - left))
+        df = df.withColumn(c, F.when(F.col(c).isNull(), F.lit(nothing)).otherwise(F.coalesce(F.try_element_at(named, F.col(c)), rest)).cast("int"))
+    return df
+
+
 def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, metadata: Sequence[str] = ("lang", "source")) -> DataFrame:
     """Shards 0 to ``shards`` - 1 of near equal size: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is bytes).
 
-    Of ``metadata`` the columns that there are serve as dimensions, their values spread out by a hash.
+    Of ``metadata`` the columns that there are serve as dimensions, beside length and script.
     """
     named = [c for c in metadata if c in docs.columns]
     lengths = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    top = (1 << BITS) - 1
     bits = lambda c: F.shiftrightunsigned(c, 64 - BITS).cast("int")
     words = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
         (lengths + overhead).alias("size"),
-        F.least(F.log2(lengths + 1) / 20 * top, F.lit(top)).cast("int").alias("d_length"),
-        F.when(lengths > 0, (lengths - F.length(text_col)) / lengths * top).otherwise(0).cast("int").alias("d_script"),
-        *(F.when(F.col(f"`{c}`").isNotNull(), bits(F.xxhash64(F.col(f"`{c}`").cast("string")))).otherwise(0).alias(f"d_named{k}") for k, c in enumerate(named)),
+        F.least(F.log2(lengths + 1) / 40 * TOP, F.lit(TOP)).cast("int").alias("d_length"),
+        F.when(lengths > 0, (lengths - F.length(text_col)) / lengths * TOP).otherwise(0).cast("int").alias("d_script"),
+        *(F.col(f"`{c}`").cast("string").alias(f"d_named{k}") for k, c in enumerate(named)),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
         bits(F.xxhash64(F.col(id_col), F.lit("tie"))).alias("tie_id"),
     )
@@ -170,10 +207,11 @@ def kd_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: st
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema if f.name in kept) + ", text_crc32 long"
     slim = stored(words.mapInArrow(_checksums, schema), "sizes")
     of_text = [f"d_named{k}" for k in range(len(named))]
-    if named:  # copies take the least value among them; most texts have none and need no join
+    slim = _ranked_numbers(_ranked_names(slim, of_text), ["d_length", "d_script"])
+    if named:  # copies take the least place among them; most texts have one alone and need no join
         again = stored(slim.groupBy("text_hash").agg(*(F.min(c).alias(f"least_{c}") for c in of_text), *(F.max(c).alias(f"most_{c}") for c in of_text)).where(" or ".join(f"least_{c} < most_{c}" for c in of_text)).select("text_hash", *(f"least_{c}" for c in of_text)), "copies")
         slim = slim.join(again, "text_hash", "left").select(*(F.coalesce(f"least_{c}", c).alias(c) if c in of_text else c for c in slim.columns))
-    slim = slim.withColumn("tie_text", bits(F.col("text_hash"))).drop("text_hash")
+    slim = stored(slim.withColumn("tie_text", bits(F.col("text_hash"))).drop("text_hash"), "placed")
     placed = numbered(kd_assign(slim, [*of_text, "d_length", "d_script"], shards), "shard", [F.col("doc_id"), F.col("tie_id"), F.col("text_crc32")])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
