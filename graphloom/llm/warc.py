@@ -19,12 +19,15 @@ import hashlib
 import io
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import write_table
 from .common import byte_texts, scratch_dir, ship_by_value, stored
 
 #: Compressed bytes after which a file is closed.
@@ -149,7 +152,10 @@ def _listing(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "records", "bytes", "sha256"])
 
 
+#: Bins that a segment of ids is counted in, at most.
 BINS = 1024
+#: Bins' rows are broadcast up to this number, of some 60 bytes each; beyond it they are joined by a shuffle.
+BROADCAST_BINS = 1_000_000
 
 
 def _assigned(digests: DataFrame, shard_bytes: int) -> tuple[Callable[[DataFrame], DataFrame], int]:
@@ -157,55 +163,62 @@ def _assigned(digests: DataFrame, shard_bytes: int) -> tuple[Callable[[DataFrame
 
     Ids are counted in bins between the least and the greatest; a bin that is too heavy is cut again between its own least and
     greatest ids, all such bins in one job a level, until each is light enough or a single id. So the cuts follow the ids wherever
-    they lie, and come from exact counts. Bins of about ``shard_bytes`` come to the driver, a few for each shard. Rows without an
-    id are dealt out by digest.
+    they lie, and come from exact counts. Bins and their weights stay in tables: those of each level are the next one's segments,
+    and the shard of a light bin is the sum of all before it over ``shard_bytes``. Rows without an id are dealt out by digest.
     """
-    spark = digests.sparkSession
     nulls = digests.where("page_id is null").agg(F.sum("size")).first()[0] or 0
     null_shards = max(1, -(-nulls // shard_bytes))
-    low, high, total = digests.where("page_id is not null").agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    levels: list[list[tuple[int, int, int, int, int]]] = []  # per level: parent, its bin, new segment, least id, width of bins
-    leaves: list[tuple[int, int, int, int]] = []  # least id, segment, bin, weight
-    number = 0
-
-    def segment(parent: int, at: int, low: int, high: int, weight: int) -> tuple[int, int, int, int, int]:
-        nonlocal number
-        number += 1
-        bins = min(BINS, max(3, -(-2 * weight // shard_bytes)))
-        return parent, at, number, low, max(1, -(-(high - low + 1) // bins))
+    by_digest = F.pmod(F.xxhash64("digest"), F.lit(null_shards)).cast("int")
+    known = digests.where("page_id is not null").select("page_id", "size")
+    low, high, total = known.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+    if low is None:
+        return lambda df: df.withColumn("shard", by_digest), null_shards
+    bins = lambda weight: F.least(F.lit(BINS), F.greatest(F.lit(3), F.ceil(2 * weight / shard_bytes)))
+    width = max(1, -(-(high - low + 1) // min(BINS, max(3, -(-2 * total // shard_bytes)))))
+    exact = lambda c: f"cast({c} as decimal(38,0))"  # noqa: E731  ids may lie far apart
+    levels: list[DataFrame] = []  # seg, bin, next, low, width: bins that are segments of the next level
+    leaves: list[DataFrame] = []
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.count() <= BROADCAST_BINS else table
 
     def placed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("seg", F.lit(0)).withColumn("bin", F.lit(0).cast("long"))
-        for _, _, seg, low, width in levels[0] if levels else []:  # one segment, of all ids
-            df = df.withColumn("seg", F.lit(seg)).withColumn("bin", F.expr(f"cast((cast(page_id as decimal(38,0)) - {low}) div {width} as bigint)"))
-        for level in levels[1:]:
-            table = spark.createDataFrame(level, "seg int, bin long, next int, low long, width long")
+        # one segment, of all ids
+        df = df.withColumn("seg", F.lit(0).cast("long")).withColumn("bin", F.expr(f"cast(({exact('page_id')} - {low}) div {width} as bigint)"))
+        for table in levels:
+            inner = F.expr(f"cast(({exact('page_id')} - {exact('low')}) div {exact('width')} as bigint)")
             found = df.join(table, ["seg", "bin"], "left")
-            df = found.withColumn("seg", F.coalesce("next", "seg")).withColumn("bin", F.when(F.col("next").isNull(), F.col("bin")).otherwise(F.expr("cast((cast(page_id as decimal(38,0)) - cast(low as decimal(38,0))) div cast(width as decimal(38,0)) as bigint)"))).drop("next", "low", "width")
+            df = found.withColumn("seg", F.coalesce("next", "seg")).withColumn("bin", F.when(F.col("next").isNull(), F.col("bin")).otherwise(inner)).drop("next", "low", "width")
         return df
 
-    crowded = [] if low is None else [segment(0, 0, low, high, total)]
-    while crowded:
-        levels.append(crowded)
-        fresh = [c[2] for c in crowded]
-        counts = placed(digests.where("page_id is not null").select("page_id", "size")).where((F.col("seg") >= fresh[0]) & (F.col("seg") <= fresh[-1]))
-        rows = counts.groupBy("seg", "bin").agg(F.sum("size").alias("w"), F.min("page_id").alias("a"), F.max("page_id").alias("z")).collect()
-        heavy = sorted((r for r in rows if r.w > shard_bytes and r.a < r.z), key=lambda r: r.a)
-        leaves += [(r.a, r.seg, r.bin, r.w) for r in rows if r.w <= shard_bytes or r.a == r.z]
-        crowded = [segment(r.seg, r.bin, r.a, r.z, r.w) for r in heavy]
-    shard, filled, cuts = null_shards, 0, []
-    for _, seg, at, weight in sorted(leaves):
-        if filled and filled + weight > shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += weight
-        cuts.append((seg, at, shard))
+    while True:
+        rows = placed(known)
+        if levels:  # only what the last level cut
+            rows = rows.join(levels[-1].select(F.col("next").alias("seg")), "seg", "left_semi")
+        counts = stored(rows.groupBy("seg", "bin").agg(F.sum("size").alias("w"), F.min("page_id").alias("a"), F.max("page_id").alias("z")), "bins")
+        light = (F.col("w") <= shard_bytes) | (F.col("a") == F.col("z"))
+        leaves.append(counts.where(light))
+        heavy = counts.where(~light)
+        if heavy.isEmpty():
+            break
+        span = F.expr(f"{exact('z')} - {exact('a')} + 1")
+        cut = heavy.select("seg", "bin", (F.monotonically_increasing_id() + (len(levels) + 1) * (1 << 56)).alias("next"), F.col("a").alias("low"), F.greatest(F.lit(1), F.ceil(span / bins(F.col("w")))).cast("long").alias("width"))
+        levels.append(small(stored(cut, "segments")))
+    # weights are summed over ranges of ids, a sum for each range on the driver
+    ordered = stored(reduce(DataFrame.unionByName, leaves).repartitionByRange("a").withColumn("part", F.spark_partition_id()), "leaves")
+    sums = sorted((r.part, r.w) for r in ordered.groupBy("part").agg(F.sum("w").alias("w")).collect())
+    before = dict(zip([k for k, _ in sums], accumulate([0, *(w for _, w in sums)]), strict=False))
+    offset = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("part")]
+    running = F.sum("w").over(Window.partitionBy("part").orderBy("a")) - F.col("w") + offset
+    cuts = stored(ordered.select("seg", "bin", (F.floor(running / shard_bytes) + null_shards).cast("int").alias("shard")), "cuts")
+    shards = cuts.agg(F.max("shard")).first()[0] + 1
+    table = small(cuts)
 
     def add(df: DataFrame) -> DataFrame:
-        table = spark.createDataFrame(cuts, "seg int, bin long, shard int")
-        by_digest = F.pmod(F.xxhash64("digest"), F.lit(null_shards)).cast("int")
-        return placed(df).join(table, ["seg", "bin"], "left").withColumn("shard", F.when(F.col("page_id").isNull(), by_digest).otherwise(F.col("shard"))).drop("seg", "bin")
+        found = placed(df).join(table, ["seg", "bin"], "left")
+        return found.withColumn("shard", F.when(F.col("page_id").isNull(), by_digest).otherwise(F.col("shard"))).drop("seg", "bin")
 
-    return add, shard + 1
+    return add, shards
 
 
 def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, file_bytes: int = FILE_BYTES, shard_bytes: int = 4 * FILE_BYTES) -> DataFrame:
@@ -225,8 +238,8 @@ def write_warc(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str
     # a task for each shard
     placed = add_shard(everything).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "digest", "html")
     manifest = placed.mapInArrow(_write(uri, file_bytes), "file string, records long, bytes long, sha256 string")
-    manifest.write.mode("overwrite").parquet(f"{uri}/_manifest")
-    return spark.read.schema(manifest.schema).parquet(f"{uri}/_manifest")
+    # the old manifest stands until the new one is whole
+    return write_table(manifest, f"{uri}/_manifest")
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
