@@ -5,12 +5,12 @@ match, so a shard keeps only its runs of benchmark words that are long enough, a
 suffixes by prefix doubling. Every test suffix is binary-searched by its first ``window`` words;
 the range found gives all occurrences, and occurrences that follow each other in both texts make
 up the longest verbatim match. No row is shuffled. The benchmark is the stated query set: it is
-taken in blocks of bounded size, which are written to the shared scratch space once and read in turn by every task,
-so the documents are read once and a task holds one block.
+taken in blocks of bounded size, which tasks build and write to the shared scratch space once and every task reads in turn,
+so the documents are read once and a task holds one block. An item stays whole, so one above that size is a block of its own size.
 
 Nulls, ties and odd rows: a null text or item has no words; an item without words matches nothing,
 and one without an id is left out. Rows of documents are judged one by one, so repeated ids and null
-ids give a row each. Items that share an id count once. Of an item's matches of equal length the first is named. A text of
+ids give a row each. Items that share an id count once. Of an item's matches of equal length the first is named, in order of the texts of one id. A text of
 any length is one part of a shard; however often a document and an item repeat one window, what is held grows with
 the item alone. An empty table gives no rows, an empty benchmark no hits. Further columns pass through ``clean``.
 """
@@ -18,6 +18,7 @@ the item alone. An empty table gives no rows, an empty benchmark no hits. Furthe
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -197,6 +198,7 @@ def _scan(uri: str, blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(uri)
+        there = [b for b in range(blocks) if store.get_file_info(f"{path}/{b}").type == fs.FileType.File]  # a block may have got no item
         held, tests = -1, None
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
@@ -205,7 +207,7 @@ def _scan(uri: str, blocks: int):
                 docs = [split_words(t) for t in byte_texts(part.column("text"))]
                 spans: list[list] = [[] for _ in docs]
                 matches: list[list] = [[] for _ in docs]
-                for b in range(blocks):
+                for b in there:
                     if b != held:
                         with store.open_input_stream(f"{path}/{b}") as f:
                             held, tests = b, pickle.loads(f.read())
@@ -215,6 +217,21 @@ def _scan(uri: str, blocks: int):
     return run
 
 
+def _index(uri: str, window: int):
+    """Write the suffixes of a block of items, under a temporary name first, as a task may run twice."""
+
+    def run(table: pa.Table) -> pa.Table:
+        store, path = fs.FileSystem.from_uri(uri)
+        block, temporary = table.column("block")[0].as_py(), f"{path}/{uuid.uuid4().hex}"
+        rows = sorted(zip(table.column("item_id").to_pylist(), (t or b"" for t in byte_texts(table.column("text"))), strict=True))
+        with store.open_output_stream(temporary) as f:
+            f.write(cloudpickle.dumps(TestSuffixes(rows, window)))
+        store.move(temporary, f"{path}/{block}")
+        return pa.table({"block": pa.array([block], pa.int32())})
+
+    return run
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """Per document: row (all its columns), n_words, spans (word ranges hit, end exclusive) and matches (each item's longest verbatim match and where it is)."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
@@ -223,10 +240,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     uri = scratch_dir(docs.sparkSession, "test-suffixes")
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path, recursive=True)
-    for b in range(blocks):
-        block = [(r.item_id, (r.text or "").encode()) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {b}")).toLocalIterator()]
-        with store.open_output_stream(f"{path}/{b}") as f:
-            f.write(cloudpickle.dumps(TestSuffixes(block, window)))
+    made = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_index(uri, window), "block int")
+    made.write.format("noop").mode("overwrite").save()
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     schema = docs.select(row, F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast(_MATCHES).alias("matches")).schema
     return docs.select(row, F.col(text_col).alias("text")).mapInArrow(_scan(uri, blocks), schema)
