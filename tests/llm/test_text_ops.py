@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from graphloom.llm import decontam, packing, queries, sharding, simhash, substring
 from graphloom.llm.common import read_table
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOREM = [f"w{i}" for i in range(400)]
@@ -296,3 +297,75 @@ def test_sharding(spark, tiny):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sum(len(h) > 1 for h in homes.values()) <= 4
     assert sharding.kd_shards(frame(spark, docs).limit(0), 8).count() == 0
+
+
+def plain_kd(rows, dimensions, first, count, out):
+    """The same tree by plain recursion: rows are (key, size, coordinates by name)."""
+    if not rows:
+        return
+    if count == 1:
+        out.update({key: first for key, _, _ in rows})
+        return
+    n_left = count // 2
+    by = max(dimensions, key=lambda d: max(r[2][d] for r in rows) - min(r[2][d] for r in rows))
+    goal = total = sum(r[1] for r in rows) * n_left / count
+    inside, cuts = rows, []
+    for at in (by, "tie_text", "tie_id", None):
+        if at is None or len(inside) == 1 and cuts or (at == "tie_id" and sum(r[1] for r in inside) <= sharding.SLACK * total):
+            cuts[-1][1] += 2 * goal >= sum(r[1] for r in inside)  # all rows of the last value go to the nearer side
+            break
+        values = sorted({r[2][at] for r in inside})
+        for v in values:
+            own = [r for r in inside if r[2][at] == v]
+            if goal < sum(r[1] for r in own) or v == values[-1]:
+                break
+            goal -= sum(r[1] for r in own)
+        inside = own
+        cuts.append([at, v])
+
+    def left(c):
+        for at, v in cuts:
+            if c[at] != v:
+                return c[at] < v
+        return False
+
+    plain_kd([r for r in rows if left(r[2])], dimensions, first, n_left, out)
+    plain_kd([r for r in rows if not left(r[2])], dimensions, first + n_left, count - n_left, out)
+
+
+def test_kd_tree_equals_plain_recursion(spark):
+    rng = np.random.default_rng(8)
+    for shards, values in ((8, 1 << 24), (5, 6), (11, 300)):
+        rows = [(i, int(rng.integers(16, 4000)), *(int(v) for v in rng.integers(0, values, 3)), int(rng.integers(0, 40)), int(rng.integers(0, 1 << 24))) for i in range(600)]
+        names = ["a", "b", "c", "tie_text", "tie_id"]
+        df = spark.createDataFrame(rows, "key long, size long, a int, b int, c int, tie_text int, tie_id int")
+        out = {}
+        plain_kd([(r[0], r[1], dict(zip(names, r[2:], strict=True))) for r in rows], ["a", "b", "c"], 0, shards, out)
+        got = {r.key: r.shard for r in sharding.kd_assign(df, ["a", "b", "c"], shards).collect()}
+        assert got == out and set(got.values()) == set(range(shards))
+
+
+def test_sharding_by_language_and_source(spark):
+    rng = np.random.default_rng(4)
+    langs, sources = ["en", "de", "fr", None], [f"s{i}" for i in range(9)] + [None]
+    rows = [(i, " ".join(rng.choice(LOREM, int(rng.integers(5, 300)))), langs[int(rng.choice(4, p=[0.5, 0.3, 0.15, 0.05]))], str(rng.choice(sources)) if i % 7 else None) for i in range(1500)]
+    rows += [(5000 + i, rows[i % 50][1], "zz", "other") for i in range(200)] + [(None, None, None, None), (8000, "", "", ""), (8001, None, "en", "s1")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, size string").repartition(6)
+    got = sharding.kd_shards(frame, 8).collect()
+    size, langs_of, homes = defaultdict(int), defaultdict(set), defaultdict(set)
+    lang = {r[0]: r[2] for r in rows if r[0] is not None and r[0] < 1500}
+    for r in got:
+        size[r.shard] += r.size
+        if r.doc_id in lang:
+            langs_of[r.shard].add(lang[r.doc_id])
+        if r.text_crc32:
+            homes[r.text_crc32].add(r.shard)
+    assert len(got) == len(rows) and set(size) == set(range(8))
+    assert max(size.values()) - min(size.values()) <= 2 * max(r.size for r in got)
+    # copies with another language and source stay with the text they copy
+    assert sum(len(h) > 1 for h in homes.values()) <= 4
+    # equal metadata, or none at all, leave length and script to decide
+    same = sharding.kd_shards(frame.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")}), 4).collect()
+    assert len(same) == len(rows) and {r.shard for r in same} == set(range(4))
+    weights = sharding._ranked_names(spark.createDataFrame([("a", 50), ("b", 30), (None, 20)], "d string, size long"), ["d"])
+    assert sorted(r.d for r in weights.collect()) == [int(x * sharding.TOP) for x in (0.25, 0.65, 0.9)]
