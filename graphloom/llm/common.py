@@ -28,6 +28,14 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def has_marks(text: bytes) -> bool:
+    """Whether a text has any character of U+0300 to U+037F: all marks that compose with ASCII letters are among them.
+
+    Some compose with a small letter alone, so a text with marks isn't lower-cased before it is composed.
+    """
+    return b"\xcc" in text or b"\xcd" in text
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers, so that close inputs give unrelated outputs."""
     x = x ^ (x >> np.uint64(32))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, chunks_by_size, ship_by_value
+from .common import LOWER, byte_texts, chunks_by_size, has_marks, ship_by_value
 
 #: Bytes of words and their ids that one worker remembers.
 REMEMBERED_BYTES = 64 << 20
@@ -125,7 +125,7 @@ class Encoder:
         n_words = []
         for t in texts:
             # the vocabulary lower-cases, but for its special tokens, whose text in capitals is ordinary, and after letters were composed with their marks
-            own = (t.translate(LOWER) if t.isascii() and b"<|" not in t else t).split()
+            own = (t if b"<|" in t or has_marks(t) else t.translate(LOWER)).split()
             own.append(None)
             words += own
             n_words.append(len(own))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, chunks_by_size, ship_by_value
+from .common import LOWER, byte_texts, chunks_by_size, has_marks, ship_by_value
 
 #: The table of proven strings goes to every task; larger vocabularies than this are refused.
 MOST_STRINGS = 1 << 20
@@ -108,10 +108,10 @@ class WordCounts(dict):
         return total
 
     def text(self, text: bytes) -> int:
-        """The count of a text. Letters are lower-cased in one go where none beyond ASCII could join with them, and no special string can come of it."""
+        """The count of a text. Letters are lower-cased in one go where no mark could join with them, and no special string can come of it."""
         total = 0
         for part in parts(text):
-            if part.isascii():
+            if not has_marks(part):
                 low = part.translate(LOWER)
                 part = part if any(s in low for s in self.special) else low
             total += sum(map(self.__getitem__, part.split()))
