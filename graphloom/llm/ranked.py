@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ CHUNK = 1024
 #: Candidates' rows are broadcast up to this number, at 30 bytes or so each; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 TEXT_BYTES = 1 << 20
+#: Documents that are sorted by size, to form blocks, at a time.
+SORTED_DOCS = 8192
 
 
 def term_counts(text: bytes) -> Counter:
@@ -60,31 +63,36 @@ def term_counts(text: bytes) -> Counter:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, alike, n, terms, tfs)."""
+    """Rows (id, alike, n, terms, tfs): the terms in one string, a line each, and their frequencies as 32-bit integers. Two values for each document are less to move than a list of texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            flat: list[bytes] = []
-            tfs: list[int] = []
-            stops, sizes = [0], []
-            for text in byte_texts(part.column(2)):
-                counts = term_counts(text) if text else Counter()
-                flat += counts
-                tfs += counts.values()
-                stops.append(len(flat))
-                sizes.append(sum(counts.values()))
-            cuts = pa.array(stops, pa.int32())
-            columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(flat, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(cuts, pa.array(tfs, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "alike", "n", "terms", "tfs"])
-
-
-def counted_rows(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
-    """(row, id, alike, n, terms, tfs) of the rows that have terms; ``row`` numbers them, ``alike`` is a hash of the text."""
-    rows = df.select(F.col(id_col).cast(kind).alias("id"), F.xxhash64(text_col).alias("alike"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(_counted, f"id {kind}, alike long, n long, terms array<string>, tfs array<int>").where("n > 0")
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            counts = [term_counts(text) if text else Counter() for text in byte_texts(part.column(2))]
+            terms = pa.array([b"\n".join(c) for c in counts], pa.binary()).cast(pa.string())
+            tfs = pa.array([np.fromiter(c.values(), dtype="<i4", count=len(c)).tobytes() for c in counts], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sum(c.values()) for c in counts], pa.int64()), terms, tfs], names=["id", "alike", "n", "terms", "tfs"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (q, term, repeats) of queries (q, text)."""
+    for batch in batches:
+        for q, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
+            counts = term_counts(text or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(counts), pa.int64()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["q", "term", "repeats"])
+
+
+def counted_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, alike, n, terms, tfs) of the documents that have terms; ``row`` numbers them, ``alike`` is a hash of the text."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("alike"), F.col(text_col).cast("string").alias("text"))
+    found = rows.mapInArrow(_counted, "id long, alike long, n long, terms string, tfs binary").where("n > 0")
     return stored(found.withColumn("row", F.monotonically_increasing_id()), "terms")
 
 
+def term_hash(term: bytes) -> int:
+    """What Spark's xxhash64 gives a string, without its sign."""
+    return xxhash.xxh64_intdigest(term, 42)
+
+
 def places(hashes: np.ndarray, level: np.ndarray | int, width: int) -> list[np.ndarray]:
     """The bits that pairs of a term's hash and a level set in a signature of that width."""
     x = mix64(hashes + (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
@@ -110,26 +118,25 @@ def slices(hashes: np.ndarray, tfs: np.ndarray, sizes: np.ndarray) -> tuple[int,
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of signatures, from rows (row, id, alike, n, hashes, tfs)."""
+    """Blocks of signatures, from rows (row, id, alike, n, terms, tfs)."""
     names = ["rows", "ids", "alike", "n", "width", "bits"]
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        hashes, tfs = batch.column(4).flatten().to_numpy().view(np.uint64), batch.column(5).flatten().to_numpy().astype(np.int64)
-        sizes = batch.column(4).value_lengths().to_numpy()
-        first = np.cumsum(sizes) - sizes
-        pairs = np.add.reduceat(np.searchsorted(LEVELS, tfs, side="right"), first)
-        order, at = np.argsort(pairs, kind="stable"), 0
-        while at < len(order):
-            z = min(at + BLOCK_DOCS, len(order))
-            while z - at > 8 and BITS * int(pairs[order[z - 1]]) * (z - at) > 8 * BLOCK_BYTES:
-                z = at + (z - at) // 2
-            own = order[at:z]
-            take = np.repeat(first[own], sizes[own]) + _ranges(sizes[own])
-            width, bits = slices(hashes[take], tfs[take], sizes[own])
-            lists = [pa.array([batch.column(k).take(pa.array(own)).to_pylist()], pa.list_(pa.int64())) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*lists, pa.array([width], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=names)
-            at = z
+        for begin in range(0, batch.num_rows, SORTED_DOCS):
+            part = batch.slice(begin, SORTED_DOCS)
+            # documents of like size go together
+            tfs = [np.frombuffer(t, dtype="<i4") for t in part.column(5).to_pylist()]
+            pairs = np.array([int(np.searchsorted(LEVELS, t, side="right").sum()) for t in tfs])
+            terms, order, at = byte_texts(part.column(4)), np.argsort(pairs, kind="stable"), 0
+            while at < len(order):
+                z = min(at + BLOCK_DOCS, len(order))
+                while z - at > 8 and BITS * int(pairs[order[z - 1]]) * (z - at) > 8 * BLOCK_BYTES:
+                    z = at + (z - at) // 2
+                own = order[at:z]
+                hashes = np.array([term_hash(t) for d in own.tolist() for t in terms[d].split(b"\n")], dtype=np.uint64)
+                width, bits = slices(hashes, np.concatenate([tfs[d] for d in own.tolist()]).astype(np.int64), np.array([len(tfs[d]) for d in own.tolist()]))
+                lists = [pa.array([part.column(k).take(pa.array(own)).to_pylist()], pa.list_(pa.int64())) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([width], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=names)
+                at = z
 
 
 class Queries:
@@ -264,7 +271,7 @@ def _scored(uri: str, total: int, length: int):
             for i in range(batch.num_rows):
                 block, qs, row, doc_id, n, terms, tfs = (batch.column(k)[i].as_py() for k in range(7))
                 held = held if held[0] == block else (block, read(block))
-                have, m = dict(zip(terms, tfs, strict=True)), 25 + (75 * n * total) // length
+                have, m = dict(zip(terms.split("\n"), np.frombuffer(tfs, dtype="<i4").tolist(), strict=True)), 25 + (75 * n * total) // length
                 for q in qs:
                     score = sum(w * ((1_000_000_000 * tf) // (1000 * tf + 8 * m)) for t, w in held[1][q] if (tf := have.get(t)))
                     if score:
@@ -296,15 +303,16 @@ def search(docs: DataFrame, items: DataFrame, top: int = 10, id_col: str = "doc_
     """
     spark = docs.sparkSession
     kind = items.select(F.col(item_col)).schema[0].dataType.simpleString()
-    counted, asked = counted_rows(docs, id_col, text_col, "long"), counted_rows(items, item_col, item_text, kind).withColumnRenamed("row", "q")
+    counted = counted_rows(docs, id_col, text_col)
+    asked = stored(items.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).withColumn("q", F.monotonically_increasing_id()), "asked")
+    pairs = stored(asked.select("q", "text").mapInArrow(_asked, "q long, term string, repeats long"), "asked-terms")
     total, length = counted.agg(F.count("*"), F.sum("n")).first()
-    n_items, n_terms = asked.agg(F.count("*"), F.sum(F.size("terms"))).first()
+    n_items, n_terms = pairs.agg(F.countDistinct("q"), F.count("*")).first()
     if not total or not n_items:
         return spark.createDataFrame([], f"{item_col} {kind}, rank int, {id_col} long, score long")
 
     # each partition counts its own terms first, so frequent ones shuffle once for each
-    frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    pairs = asked.select("q", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("q", F.col("t.terms").alias("term"), F.col("t.tfs").alias("repeats"))
+    frequency = counted.select(F.explode(F.split("terms", "\n")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * total + 2) / (2 * F.col("df") + 1))).cast("long")
     weighted = pairs.join(frequency, "term").withColumn("weight", weight * F.col("repeats")).where("weight > 0")
     terms = F.collect_list(F.struct("term", F.xxhash64("term").alias("h"), "weight")).alias("terms")
@@ -317,8 +325,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = 10, id_col: str = "doc_
         rows.repartition(blocks, "block").write.partitionBy("block").parquet(uri)
         return uri
 
-    hashed = counted.select("row", "id", "alike", "n", F.transform("terms", lambda t: F.xxhash64(t)), "tfs")
-    signed = stored(hashed.mapInArrow(_signed, "rows array<long>, ids array<long>, alike array<long>, n array<long>, width long, bits binary"), "slices")
+    signed = counted.select("row", "id", "alike", "n", "terms", "tfs").mapInArrow(_signed, "rows array<long>, ids array<long>, alike array<long>, n array<long>, width long, bits binary")
+    signed = stored(signed, "slices")
     plain, of = dealt(queries, "queries-blocks"), "block int, q long, row long, bound long"
     highest = signed.mapInArrow(_highest(plain, there, total, length, top), of)
     order = (F.desc("score"), F.col("id").isNull(), F.col("id"), F.col("row"))
@@ -327,7 +335,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = 10, id_col: str = "doc_
     known = queries.join(last, "q", "left").fillna({"theta": 0, "theta_id": LAST})
     possible = signed.mapInArrow(_possible(dealt(known, "queries-thresholds"), there, total, length, top), of)
     best = _best(_exact(stored(possible, "possible"), counted, plain, total, length), top, *order)
-    return best.join(asked.select("q", F.col("id").alias(item_col)), "q").select(item_col, "rank", F.col("id").alias(id_col), "score")
+    return best.join(asked.select("q", F.col("item").alias(item_col)), "q").select(item_col, "rank", F.col("id").alias(id_col), "score")
 
 
 ship_by_value(__name__)
