@@ -11,7 +11,8 @@ anything that reads like a control string, so no text contains one, and reading
 
 Nulls, ties and odd rows: a null text is empty, a null role is kept as such, a null conversation id is one conversation.
 Rows that tie in turn are ordered by role and text. A parent that does not exist makes its child a root; nodes on a
-cycle have no root and are left out. A tree with several roots gives a conversation per root. An empty table gives no rows. Further columns are ignored.
+cycle have no root and are left out. A tree with several roots gives a conversation per root. A text of any length is formatted
+whole; a conversation is one row, so it has to fit in one. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations

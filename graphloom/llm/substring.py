@@ -24,7 +24,8 @@ settled by step 4.
 
 Nulls, ties and odd rows: a null or blank text has no words. A document without an
 id is returned unchanged and is no source for others. Rows that repeat an id are
-each judged against smaller ids only. A table without rows gives none. Further columns are ignored.
+each judged against smaller ids only, so of texts that tie the one of least id keeps its words, and rows of one id leave
+each other alone. A text of any length is judged whole, in blocks of its own runs. A table without rows gives none. Further columns are ignored.
 """
 
 from __future__ import annotations

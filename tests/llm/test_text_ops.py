@@ -277,6 +277,12 @@ def test_encoder_memory_is_bounded(monkeypatch):
         assert encoder.held < 120_000
 
 
+def test_empty_tables(spark):
+    none = frame(spark, ODD).limit(0)
+    assert substring.remove_repeats(none, window=50).count() == 0
+    assert simhash.near_duplicates(none, n_words=3, blocks=1, max_bits=3).count() == 0
+
+
 def test_encoder_of_capitals_with_marks():
     encoder = packing.Encoder(queries.vocabulary_path(), 1)
     for text in ("J\u030c H\u0331x T\u0308 W\u030a Y\u030a I\u0307 A\u030a", "DER Fluß, Straße. ÉCOLE Ecole, ecole.", "<|ENDOFTEXT|> <|endoftext|> Word, WORD. A. b", "plain ASCII Words, and END."):
