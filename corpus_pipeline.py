@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document of smallest id stays; those without an id stay all.
 
-    Near duplicates have an exact Jaccard similarity of five-word shingles of 0.8 or more. SimHash signatures cannot
-    find all of these, so the pairs come from a prefix filter, which misses none.
+    Near duplicates have an exact Jaccard similarity of five-word shingles of 0.8 or more. SimHash signatures with deletion
+    variants find the close ones; they cannot find all, so the others come from a prefix filter, which misses none.
     """
     return nearcopies.keep_first(docs, n_words=5, similarity=(4, 5))
 

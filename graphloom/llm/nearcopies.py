@@ -1,11 +1,15 @@
-"""Groups of near copies: exact Jaccard similarity of word-shingle sets, found without a cut.
+"""Groups of near copies: SimHash signatures and, for what these miss, a prefix filter, both decided by exact Jaccard similarity of word-shingle sets.
+
+First come the close copies: SimHash fingerprints of the same shingles within ``MAX_BITS`` of each other, found by their deletion
+variants (``simhash.near_links``). Their sets are compared, and those near enough are linked. SimHash misses most pairs close to the
+wanted similarity, so a prefix filter finds all others.
 
 In any fixed order of shingles, two sets of similarity ``p / q`` or more share one of their first n - ceil(p n / q) + 1
 shingles (prefix filter). So each set is indexed by these, and an equality join finds every pair. The order puts shingles
 that are frequent in a sample last, which keeps the groups of a key small; a poor sample costs time, never a pair.
 
-Three filters then shrink the groups, none of which can lose a pair: a group breaks where sizes in sorted order leave a gap;
-groups with the same members are one; and the symmetric difference of two sets is at least the number of bits in which
+Four filters then shrink the groups, none of which can lose a link: a group breaks where sizes in sorted order leave a gap;
+groups with the same members are one; groups whose members are all linked already by SimHash go; and the symmetric difference of two sets is at least the number of bits in which
 their parity bitmaps differ. For what is left, the sets themselves are compared.
 
 Groups of more than ``GROUP`` sets are cut into blocks, each pair of blocks being a group of its own.
@@ -25,18 +29,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, ship_by_value, stored
-from .simhash import GROUP, components, first_of_groups, shingle_hashes
+from .common import byte_texts, chunks_by_size, ship_by_value, stored
+from .simhash import CHUNK_BYTES, GROUP, components, first_of_groups, majority, near_links, shingle_hashes
 
 #: Documents whose shingles tell which are frequent, and how many of these are sent to the tasks. Both only set the order.
 SAMPLE_DOCS = 40_000
 FREQUENT = 300_000
 LEAST_BITS = 512
+#: Bits in which fingerprints of candidates differ at most.
+MAX_BITS = 3
 
 
 def shingle_set(text: bytes | None, n_words: int) -> np.ndarray:
     """The distinct shingle hashes in rising order; a document without words has one of its own kind."""
-    return np.unique(np.array(shingle_hashes(text or b"", n_words) or [0], dtype=np.uint64))
+    return _distinct(shingle_hashes(text or b"", n_words))
+
+
+def _distinct(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes or [0], dtype=np.uint64))
 
 
 def prefix_length(n: int, p: int, q: int) -> int:
@@ -73,17 +83,23 @@ def _frequent(docs: DataFrame, text_col: str, n_words: int) -> tuple[np.ndarray,
 def _described(n_words: int, p: int, q: int, frequent: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, maps, prefixes = [], [], [], []
-            for text in byte_texts(batch.column(1)):
-                s = shingle_set(text, n_words)
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(len(s))
-                maps.append(bitmap(s))
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    s = s[np.argsort(np.where(frequent[at] == s, counts[at], 0), kind="stable")]
-                prefixes.append(s[: prefix_length(len(s), p, q)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "print", "n", "bits", "prefix"])
+            texts = [t or b"" for t in byte_texts(batch.column(1))]
+            prints, sizes, maps, prefixes, fps = [], [], [], [], np.zeros(len(texts), dtype=np.uint64)
+            for a, z in chunks_by_size([len(t) + 100 for t in texts], CHUNK_BYTES):
+                lists = [shingle_hashes(t, n_words) for t in texts[a:z]]
+                counted = np.array([len(x) for x in lists])
+                hashes = np.fromiter((h for x in lists for h in x), dtype=np.uint64, count=int(counted.sum()))
+                fps[a:z] = majority(hashes, np.repeat(np.arange(z - a), counted), z - a)
+                for s in map(_distinct, lists):
+                    prints.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sizes.append(len(s))
+                    maps.append(bitmap(s))
+                    if len(frequent):
+                        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                        s = s[np.argsort(np.where(frequent[at] == s, counts[at], 0), kind="stable")]
+                    prefixes.append(s[: prefix_length(len(s), p, q)].view(np.int64))
+            columns = [pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "print", "n", "bits", "prefix", "fp0"])
 
     return run
 
@@ -216,10 +232,11 @@ def _links(p: int, q: int):
     return work
 
 
-def _once(members: DataFrame) -> DataFrame:
-    """Of groups (grp, node) with the same nodes only one."""
-    signs = members.groupBy("grp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    one = stored(signs.groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp"), "groups-once")
+def _once(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of groups (grp, node) with the same nodes only one, and none whose nodes are of one component of ``linked`` (node, component)."""
+    part = F.coalesce("component", "node")
+    signs = members.join(linked, "node", "left").groupBy("grp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.min(part).alias("least"), F.max(part).alias("most"))
+    one = stored(signs.where("least < most").groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp"), "groups-once")
     return members.join(one, "grp", "left_semi")
 
 
@@ -232,28 +249,43 @@ def _cut(members: DataFrame) -> DataFrame:
     return cut.select(F.when(F.col("cuts").isNull(), F.col("grp")).otherwise(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))).alias("grp"), "node")
 
 
+def _alike(sets: DataFrame) -> DataFrame:
+    """Groups (grp, node) of sets by SimHash: of one fingerprint, or around one whose fingerprint is within ``MAX_BITS``."""
+    marked = stored(sets.groupBy("fp0").agg(F.min("node").alias("node")), "fingerprints")
+    same = sets.join(marked.withColumnRenamed("node", "a"), "fp0").where("a <> node").select("a", F.col("node").alias("b"))
+    pairs = stored(near_links(marked, 1, MAX_BITS).union(same).distinct(), "simhash-pairs")
+    return pairs.select(F.col("a").alias("grp"), F.col("b").alias("node")).union(pairs.select("a", "a")).distinct()
+
+
+def _near_pairs(members: DataFrame, texts: DataFrame, nodes: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
+    """Links between the sets of groups (grp, node) that are near by exact comparison."""
+    wanted = stored(members.select("node").distinct().join(nodes, "node"), "wanted")
+    # the sets of what is left are made again from the texts, which costs less than keeping all
+    again = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    full = again.mapInArrow(_sets(n_words), "node long, print binary, set binary").join(wanted, ["node", "print"], "left_semi").distinct()
+    compared = members.join(stored(full, "sets"), "node").select("grp", "node", "set").repartition("grp").sortWithinPartitions("grp", "node")
+    return stored(compared.mapInArrow(_by_group(_links(p, q), ["a", "b"]), "a long, b long").distinct(), "links")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over pairs of ``similarity`` (a fraction) or more, of every row."""
     p, q = similarity
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, print binary, n int, bits binary, prefix array<long>"
+    schema = "doc_id long, print binary, n int, bits binary, prefix array<long>, fp0 long"
     rows = stored(texts.mapInArrow(_described(n_words, p, q, *_frequent(texts, "text", n_words)), schema), "shingle-prefixes")
     known = rows.where("doc_id is not null")
     nodes = stored(known.groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
     # one row for each distinct set; an id with several texts has several
     sets = known.join(nodes, (known["print"] == nodes["print"]) & (known["doc_id"] == nodes["node"]), "left_semi").withColumnRenamed("doc_id", "node")
+    close = _near_pairs(_cut(_alike(sets.select("node", "fp0"))), texts, nodes, n_words, p, q)
+    linked = components(close)
     keyed = sets.select(F.explode("prefix").alias("key"), F.col("n").cast("long").alias("n"), "node")
     runs = keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_runs(p, q), "key long, size long, node long")
     held = stored(runs.select(F.xxhash64("key", "size").alias("grp"), "node").distinct(), "shared-prefixes")
-    mapped = _cut(_once(held)).join(sets.select("node", "n", "bits"), "node").select("grp", "node", "n", "bits")
+    mapped = _cut(_once(held, linked)).join(sets.select("node", "n", "bits"), "node").select("grp", "node", "n", "bits")
     near = mapped.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_by_group(_maybe_near(p, q), ["grp", "node"]), "grp long, node long")
-    near = stored(_once(stored(near.distinct(), "maybe-near")), "maybe-near-once")
-    wanted = stored(near.select("node").distinct().join(nodes, "node"), "wanted")
-    # the sets of what is left are made again from the texts, which costs less than keeping all
-    again = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    full = again.mapInArrow(_sets(n_words), "node long, print binary, set binary").join(wanted, ["node", "print"], "left_semi").distinct()
-    compared = near.join(stored(full, "sets"), "node").select("grp", "node", "set").repartition("grp").sortWithinPartitions("grp", "node")
-    links = stored(compared.mapInArrow(_by_group(_links(p, q), ["a", "b"]), "a long, b long").distinct(), "links")
+    near = stored(_once(stored(near.distinct(), "maybe-near"), linked), "maybe-near-once")
+    links = close.union(_near_pairs(near, texts, nodes, n_words, p, q))
     # an id with several texts has several nodes; they are linked through the id
     placed = known.select("doc_id", "print").join(nodes, "print")
     twins = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from graphloom.llm import nearcopies
+from graphloom.llm import nearcopies, simhash
 from graphloom.llm.common import LOWER, read_table
 
 
@@ -68,6 +68,31 @@ def test_pipeline_stage_keeps_one_of_each_group(spark, tiny):
     assert got == {i for i, g in groups([i for i, _ in rows], all_pairs(rows)).items() if i == g}
 
 
+def test_simhash_finds_the_close_copies(spark, monkeypatch):
+    """Pairs within three bits of a SimHash of their shingles are candidates; what is not similar enough is not linked, and all else is left to the prefix filter."""
+    seen, near_pairs = [], nearcopies._near_pairs
+    monkeypatch.setattr(nearcopies, "_near_pairs", lambda members, *rest: (seen.append((members, out := near_pairs(members, *rest))), out)[1])
+    rng = random.Random(3)
+    rows = planted()
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, edited(rng, words, 1))]
+    rows += [(2000, "a b c d e f"), (2001, "a b c d e f f")]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    pairs = all_pairs(rows)
+    assert got == groups([i for i, _ in rows], pairs)
+    prints = {r.doc_id: r.fp0 % 2**64 for r in simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), n_words=5).collect()}
+    sets = {i: shingles(t) for i, t in rows}  # texts of one set are one node
+    close = {(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 3 and sets[a] != sets[b]}
+    joined = groups([i for i, _ in rows], {(r.a, r.b) for r in seen[0][1].collect()})
+    assert len(seen) == 2 and len(close) > 10 and all(joined[a] == joined[b] for a, b in close)
+    # no group of the prefix filter is wholly of what SimHash has linked
+    members = {}
+    for r in seen[1][0].collect():
+        members.setdefault(r.grp, set()).add(joined[r.node])
+    assert members and min(map(len, members.values())) > 1
+
+
 def test_odd_ids(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(1, text), (2, text), (3, text.replace("w150 ", "x ")), (4, "other words " * 5), (4, "quite another text"), (5, "quite another text"), (None, text), (None, text)]
