@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import edge_id
+from ..functions.keys import edge_id, join_domain
 from ..functions.scratch import materialised
 from ..functions.vectors import similarity_join
-from .joins import compose, domain_join, mention_join, resolve_name, rule_join
+from .joins import beside, compose, mention_join, resolve_name, rule_join, site_pairs, sites, unrepeated
 
 EDGE = "src_id string, src_type string, dst_id string, dst_type string, edge_type string, weight double, effect string"
 
@@ -79,10 +79,18 @@ def edges_from_mentions(docs: DataFrame, kinds: Mapping[str, dict]) -> DataFrame
 
 
 def edges_from_chain(shops: DataFrame, roasters: DataFrame, roaster_product: DataFrame, product_edges: Mapping[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
-    """shop_roaster by domain, shop_product through it, and a shop edge for every kind of product edge."""
-    shop_roaster = domain_join(shops, roasters).select(F.col("a_id").alias("shop_id"), F.col("b_id").alias("roaster_id"))
-    shop_product = compose(shop_roaster, roaster_product, "shop_id", "roaster_id", "product_id")
-    return {"shop_roaster": shop_roaster, "shop_product": shop_product} | {t: compose(shop_product, df, "shop_id", "product_id", to) for t, (df, to) in product_edges.items()}
+    """shop_roaster by domain, shop_product through it, and a shop edge for every kind of product edge.
+
+    All shops of a domain have the same products and what these lead to, so that is found once for the domain and only then told of each
+    shop; a shop of one domain has no edge twice.
+    """
+    a, b = materialised(sites(shops, "id", "website", join_domain, "a_id"), "shops"), materialised(sites(roasters, "id", "website", join_domain, "b_id"), "roasters")
+    here = b.join(a.select("_d").distinct(), "_d", "left_semi").select("_d", F.col("b_id").alias("roaster_id"))
+    products = materialised(compose(here, roaster_product, "_d", "roaster_id", "product_id"), "products")
+    led = {"shop_product": (products, "product_id")} | {t: (compose(products, df, "_d", "product_id", to), to) for t, (df, to) in product_edges.items()}
+    told = lambda df, to: unrepeated(beside(a.withColumnRenamed("a_id", "shop_id"), df, "_d"), "shop_id", to, F.col("a_id_many"))
+    shop_roaster = site_pairs(a, b).select(F.col("a_id").alias("shop_id"), F.col("b_id").alias("roaster_id"))
+    return {"shop_roaster": shop_roaster} | {t: told(df, to) for t, (df, to) in led.items()}
 
 
 def edges_from_rules(rules: DataFrame, entities: DataFrame, prefix: str) -> DataFrame:

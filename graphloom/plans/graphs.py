@@ -140,8 +140,9 @@ def _(t: Tables) -> DataFrame:
 @query("g9_chain", f"WITH x AS (SELECT page_id, {DOMAIN_SQL} AS d FROM pages), s AS (SELECT DISTINCT a.page_id AS shop_id, b.page_id AS roaster_id FROM x a JOIN x b ON a.d = b.d WHERE a.page_id % 2 = 0 AND b.page_id % 2 = 1), p AS (SELECT DISTINCT shop_id, p_partkey AS product_id FROM s JOIN part ON p_partkey % 250 = roaster_id) SELECT 'shop_roaster' AS edge_type, shop_id, CAST(roaster_id AS VARCHAR) AS id FROM s UNION ALL SELECT 'shop_product', shop_id, CAST(product_id AS VARCHAR) FROM p UNION ALL SELECT DISTINCT 'shop_brand', shop_id, p_brand FROM p JOIN part ON product_id = p_partkey")
 def _(t: Tables) -> DataFrame:
     shops, roasters = (t.pages.where(f"page_id % 2 = {k}").select(F.col("page_id").alias("id"), F.col("url").alias("website")) for k in (0, 1))
-    made = t.part.select((F.col("p_partkey") % 250).alias("roaster_id"), F.col("p_partkey").alias("product_id"))
-    brands = t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
+    # ids are text before the pairs are made
+    made = t.part.select((F.col("p_partkey") % 250).alias("roaster_id"), F.col("p_partkey").cast("string").alias("product_id"))
+    brands = t.part.select(F.col("p_partkey").cast("string").alias("product_id"), F.col("p_brand").alias("brand"))
     out = g.edges_from_chain(shops, roasters, made, {"shop_brand": (brands, "brand")})
     return j.union_as({k: df.select("shop_id", F.col(df.columns[1]).cast("string").alias("id")) for k, df in out.items()}, "edge_type")
 

@@ -35,3 +35,50 @@ def test_text_of_pages_cut_inside_a_reference(spark, tmp_path):
 
 def test_descriptions_cut_inside_a_reference(spark, tmp_path):
     agrees(spark, tmp_path, "f24_descriptions", pages=cut_pages(spark))
+
+
+def exchanged(df):
+    """Records that the shuffles of a query write: its rows are made on the way."""
+    df.collect()
+
+    def walk(node, seen):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan(), seen)
+        if kind in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+            return walk(node.plan(), seen)
+        own, metrics = 0, node.metrics()
+        if kind == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            own = metrics.apply("shuffleRecordsWritten").value()
+        children = node.children()
+        return own + sum(walk(children.apply(i), seen) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan(), set())
+
+
+def one_host(spark, n):
+    return spark.range(1, n + 1).selectExpr("id AS page_id", "concat('https://', if(id % 50 = 0, 'b', 'a'), '.example/', id) AS url")
+
+
+def test_chain_over_one_host(spark, tmp_path, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 70, raising=False)
+    part = spark.range(500).selectExpr("id AS p_partkey", "concat('Brand#', id % 3) AS p_brand")
+    agrees(spark, tmp_path, "g9_chain", pages=one_host(spark, 600), part=part)
+    # some 84,000 pairs of shops and roasters and as many of shops and products are not shuffled
+    assert exchanged(registry.QUERIES["g9_chain"](spark, str(tmp_path))) < 60_000
+
+
+def test_chain_of_ids_with_several_domains(spark):
+    from graphloom.operators import graph
+
+    shops = spark.createDataFrame([("1", "https://a.example"), ("1", "https://b.example/x"), ("2", "b.example"), (None, "a.example"), ("3", " "), ("4", None)], "id string, website string")
+    roasters = spark.createDataFrame([("r", "a.example"), ("r", "b.example"), ("q", "b.example"), (None, "b.example")], "id string, website string")
+    made = spark.createDataFrame([("r", "p"), ("q", "p"), ("q", "o"), (None, "n")], "roaster_id string, product_id string")
+    out = graph.edges_from_chain(shops, roasters, made, {"shop_kind": (spark.createDataFrame([("p", "k"), ("o", "k")], "product_id string, kind string"), "kind")})
+    rows = {k: sorted((tuple(r) for r in df.collect()), key=str) for k, df in out.items()}
+    assert rows["shop_roaster"] == sorted([("1", "r"), ("1", "q"), ("1", None), ("2", "r"), ("2", "q"), ("2", None), (None, "r")], key=str)
+    assert rows["shop_product"] == sorted([("1", "p"), ("1", "o"), ("2", "p"), ("2", "o"), (None, "p")], key=str)
+    assert rows["shop_kind"] == sorted([("1", "k"), ("2", "k"), (None, "k")], key=str)
