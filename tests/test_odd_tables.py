@@ -82,3 +82,14 @@ def test_chain_of_ids_with_several_domains(spark):
     assert rows["shop_roaster"] == sorted([("1", "r"), ("1", "q"), ("1", None), ("2", "r"), ("2", "q"), ("2", None), (None, "r")], key=str)
     assert rows["shop_product"] == sorted([("1", "p"), ("1", "o"), ("2", "p"), ("2", "o"), (None, "p")], key=str)
     assert rows["shop_kind"] == sorted([("1", "k"), ("2", "k"), (None, "k")], key=str)
+
+
+def test_domain_join_over_one_host(spark, tmp_path, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 70, raising=False)
+    agrees(spark, tmp_path, "j6_domain_join", pages=one_host(spark, 600))
+    # 84,006 pairs
+    df = registry.QUERIES["j6_domain_join"](spark, str(tmp_path))
+    assert exchanged(df) < 20_000
+    assert df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 2
