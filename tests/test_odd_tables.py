@@ -93,3 +93,30 @@ def test_domain_join_over_one_host(spark, tmp_path, monkeypatch):
     df = registry.QUERIES["j6_domain_join"](spark, str(tmp_path))
     assert exchanged(df) < 20_000
     assert df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 2
+
+
+def deliveries(spark, tmp_path):
+    """A supplier table of few nations, and lineitems of which many repeat a part and supplier, with nulls."""
+    supplier = spark.range(300).selectExpr("id AS s_suppkey", "cast(id % 4 AS int) AS s_nationkey")
+    lineitem = spark.range(6000).selectExpr("if(id % 97 = 0, null, id * 7919 % 90) AS l_suppkey", "if(id % 89 = 0, null, if(id % 3 = 0, 1, id * 31 % 60)) AS l_partkey")
+    return {"supplier": supplier, "lineitem": lineitem}
+
+
+def test_overlap_in_blocks(spark, tmp_path, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "MEMBERS", 70)
+    agrees(spark, tmp_path, "a4_overlap", **deliveries(spark, tmp_path))
+    # 22,200 rows of pairs of suppliers of one nation alone, and 8,010 of a part
+    assert exchanged(registry.QUERIES["a4_overlap"](spark, str(tmp_path))) < 10_000
+
+
+def test_overlap_of_several_tables_of_a_label(spark):
+    from graphloom.operators.aggregates import overlap
+
+    first = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("a", 2)], "m string, n long")
+    second = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "1"), (None, "1"), ("c", None)], "m string, n string")
+    edges = {"x": [(first, "m", "n"), (second, "m", "n")], "y": [(second, "m", "n")]}
+    both = [("a", "b", "x", 2), ("a", "b", "y", 1), ("a", "c", "x", 1), ("b", "a", "x", 2), ("b", "a", "y", 1), ("c", "a", "x", 1)]
+    assert sorted(tuple(r) for r in overlap(edges).collect()) == both
+    assert sorted(tuple(r) for r in overlap(edges, spark.createDataFrame([("a",)], "id string")).collect()) == both[:3]
