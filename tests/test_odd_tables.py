@@ -120,3 +120,12 @@ def test_overlap_of_several_tables_of_a_label(spark):
     both = [("a", "b", "x", 2), ("a", "b", "y", 1), ("a", "c", "x", 1), ("b", "a", "x", 2), ("b", "a", "y", 1), ("c", "a", "x", 1)]
     assert sorted(tuple(r) for r in overlap(edges).collect()) == both
     assert sorted(tuple(r) for r in overlap(edges, spark.createDataFrame([("a",)], "id string")).collect()) == both[:3]
+
+
+def test_peers_in_blocks(spark, tmp_path, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "MEMBERS", 70)
+    agrees(spark, tmp_path, "j4_peers", **deliveries(spark, tmp_path))
+    # each of 4,005 pairs of suppliers shares several parts
+    assert exchanged(registry.QUERIES["j4_peers"](spark, str(tmp_path))) < 300
