@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import embed_text
 from ..functions.predicates import text_match
+from ..functions.scratch import materialised
 from ..functions.vectors import centroid, cosine, similarity_join
-from .aggregates import norm_by_max, overlap, topk_per_group
-from .joins import merge_candidates
+from .aggregates import labelled, norm_by_max, overlap, topk_per_group
+from .joins import by_blocks, meetings, member_blocks, merge_candidates
 
 #: Peers by similarity that count for a hybrid score.
 POOL = 50
@@ -76,21 +77,70 @@ def similar(items: DataFrame, edges: Mapping[str, Sequence[tuple[DataFrame, str,
     peers = items if visible is None else items.where(visible)
     seed_items = items if seeds is None else items.join(seeds.select("id"), "id", "left_semi")
     near = similarity_join(seed_items, peers, "id", "id", "embedding", None, POOL, exclude_self=True).select(F.col("a_id").alias("seed"), F.col("b_id").alias("peer"), "similarity")
-    shared = overlap(edges, seeds)
-    known = items.select(F.col("id").alias("seed"))
-    shared = shared.join(known, "seed", "left_semi")
-    position = F.create_map(*(F.lit(v) for pair in ((label, at) for at, label in enumerate(edges)) for v in pair))
-    told = F.array_sort(F.collect_list(F.struct(position[F.col("label")].alias("at"), "label", "shared")))
-    totals = shared.groupBy("seed", "peer").agg(F.sum("shared").alias("shared"), told.alias("counts"))
-    merged = merge_candidates(near, totals, ["seed", "peer"])
     led = items.select(F.col("id").alias("seed"), F.when(cosine("embedding", "embedding").isNotNull(), weight).otherwise(1.0).alias("_weight"))
-    scored = norm_by_max(merged, "seed", "shared", "norm").join(led, "seed").withColumn("score", F.round(F.col("similarity") + F.col("_weight") * F.col("norm"), 6))
+    scored = _scored_pairs(items, peers, edges, near, led, limit) if seeds is None else _scored(items, edges, seeds, near, led)
     named = scored.join(peers.select(F.col("id").alias("peer"), "label"), "peer")
     best = topk_per_group(named, "seed", "score", limit, key="peer")
     none = F.array().cast("array<struct<at:int,label:string,shared:bigint>>")
     return best.select("seed", F.col("peer").alias("id"), "label", "score", reason(F.coalesce("counts", none)).alias("reason"))
 
 
+def _score() -> Column:
+    return F.round(F.col("similarity") + F.col("_weight") * F.col("norm"), 6)
+
+
+def _scored(items: DataFrame, edges: Mapping, seeds: DataFrame, near: DataFrame, led: DataFrame) -> DataFrame:
+    """(seed, peer, counts, score, ...) of the candidates of a few seeds."""
+    shared = overlap(edges, seeds).join(items.select(F.col("id").alias("seed")), "seed", "left_semi")
+    position = F.create_map(*(F.lit(v) for pair in ((label, at) for at, label in enumerate(edges)) for v in pair))
+    told = F.array_sort(F.collect_list(F.struct(position[F.col("label")].alias("at"), "label", "shared")))
+    totals = shared.groupBy("seed", "peer").agg(F.sum("shared").alias("shared"), told.alias("counts"))
+    merged = merge_candidates(near, totals, ["seed", "peer"])
+    return norm_by_max(merged, "seed", "shared", "norm").join(led, "seed").withColumn("score", _score())
+
+
+def _scored_pairs(items: DataFrame, peers: DataFrame, edges: Mapping, near: DataFrame, led: DataFrame, limit: int) -> DataFrame:
+    """(seed, peer, counts, score) of all near pairs, and of those by shared neighbours alone of each seed's ``limit`` best.
+
+    Every pair that shares something is counted where its members' blocks meet, and the near pairs go to the same tasks; there the
+    most shared of each seed are found first, then its candidates, of which all but the best are dropped before any shuffle.
+    """
+    rows = labelled(edges)
+    known = rows.select("member").unionByName(items.select(F.col("id").alias("member"))).distinct()
+    flag = lambda df, to: df.select(F.col("id").alias("member"), F.lit(1).alias(to)).distinct()
+    flagged = known.join(flag(items, "_item"), "member", "left").join(flag(peers, "_shown"), "member", "left")
+    members = member_blocks(flagged)
+    # a member is a number in the order of the ids; its last two bits tell whether it is a seed, and a visible item
+    key = (F.col("_n") * 4 + F.coalesce("_item", F.lit(0)) * 2 + F.coalesce("_shown", F.lit(0))).alias("_k")
+    members = materialised(members.select("member", "_g", key), "numbered")
+    met = meetings(rows.join(members, "member").select("at", "neighbour", F.col("_k").alias("member"), "_g"), ["at", "neighbour"])
+    of = lambda c, k, g: members.select(F.col("member").alias(c), F.col("_k").alias(k), F.col("_g").alias(g))
+    placed = near.join(of("seed", "_s", "_gs"), "seed").join(of("peer", "_p", "_gp"), "peer")
+    # a near pair is a meeting of one member with another, whose cosine belongs to one direction
+    turned = F.col("_s") > F.col("_p")
+    close = placed.select(
+        F.least("_gs", "_gp").alias("_i"), F.greatest("_gs", "_gp").alias("_j"), F.when(turned, -2).otherwise(-1).alias("at"), F.array("_s", "_p").alias("_a"), F.array(F.greatest("_s", "_p")).alias("_b"), "similarity"
+    )
+    # within a block a list has both members, as pairs are of one list there
+    close = close.withColumn("_a", F.when(F.col("_i") < F.col("_j"), F.array(F.array_min("_a"))).otherwise(F.col("_a"))).withColumn("_b", F.when(F.col("_i") < F.col("_j"), F.col("_b")))
+    met = materialised(met.withColumn("similarity", F.lit(None).cast("double")).unionByName(close), "meetings")
+    counts = [F.count_if(F.col("at") == at).alias(f"_c{at}") for at in range(len(edges))]
+    pairs = by_blocks(met).groupBy("_i", "_j", "a", "b").agg(*counts, F.max(F.when(F.col("at") == -1, F.col("similarity"))).alias("_forth"), F.max(F.when(F.col("at") == -2, F.col("similarity"))).alias("_back"))
+    shared = reduce(lambda x, y: x + y, (F.col(f"_c{at}") for at in range(len(edges))))
+    each = [c.alias(f"_c{at}") for at, c in ((at, F.col(f"_c{at}")) for at in range(len(edges)))]
+    way = lambda s, p, sim: F.struct(F.col(s).alias("_s"), F.col(p).alias("_p"), F.col(sim).alias("_sim"), shared.alias("shared"), *each)
+    both = pairs.select(F.inline(F.array(way("a", "b", "_forth"), way("b", "a", "_back")))).where("shared > 0 or _sim is not null").where("_s & 2 = 2")
+    top = both.groupBy("_s").agg(F.max("shared").alias("_top"))
+    ranked = top.join(members.select(F.col("_k").alias("_s"), F.col("member").alias("seed")), "_s").join(led, "seed")
+    ranked = materialised(ranked, "most-shared")
+    found = both.where("_p & 1 = 1").join(ranked, "_s").withColumn("similarity", F.coalesce("_sim", F.lit(0.0)))
+    found = found.withColumn("norm", F.when(F.col("_top") > 0, F.col("shared") / F.col("_top")).otherwise(0.0)).withColumn("score", _score())
+    best = topk_per_group(found.select("seed", "_p", "score", *(f"_c{at}" for at in range(len(edges)))), "seed", "score", limit, key="_p").drop("rank")
+    told = F.array(*(F.struct(F.lit(at).alias("at"), F.lit(label).alias("label"), F.col(f"_c{at}").alias("shared")) for at, label in enumerate(edges)))
+    named = best.join(members.select(F.col("_k").alias("_p"), F.col("member").alias("peer")), "_p")
+    return named.select("seed", "peer", "score", F.filter(told, lambda c: c["shared"] > 0).alias("counts"))
+
+
 def for_user(activity: DataFrame, items: DataFrame, limit: int = 10, noun: str = "item", visible: Column | None = None) -> DataFrame:
     """(user_id, id, label, score, reason): items nearest to the mean of what each user saved, which are left out themselves.
 

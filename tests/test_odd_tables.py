@@ -129,3 +129,16 @@ def test_peers_in_blocks(spark, tmp_path, monkeypatch):
     agrees(spark, tmp_path, "j4_peers", **deliveries(spark, tmp_path))
     # each of 4,005 pairs of suppliers shares several parts
     assert exchanged(registry.QUERIES["j4_peers"](spark, str(tmp_path))) < 300
+
+
+def test_similar_by_blocks(spark, tmp_path, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "MEMBERS", 70)
+    tables = deliveries(spark, tmp_path)
+    # suppliers 250 and up have no vector
+    tables["supplier"] = tables["supplier"].selectExpr("*", "concat('S', s_suppkey) AS s_name")
+    vectors = spark.range(250).selectExpr("id AS vec_id", "transform(sequence(1, 6), i -> cast((id * id * 37 + i * i * 13 + id * i * i * 7) % 1009 - 500 AS float)) AS embedding", "cast(id % 10 AS int) AS label")
+    agrees(spark, tmp_path, "r3_similar", embeddings=vectors, **tables)
+    # 30,000 rows of pairs of suppliers that share something
+    assert exchanged(registry.QUERIES["r3_similar"](spark, str(tmp_path))) < 40_000
