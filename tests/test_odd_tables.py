@@ -142,3 +142,28 @@ def test_similar_by_blocks(spark, tmp_path, monkeypatch):
     agrees(spark, tmp_path, "r3_similar", embeddings=vectors, **tables)
     # 30,000 rows of pairs of suppliers that share something
     assert exchanged(registry.QUERIES["r3_similar"](spark, str(tmp_path))) < 40_000
+
+
+def tasks_of(df):
+    """Tasks that make some of the rows."""
+    return df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count()
+
+
+def test_distances_in_one_nation(spark, tmp_path, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 20, raising=False)
+    one = lambda n, key, nation: spark.range(n).selectExpr(f"id * 7 AS {key}", f"cast(if(id % 50 = 9, null, 4) AS int) AS {nation}")
+    agrees(spark, tmp_path, "f21_distance", customer=one(150, "c_custkey", "c_nationkey"), supplier=one(120, "s_suppkey", "s_nationkey"))
+    assert tasks_of(registry.QUERIES["f21_distance"](spark, str(tmp_path))) > 2
+
+
+def test_nearby_in_one_cell(spark, monkeypatch):
+    from graphloom.functions import geo
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 20, raising=False)
+    places = spark.range(0, 150, 1, 1).selectExpr("id", "10 + id / 1e4 AS lat", "20 + id / 1e4 AS lon")
+    found = geo.nearby(places, places.withColumnRenamed("id", "query_id"), 700)
+    assert found.count() == 150 * 150 and found.where("query_id = id and distance_km > 1e-3").count() == 0
+    assert tasks_of(found) > 2
