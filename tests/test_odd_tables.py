@@ -167,3 +167,14 @@ def test_nearby_in_one_cell(spark, monkeypatch):
     found = geo.nearby(places, places.withColumnRenamed("id", "query_id"), 700)
     assert found.count() == 150 * 150 and found.where("query_id = id and distance_km > 1e-3").count() == 0
     assert tasks_of(found) > 2
+
+
+def test_names_of_many_rows_join_in_several_tasks(spark, tmp_path, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 40, raising=False)
+    part = spark.range(300).selectExpr("id AS p_partkey", "if(id % 40 = 3, null, if(id % 2 = 0, 'Brand#3', 'brand#4')) AS p_brand")
+    agrees(spark, tmp_path, "j8_ijoin", part=part, supplier=spark.range(900).selectExpr("id AS s_suppkey"))
+    assert tasks_of(registry.QUERIES["j8_ijoin"](spark, str(tmp_path))) > 2
+    tagged = spark.createDataFrame([("A", {"x": 1}), (None, None)], "name string, tags map<string,int>")
+    assert [tuple(r) for r in joins.ijoin(tagged, spark.createDataFrame([("a", 5)], "other string, n int"), "name", "other").select("name", "n").collect()] == [("A", 5)]
